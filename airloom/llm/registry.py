@@ -1,9 +1,11 @@
 """The corpus operators' queries."""
 
+from .decontaminate import op10_spaced_seeds
+from .pii import op3_semi_markov_crf
 from .quality_rules import op7_quality_host_rules
 from .simhash_dedup import op8_simhash_popcount
 
-QUERIES = [op7_quality_host_rules, op8_simhash_popcount]
+QUERIES = [op3_semi_markov_crf, op7_quality_host_rules, op8_simhash_popcount, op10_spaced_seeds]
 
 
 def queries():
