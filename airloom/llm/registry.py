@@ -1,11 +1,12 @@
 """The corpus operators' queries."""
 
+from .bpe import op4_bpe_chunk_reuse
 from .decontaminate import op10_spaced_seeds
 from .pii import op3_semi_markov_crf
 from .quality_rules import op7_quality_host_rules
 from .simhash_dedup import op8_simhash_popcount
 
-QUERIES = [op3_semi_markov_crf, op7_quality_host_rules, op8_simhash_popcount, op10_spaced_seeds]
+QUERIES = [op3_semi_markov_crf, op4_bpe_chunk_reuse, op7_quality_host_rules, op8_simhash_popcount, op10_spaced_seeds]
 
 
 def queries():
