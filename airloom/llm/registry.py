@@ -5,8 +5,9 @@ from .decontaminate import op10_spaced_seeds
 from .pii import op3_semi_markov_crf
 from .quality_rules import op7_quality_host_rules
 from .simhash_dedup import op8_simhash_popcount
+from .substring_dedup import op6_window_doubling
 
-QUERIES = [op3_semi_markov_crf, op4_bpe_chunk_reuse, op7_quality_host_rules, op8_simhash_popcount, op10_spaced_seeds]
+QUERIES = [op3_semi_markov_crf, op4_bpe_chunk_reuse, op6_window_doubling, op7_quality_host_rules, op8_simhash_popcount, op10_spaced_seeds]
 
 
 def queries():
