@@ -6,21 +6,34 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def flattened(up: DataFrame) -> DataFrame:
+    """``(v, root)`` with each vertex's root followed to its end; paths halve in each step."""
+    while True:
+        above = up.select(F.col("v").alias("root"), F.col("root").alias("above"))
+        up = written(up.join(above, "root").select("v", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")))
+        moved = not up.filter("moved").isEmpty()
+        up = up.select("v", "root")
+        if not moved:
+            return up
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``(v, root)`` for each vertex of ``links(a, b)``; root is the smallest vertex that v reaches.
+    """``(v, root)`` for each vertex of ``links(a, b)``; vertices have the same root if and only if they are connected.
 
-    Each round takes the smallest label of a vertex's neighbours and then that label's own label, so
-    paths shorten by doubling. Labels are written tables; only a count comes to the driver.
+    Each round points every vertex to its smallest neighbour, follows the pointers to their ends and
+    contracts the links to those ends; links within a contracted part vanish, so each round reads far fewer. All state is in
+    written tables; only a yes or no comes to the driver.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root")))
+    links, labels = links.select("a", "b"), None
     while True:
-        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels.v == near.a).select("v", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        lower = written(lower)
-        up = lower.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        after = written(lower.join(up, "root").select("v", F.least("root", "above").alias("root"), "old"))
-        moved = after.filter("root <> old").limit(1).count()
-        labels = after.select("v", "root")
-        if not moved:
+        both = links.union(links.select("b", "a"))
+        up = flattened(written(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("root"))))
+        if labels is None:
+            labels = up
+        else:
+            more = up.select(F.col("v").alias("root"), F.col("root").alias("above"))
+            labels = written(labels.join(more, "root", "left").select("v", F.coalesce("above", "root").alias("root")))
+        a, b = up.select(F.col("v").alias("a"), F.col("root").alias("ra")), up.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+        links = written(links.join(a, "a").join(b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if links.isEmpty():
             return labels
