@@ -1,13 +1,28 @@
 """The corpus operators' queries."""
 
 from .bpe import op4_bpe_chunk_reuse
+from .chat import op5_role_repair
 from .decontaminate import op10_spaced_seeds
+from .importance import op1_gumbel_resampling
+from .language_id import op9_output_codes
 from .pii import op3_semi_markov_crf
 from .quality_rules import op7_quality_host_rules
 from .simhash_dedup import op8_simhash_popcount
 from .substring_dedup import op6_window_doubling
+from .url_filter import op2_association_rules
 
-QUERIES = [op3_semi_markov_crf, op4_bpe_chunk_reuse, op6_window_doubling, op7_quality_host_rules, op8_simhash_popcount, op10_spaced_seeds]
+QUERIES = [
+    op1_gumbel_resampling,
+    op2_association_rules,
+    op3_semi_markov_crf,
+    op4_bpe_chunk_reuse,
+    op5_role_repair,
+    op6_window_doubling,
+    op7_quality_host_rules,
+    op8_simhash_popcount,
+    op9_output_codes,
+    op10_spaced_seeds,
+]
 
 
 def queries():
@@ -15,4 +30,5 @@ def queries():
 
 
 def oracle_sql():
+    """No SQL computes these methods on whole tables; tests/llm compares them with brute force."""
     return {}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import session, table, written
-from .textops import BLANKS, words_of
+from .textops import ODD, mixed, word_hashes, words_of
 
 BASE = 8
 #: Entries of a bucket, and words of a task's working set.
@@ -32,13 +32,6 @@ WORKING_SET = 2_000_000
 NO_ID = (1 << 63) - 1
 PACKED = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(c, T.BinaryType()) for c in ("ids", "keys", "counts", "pos", "hash")])
 
-RANDOM = np.random.default_rng(7)
-BYTE = RANDOM.integers(1, 1 << 64, 256, np.uint64)
-BYTE[[ord(c) for c in BLANKS]] = 0
-BLANK = BYTE == 0
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
 def levels(window):
     """Window lengths, each at most twice the one before."""
     out = [window]
@@ -47,27 +40,6 @@ def levels(window):
     return out
 
 
-def mixed(h):
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def word_hashes(raws):
-    """(hash of each word, number of words of each byte string)."""
-    data = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
-    blank = BLANK[data]
-    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    edges = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raws])))
-    counts = np.diff(np.searchsorted(starts, edges))
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    lens = np.diff(np.append(starts, len(data)))
-    power = np.cumprod(np.full(int(lens.max()), ODD, np.uint64))
-    within = np.arange(starts[0], len(data)) - np.repeat(starts, lens)
-    return mixed(np.add.reduceat(BYTE[data[starts[0] :]] * power[within], starts - starts[0])), counts
-
-
 def planes(x, kind, width=None):
     """Byte planes of an array: the high bytes of small numbers compress to nothing."""
     raw = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize)

@@ -7,6 +7,12 @@ import xxhash
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: 65,536 shingles are expanded to bits at a time, so that a long text needs bounded memory.
 BIT_BLOCK = 1 << 16
+#: A random number for each byte, zero for blanks.
+RANDOM = np.random.default_rng(7)
+BYTE = RANDOM.integers(1, 1 << 64, 256, np.uint64)
+BYTE[[ord(c) for c in BLANKS]] = 0
+BLANK = BYTE == 0
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text):
@@ -52,3 +58,24 @@ def simhash(text, size=4, seed=42):
         raw = b"".join([digest(line[s:e], seed) for s, e in pairs[at : at + BIT_BLOCK]])
         ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def mixed(h):
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(raws):
+    """(hash of each word, number of words of each byte string)."""
+    data = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+    blank = BLANK[data]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    edges = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raws])))
+    counts = np.diff(np.searchsorted(starts, edges))
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    lens = np.diff(np.append(starts, len(data)))
+    power = np.cumprod(np.full(int(lens.max()), ODD, np.uint64))
+    within = np.arange(starts[0], len(data)) - np.repeat(starts, lens)
+    return mixed(np.add.reduceat(BYTE[data[starts[0] :]] * power[within], starts - starts[0])), counts
