@@ -6,6 +6,9 @@ doesn't hide a match. Test seeds and training seeds are joined; each hit fixes h
 words of both are compared around it: a document is contaminated if some ``window`` aligned words
 (the item's own length if that is shorter) agree in ``min_share`` or more.
 
+The comparison reads only documents with hits; that join always shuffles, so its cost follows the input alike at every size
+(on large inputs Spark filters the documents by a Bloom filter of the hits before the shuffle).
+
 Null and empty texts, and items of fewer than ten words, have no seeds and match nothing. Repeated items and
 repeated documents give the same rows as one. Documents of one id are one document: a hit in any is a hit.
 """
@@ -62,7 +65,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, min_share:
     doc_words = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     cut = (
         written(placed.drop("_item"))
-        .join(doc_words, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        .join(doc_words.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
         .select("doc_id", "item_id", "shift", "n_seeds", F.size("iw").alias("n_item"), F.slice("iw", skip + 1, F.size("iw")).alias("iw"), F.slice(words(F.col("_text")), begin + 1, F.size("iw")).alias("dw"))
         .withColumn("n", F.least(F.size("iw"), F.size("dw")))
         .withColumn("same", F.zip_with(F.slice("iw", 1, F.col("n")), F.slice("dw", 1, F.col("n")), lambda a, b: (a == b).cast("int")))
