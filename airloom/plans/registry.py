@@ -1,11 +1,14 @@
 """All queries of the air-quality operators, with their SQL where SQL can express them."""
 
-FLAGSHIP = "D1_slot_dedupe"
+from . import emission_queries, fusion_queries, quality_queries, scalar_queries, spatial_queries, time_queries  # noqa: F401
+from .base import QUERIES, SQL
+
+FLAGSHIP = "X1_flagship_aqi"
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
