@@ -1 +1,228 @@
-"""Queries."""
+"""Queries for spatial joins (J), weighted combination (A13, A16, A17) and resampling (X1 to X18)."""
+
+import math
+
+from pyspark.sql import functions as F
+
+from airloom.functions import geo, physics
+from airloom.operators import quality as q
+from airloom.operators import spatial as s
+from airloom.operators import temporal as t
+from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations, table
+
+from .base import query
+from .quality_queries import HOURLY, hourly
+
+c, lit = F.col, F.lit
+r = lambda x, n=4: F.round(x, n)
+M = "6371000.0 * 2 * pi() / 360"
+DIST = f"sqrt(power(a.lat - b.lat, 2) + power(cos(radians(b.lat)) * (a.lon - b.lon), 2)) * {M}"
+#: Customers as target points near the stations.
+TARGETS = "targets AS (SELECT c_custkey, 60.003 + 0.0101 * CAST(c_custkey % 39 AS DOUBLE) AS lat, 24.004 + 0.0131 * CAST(c_custkey % 57 AS DOUBLE) AS lon FROM customer)"
+
+
+def targets(spark, sf):
+    k = c("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", (60.003 + 0.0101 * (k % 39)).alias("tlat"), (24.004 + 0.0131 * (k % 57)).alias("tlon"))
+
+
+@query("J1_alias_lookup", f"WITH {OBS}, {STATIONS}, ids AS (SELECT station, lower(station) AS id, 0 AS p FROM stations UNION ALL SELECT station, lower(alias1), 1 FROM stations UNION ALL SELECT station, lower(alias2), 2 FROM stations) SELECT event_id, arg_min(station, p) AS station FROM obs JOIN ids ON id = lower(source_id) GROUP BY event_id")
+def j1(spark, sf):
+    ids = stations(spark, sf).select("station", F.posexplode(F.array("station", "alias1", "alias2")).alias("p", "id"))
+    best = ids.groupBy(F.lower("id").alias("id")).agg(F.min_by("station", "p").alias("station"))  # one row an id: the join adds none
+    return observations(spark, sf).join(best, F.lower("source_id") == c("id")).select("event_id", "station")
+
+
+@query("J2_nearest_in_radius", f"WITH {STATIONS}, {TARGETS}, d AS (SELECT b.c_custkey, a.station, {DIST} AS dist FROM targets b, stations a) SELECT c_custkey, arg_min(station, dist) AS station, round(min(dist), 3) AS dist FROM d WHERE dist < 2000 GROUP BY c_custkey")
+def j2(spark, sf):
+    best = s.nearest(stations(spark, sf).select("station", "lat", "lon"), targets(spark, sf), 2000.0, "c_custkey", "station")
+    return best.select("c_custkey", "station", r(c("dist"), 3).alias("dist"))
+
+
+@query("J3_alias_types", f"WITH {HOURLY} SELECT source_id, sys_hour, count(*) AS n, round(sum(value), 4) AS total FROM hourly WHERE var IN ('click', 'view', 'purchase') GROUP BY ALL HAVING count(*) = 3")
+def j3(spark, sf):
+    need = ["click", "view", "purchase"]
+    g = hourly(spark, sf).filter(c("var").isin(need)).groupBy("source_id", "sys_hour").agg(F.count(lit(1)).alias("n"), r(F.sum("value")).alias("total"))
+    return g.filter(c("n") == len(need))
+
+
+@query("J10_met_cell_join", f"WITH {OBS}, met AS (SELECT sec // 10800 AS t, sid AS h, avg(value) AS v FROM obs WHERE var = 'view' GROUP BY ALL) SELECT event_id, round(v, 4) AS met FROM obs JOIN met ON t = sec // 10800 AND h = sid")
+def j10(spark, sf):
+    o = observations(spark, sf).withColumn("t", F.floor(c("sec") / 10800))
+    met = o.filter("var = 'view'").groupBy("t", "sid").agg(F.avg("value").alias("v"))
+    return o.join(met, ["t", "sid"]).select("event_id", r(c("v")).alias("met"))
+
+
+@query("J11_cell_sample", f"WITH {CELLS}, {TARGETS}, i AS (SELECT c_custkey, greatest(0, least(39, CAST(floor((60.4 - lat) / 0.01) AS BIGINT))) AS h, greatest(0, least(49, CAST(floor((lon - 24.0) / 0.0157) AS BIGINT))) AS w FROM targets) SELECT c_custkey, h, w, value FROM i LEFT JOIN cells USING (h, w)")
+def j11(spark, sf):
+    h, w = geo.cell_of(c("tlat"), c("tlon"), 60.4, 24.0, 0.01, 0.0157)
+    i = targets(spark, sf).select("c_custkey", geo.clamped(h, 40).alias("h"), geo.clamped(w, 50).alias("w"))
+    return i.join(grid_cells(spark, sf).select("h", "w", "value"), ["h", "w"], "left").select("c_custkey", "h", "w", "value")
+
+
+SMOOTH = "SELECT a.h, a.w, round(sum(b.value / (power(a.h - b.h, 2) + power(a.w - b.w, 2) + {add})) / sum(1 / (power(a.h - b.h, 2) + power(a.w - b.w, 2) + {add})), 3) AS value FROM cells a JOIN cells b ON b.h BETWEEN a.h - {r} AND a.h + {r} AND b.w BETWEEN a.w - {r} AND a.w + {r} GROUP BY a.h, a.w"
+
+
+@query("J12_neighbourhood_mean", f"WITH {CELLS} SELECT a.h, a.w, round(avg(b.value), 3) AS mean, count(*) AS n FROM cells a JOIN cells b ON b.h BETWEEN a.h - 1 AND a.h + 1 AND b.w BETWEEN a.w - 1 AND a.w + 1 GROUP BY a.h, a.w")
+def j12(spark, sf):
+    g = grid_cells(spark, sf)
+    near = s.neighbours(g, 1).join(g.select("h", "w"), ["h", "w"], "left_semi")
+    return near.groupBy("h", "w").agg(r(F.avg("value"), 3).alias("mean"), F.count(lit(1)).alias("n"))
+
+
+@query("J14_puff_cells", f"WITH {EMISSIONS}, p AS (SELECT DISTINCT h, w, 2 + CAST(floor(0.25 * height_m / 10) AS BIGINT) AS rad FROM emissions WHERE cat = 7) SELECT h + dh AS h, w + dw AS w, count(*) AS n FROM p, (SELECT unnest(range(-4, 5)) AS dh), (SELECT unnest(range(-4, 5)) AS dw) WHERE abs(dh) <= rad AND abs(dw) <= rad GROUP BY ALL")
+def j14(spark, sf):
+    p = emissions(spark, sf).filter("cat = 7").select("h", "w", (2 + F.floor(0.25 * c("height_m") / 10)).alias("rad")).distinct()
+    reach = lambda: F.explode(F.sequence(-c("rad"), c("rad")))
+    spread = p.withColumn("dh", reach()).withColumn("dw", reach())
+    return spread.groupBy((c("h") + c("dh")).alias("h"), (c("w") + c("dw")).alias("w")).agg(F.count(lit(1)).alias("n"))
+
+
+@query("J15_station_of_road", f"WITH {STATIONS}, {TARGETS}, {OBS}, d AS (SELECT b.c_custkey, a.alias1, {DIST} AS dist FROM targets b, stations a), n AS (SELECT c_custkey, arg_min(alias1, dist) AS source_id FROM d WHERE dist < 5000 GROUP BY c_custkey), h AS (SELECT source_id, max(sys_hour) AS last_hour, count(*) AS n FROM obs GROUP BY source_id) SELECT c_custkey, source_id, last_hour, n.n FROM (SELECT n.c_custkey, n.source_id, h.last_hour, h.n FROM n JOIN h USING (source_id)) n")
+def j15(spark, sf):
+    near = s.nearest(stations(spark, sf).select(c("alias1").alias("source_id"), "lat", "lon"), targets(spark, sf), 5000.0, "c_custkey", "source_id")
+    h = observations(spark, sf).groupBy("source_id").agg(F.max("sys_hour").alias("last_hour"), F.count(lit(1)).alias("n"))
+    return near.select("c_custkey", "source_id").join(h, "source_id")
+
+
+@query("J17_grid_alignment", f"WITH {CELLS} SELECT h, w, coalesce(round((SELECT 1) * o.v, 4), 0) AS other FROM cells LEFT JOIN (SELECT h AS oh, w AS ow, value * 2 AS v FROM cells WHERE w < 30) o ON oh = h AND ow = w + 5")
+def j17(spark, sf):
+    g = grid_cells(spark, sf).select("h", "w", "value")
+    other = g.filter("w < 30").select("h", (c("w") - 5).alias("w"), r(c("value") * 2).alias("other"))
+    return g.select("h", "w").join(other, ["h", "w"], "left").select("h", "w", F.coalesce("other", lit(0.0)).alias("other"))
+
+
+@query("J18_within_radius", f"WITH {STATIONS}, {TARGETS}, d AS (SELECT b.c_custkey, {DIST} AS dist FROM targets b, stations a) SELECT c_custkey, count(*) AS n, round(max(dist), 3) AS farthest FROM d WHERE dist < 3000 GROUP BY c_custkey")
+def j18(spark, sf):
+    pairs = s.within(stations(spark, sf).select("lat", "lon"), targets(spark, sf), 3000.0)
+    return pairs.groupBy("c_custkey").agg(F.count(lit(1)).alias("n"), r(F.max("dist"), 3).alias("farthest"))
+
+
+#: Hourly values with the variance of X1: the nugget of generic variables times maturity and station factors.
+VARIANCE = HOURLY + ", v AS (SELECT *, 20 * (1 + maturity / 48.0) * (1 + CAST(substr(source_id, 2) AS BIGINT) % 3) AS variance FROM hourly)"
+
+
+def with_variance(spark, sf):
+    scaler = 1 + F.substring("source_id", 2, 9).cast("long") % 3
+    return hourly(spark, sf).withColumn("variance", physics.observation_variance("generic", c("maturity"), scaler, 0.0, 0.0))
+
+
+X1_SQL = "x1 AS (SELECT var, sys_hour, greatest(0, sum(value / (variance + 0.001)) / sum(1 / (variance + 0.001))) AS value, sqrt(sum(variance / power(variance + 0.001, 2)) / power(sum(1 / (variance + 0.001)), 2)) AS std, count(*) AS n FROM v GROUP BY ALL)"
+
+
+@query("A13_inverse_variance_mean", f"WITH {VARIANCE} SELECT source_id, round(greatest(0, sum(value / (variance + 0.001)) / sum(1 / (variance + 0.001))), 4) AS value, count(*) AS n FROM v GROUP BY source_id")
+def a13(spark, sf):
+    return s.combined(with_variance(spark, sf), ["source_id"]).select("source_id", r(c("value")).alias("value"), "n")
+
+
+@query("A16_circular_mean", f"WITH {OBS}, w AS (SELECT source_id, CAST((sec // 60 * 7) % 360 AS DOUBLE) + 0.25 AS dir FROM obs) SELECT source_id, round((degrees(atan2(avg(sin(radians(dir))), avg(cos(radians(dir))))) + 360) % 360, 3) AS dir FROM w GROUP BY source_id")
+def a16(spark, sf):
+    w = observations(spark, sf).select("source_id", ((F.floor(c("sec") / 60) * 7 % 360).cast("double") + 0.25).alias("dir"))
+    return s.circular_mean("dir", ["source_id"], w).withColumn("dir", r(c("dir"), 3))
+
+
+@query("A17_met_average", f"WITH {OBS} SELECT source_id, sys_hour, round(avg(value), 4) AS temp, round(greatest(0.1, sqrt(power(avg(-cos(radians(event_id % 360))), 2) + power(avg(-sin(radians(event_id % 360))), 2))), 4) AS speed FROM obs GROUP BY ALL")
+def a17(spark, sf):
+    a = F.radians((c("event_id") % 360).cast("double"))
+    g = observations(spark, sf).groupBy("source_id", "sys_hour").agg(F.avg("value").alias("t"), F.avg(-F.cos(a)).alias("n"), F.avg(-F.sin(a)).alias("e"))
+    return g.select("source_id", "sys_hour", r(c("t")).alias("temp"), r(geo.wind_speed(c("n"), c("e"))).alias("speed"))
+
+
+@query("X1_variance_combination", f"WITH {VARIANCE}, {X1_SQL} SELECT var, sys_hour, round(value, 4) AS value, round(std, 4) AS std, n FROM x1")
+def x1(spark, sf):
+    return s.combined(with_variance(spark, sf), ["var", "sys_hour"]).select("var", "sys_hour", r(c("value")).alias("value"), r(c("std")).alias("std"), "n")
+
+
+FLAG_SQL = f"WITH {VARIANCE}, {X1_SQL}, i AS (SELECT sys_hour, 1 + 4 * power(greatest(0, least(1, value / CASE var WHEN 'click' THEN 100 WHEN 'view' THEN 150 ELSE 200 END)), 1.3) AS aqi FROM x1) SELECT sys_hour, round(max(aqi), 4) AS aqi, count(*) AS pollutants FROM i GROUP BY sys_hour"
+
+
+@query("X1_flagship_aqi", FLAG_SQL)
+def flagship(spark, sf):
+    """Accepted, deduplicated observations; inverse-variance combination by variable and hour; the hour's largest index."""
+    x = s.combined(with_variance(spark, sf), ["var", "sys_hour"])
+    top = F.when(c("var") == "click", 100.0).when(c("var") == "view", 150.0).otherwise(200.0)
+    i = x.select("sys_hour", geo.curve(c("value"), lit(0.0), top, 1.0, 5.0, 1.3).alias("aqi"))
+    return i.groupBy("sys_hour").agg(r(F.max("aqi")).alias("aqi"), F.count(lit(1)).alias("pollutants"))
+
+
+@query("X2_all_variables", f"WITH {VARIANCE}, {X1_SQL} SELECT sys_hour, round(max(CASE WHEN var = 'click' THEN value END), 4) AS click, round(max(CASE WHEN var = 'view' THEN value END), 4) AS view FROM x1 GROUP BY sys_hour")
+def x2(spark, sf):
+    p = s.combined(with_variance(spark, sf), ["var", "sys_hour"]).groupBy("sys_hour").pivot("var", ["click", "view"]).agg(F.first("value"))
+    return p.select("sys_hour", r(c("click")).alias("click"), r(c("view")).alias("view"))
+
+
+@query("J20_leave_one_out", f"WITH {VARIANCE} SELECT a.source_id, a.var, a.sys_hour, round(sum(b.value / (b.variance + 0.001)) / sum(1 / (b.variance + 0.001)), 6) AS predicted FROM v a JOIN v b ON a.var = b.var AND a.sys_hour = b.sys_hour AND a.source_id <> b.source_id GROUP BY ALL")
+def j20(spark, sf):
+    return s.all_but_own(with_variance(spark, sf), "source_id", ["var", "sys_hour"]).select("source_id", "var", "sys_hour", r(c("predicted"), 6).alias("predicted"))
+
+
+@query("X3_inverse_distance", f"WITH {STATIONS}, {TARGETS}, d AS (SELECT b.c_custkey, a.s_acctbal AS v, {DIST} AS dist FROM targets b, stations a) SELECT c_custkey, round(sum(v / (greatest(dist, 50) + 0.001)) / sum(1 / (greatest(dist, 50) + 0.001)), 3) AS value FROM d WHERE dist < 4000 GROUP BY c_custkey")
+def x3(spark, sf):
+    near = s.within(stations(spark, sf).select(c("s_acctbal").alias("value"), "lat", "lon"), targets(spark, sf), 4000.0)
+    return s.weighted(near, ["c_custkey"], 1 / (F.greatest(c("dist"), lit(50.0)) + 0.001)).select("c_custkey", r(c("value"), 3).alias("value"))
+
+
+@query("X4_grid_from_points", f"WITH {STATIONS}, g AS (SELECT h, w, 60.0 + 0.02 * h AS lat, 24.0 + 0.04 * w AS lon FROM (SELECT unnest(range(20)) AS h), (SELECT unnest(range(20)) AS w)), d AS (SELECT b.h, b.w, a.s_acctbal AS v, {DIST} AS dist FROM g b, stations a) SELECT h, w, round(sum(v / (greatest(dist, 50) + 0.001)) / sum(1 / (greatest(dist, 50) + 0.001)), 3) AS value FROM d WHERE dist < 5000 GROUP BY h, w")
+def x4(spark, sf):
+    g = spark.range(400).select(F.floor(c("id") / 20).alias("h"), (c("id") % 20).alias("w"))
+    g = g.select("h", "w", (60.0 + 0.02 * c("h")).alias("tlat"), (24.0 + 0.04 * c("w")).alias("tlon"))
+    near = s.within(stations(spark, sf).select(c("s_acctbal").alias("value"), "lat", "lon"), g, 5000.0)
+    return s.weighted(near, ["h", "w"], 1 / (F.greatest(c("dist"), lit(50.0)) + 0.001)).select("h", "w", r(c("value"), 3).alias("value"))
+
+
+@query("X5_grid_refinement", f"""WITH {CELLS}, k AS (SELECT unnest([0, 1]) AS i), f AS (SELECT h, w, k.i, l.i AS j FROM cells, k, k l),
+p AS (SELECT f.h * 2 + i AS fh, f.w * 2 + j AS fw, b.value, greatest(0.0625, power(f.h + (i + 0.5) / 2 - 0.5 - b.h, 2) + power(f.w + (j + 0.5) / 2 - 0.5 - b.w, 2)) AS d2 FROM f JOIN cells b ON b.h BETWEEN f.h - 1 AND f.h + 1 AND b.w BETWEEN f.w - 1 AND f.w + 1) SELECT fh, fw, round(sum(value / d2) / sum(1 / d2), 3) AS value FROM p GROUP BY fh, fw""")
+def x5(spark, sf):
+    return s.refined(grid_cells(spark, sf).select("h", "w", "value"), 2).withColumn("value", r(c("value"), 3))
+
+
+@query("X7_smoother", f"WITH {CELLS} " + SMOOTH.format(add="0.0625", r=2))
+def x7(spark, sf):
+    return s.smoothed_cells(grid_cells(spark, sf).select("h", "w", "value"), 2, 0.0625).withColumn("value", r(c("value"), 3))
+
+
+@query("X8_empty_cell_fill", f"WITH {CELLS}, have AS (SELECT * FROM cells WHERE size > 10), e AS (SELECT h, w FROM cells WHERE size <= 10) SELECT e.h, e.w, round(sum(b.value / greatest(2.25, power(e.h - b.h, 2) + power(e.w - b.w, 2))) / sum(1 / greatest(2.25, power(e.h - b.h, 2) + power(e.w - b.w, 2))), 3) AS value FROM e JOIN have b ON b.h BETWEEN e.h - 3 AND e.h + 3 AND b.w BETWEEN e.w - 3 AND e.w + 3 GROUP BY e.h, e.w")
+def x8(spark, sf):
+    g = grid_cells(spark, sf).select("h", "w", "value", "size")
+    return s.filled_cells(g.filter("size > 10").select("h", "w", "value"), g.select("h", "w"), 3).withColumn("value", r(c("value"), 3))
+
+
+@query("X9_square_cells", f"WITH {CELLS} SELECT h, w // 2 AS w, round(avg(value), 3) AS value FROM cells GROUP BY ALL")
+def x9(spark, sf):
+    return grid_cells(spark, sf).groupBy("h", F.floor(c("w") / 2).alias("w")).agg(r(F.avg("value"), 3).alias("value"))
+
+
+@query("X10_puff_layer_smooth", f"WITH {CELLS} " + SMOOTH.format(add="0.1", r=2))
+def x10(spark, sf):
+    return s.smoothed_cells(grid_cells(spark, sf).select("h", "w", "value"), 2, 0.1).withColumn("value", r(c("value"), 3))
+
+
+@query("X14_met_smoothing", f"WITH {CELLS} " + SMOOTH.format(add="1", r=1))
+def x14(spark, sf):
+    return s.smoothed_cells(grid_cells(spark, sf).select("h", "w", "value"), 1, 1.0).withColumn("value", r(c("value"), 3))
+
+
+@query("X12_met_synthesis", f"WITH {OBS}, {STATIONS}, g AS (SELECT var, sys_hour, arg_min(value, maturity * 10000000000 + event_id) AS best, avg(value) AS mean FROM obs GROUP BY ALL) SELECT sys_hour, round(max(CASE WHEN var = 'view' THEN best END), 4) AS temp, round(max(CASE WHEN var = 'click' THEN mean END), 4) AS rain FROM g GROUP BY sys_hour")
+def x12(spark, sf):
+    g = observations(spark, sf).groupBy("var", "sys_hour").agg(F.min_by("value", c("maturity") * 10000000000 + c("event_id")).alias("best"), F.avg("value").alias("mean"))
+    return g.groupBy("sys_hour").agg(r(F.max(F.when(c("var") == "view", c("best")))).alias("temp"), r(F.max(F.when(c("var") == "click", c("mean")))).alias("rain"))
+
+
+@query("X13_met_grid_for_span", f"WITH {OBS} SELECT sec // 1200 * 1200 AS t_key, sid AS h, CAST(event_id % 4 AS BIGINT) AS w, round(avg(value), 4) AS value, count(*) AS n FROM obs GROUP BY ALL")
+def x13(spark, sf):
+    return observations(spark, sf).groupBy(t.bucket(c("sec"), 20).alias("t_key"), c("sid").alias("h"), (c("event_id") % 4).alias("w")).agg(r(F.avg("value")).alias("value"), F.count(lit(1)).alias("n"))
+
+
+@query("X15_regional_background", f"WITH {CELLS} SELECT a.h, a.w, round(min(b.value), 4) AS background FROM cells a JOIN cells b ON b.h = a.h AND b.w BETWEEN a.w - 3 AND a.w + 3 GROUP BY a.h, a.w")
+def x15(spark, sf):
+    g = grid_cells(spark, sf).select("h", "w", "value")
+    sent = g.select("h", F.explode(F.transform(s.around(3), lambda k: c("w") + k)).alias("w"), "value")
+    return sent.groupBy("h", "w").agg(r(F.min("value")).alias("background")).join(g, ["h", "w"], "left_semi")
+
+
+@query("X18_nearest_emission", f"WITH {EMISSIONS}, {CELLS}, e AS (SELECT DISTINCT h, w FROM emissions WHERE cat = 7) SELECT a.h, a.w, round(min(sqrt(power(a.h - e.h, 2) + power(a.w - e.w, 2))), 4) AS dist FROM cells a JOIN e ON e.h BETWEEN a.h - 4 AND a.h + 4 AND e.w BETWEEN a.w - 4 AND a.w + 4 GROUP BY a.h, a.w")
+def x18(spark, sf):
+    e = emissions(spark, sf).filter("cat = 7").select("h", "w", lit(1).alias("value")).distinct()
+    d = F.sqrt((c("dh") * c("dh") + c("dw") * c("dw")).cast("double"))
+    near = s.neighbours(e, 4).groupBy("h", "w").agg(r(F.min(d)).alias("dist"))
+    return near.join(grid_cells(spark, sf).select("h", "w"), ["h", "w"], "left_semi")

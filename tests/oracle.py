@@ -28,7 +28,7 @@ def plain(x):
     if isinstance(x, (list, tuple)):
         return tuple(map(plain, x))
     try:
-        return round(float(x), 7) + 0.0
+        return round(float(x), 9) + 0.0
     except (TypeError, ValueError):
         return str(x)
 
