@@ -26,9 +26,9 @@ from .common import session, table, written
 from .textops import ODD, mixed, word_hashes, words_of
 
 BASE = 8
-#: Entries of a bucket, and words of a task's working set.
-BUCKET = 3_000_000
-WORKING_SET = 2_000_000
+#: Entries of a bucket, and words of a task's working set; they bound a Python worker's memory.
+BUCKET = 1_000_000
+WORKING_SET = 600_000
 NO_ID = (1 << 63) - 1
 PACKED = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(c, T.BinaryType()) for c in ("ids", "keys", "counts", "pos", "hash")])
 
@@ -116,19 +116,20 @@ def mail(ids, keys, pos, hashes, last, n_parts):
         return
     hit, send = settled(ids, hashes, last)
     bucket = ((hashes >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int32)
-    yield from packed(bucket[send], ids[send], keys[send], pos[send], hashes[send], 8 if last else 5)
+    yield from packed(bucket[send], ids[send], keys[send], pos[send], hashes[send], 8 if last else 4)
     yield from answers(ids[hit], keys[hit], pos[hit], narrowed(hashes[hit], n_parts) if not last else hashes[hit], last, n_parts)
 
 
 def narrowed(hashes, n_parts):
-    """What a bucket can tell of a hash of which it sees the low 40 bits."""
-    return (hashes & np.uint64((1 << 40) - 1)) | ((hashes >> np.uint64(40)) % np.uint64(n_parts)) << np.uint64(40)
+    """What a bucket can tell of a hash of which it sees the low 32 bits. Two windows that only agree in these go on as candidates;
+    the next level's hash comes from both halves of a window, and the last level compares 64 bits."""
+    return (hashes & np.uint64((1 << 32) - 1)) | ((hashes >> np.uint64(40)) % np.uint64(n_parts)) << np.uint64(32)
 
 
 def answers(ids, keys, pos, hashes, last, n_parts):
     """Rows to groups of documents, numbered from -1 downwards; the last level's need no hash."""
     group = (mixed(ids.view(np.uint64) ^ keys.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
-    return packed(-1 - group, ids, keys, pos, hashes, 0 if last else 8)
+    return packed(-1 - group, ids, keys, pos, hashes, 0 if last else 6 if n_parts <= 1 << 16 else 8)
 
 
 def frame(rows):
@@ -174,18 +175,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "key": F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))})
 
 
-def bucket_answers(requests: DataFrame, last: bool, n_parts: int) -> DataFrame:
-    """Answers of the buckets: the entries that another document decides."""
+def delivered(mail: DataFrame, last: bool, n_parts: int) -> DataFrame:
+    """Answers by groups of documents: what the buckets find that another document decides, and what tasks had found themselves."""
 
     def settle(pdf):
+        if pdf["part"].iloc[0] < 0:
+            return pdf
         ids, keys, pos, hashes = unpacked(pdf)
         hit, _ = settled(ids, hashes, last)
         at = np.flatnonzero(hit)
         at = at[np.lexsort((pos[at], keys[at], ids[at]))]
-        full = hashes[at] if last else hashes[at] | np.uint64(pdf["part"].iloc[0]) << np.uint64(40)
+        full = hashes[at] if last else hashes[at] | np.uint64(pdf["part"].iloc[0]) << np.uint64(32)
         return frame(answers(ids[at], keys[at], pos[at], full, last, n_parts))
 
-    return requests.filter("part >= 0").groupBy("part").applyInPandas(settle, PACKED)
+    return mail.groupBy("part").applyInPandas(settle, PACKED)
 
 
 def next_level(survivors: DataFrame, step: int, last: bool, n_parts: int) -> DataFrame:
@@ -213,12 +216,10 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, min(1 << 20, size // (6 * BUCKET) + 1))
     lengths = levels(window)
-    sent = written(first_level(docs, lengths[0], len(lengths) == 1, n_parts))
-    for k, length in enumerate(lengths):
+    found = delivered(first_level(docs, lengths[0], len(lengths) == 1, n_parts), len(lengths) == 1, n_parts)
+    for k in range(1, len(lengths)):
         last = k == len(lengths) - 1
-        found = sent.filter("part < 0").union(bucket_answers(sent, last, n_parts))
-        if not last:
-            sent = written(next_level(found, lengths[k + 1] - length, k + 2 == len(lengths), n_parts))
+        found = delivered(next_level(found, lengths[k] - lengths[k - 1], last, n_parts), last, n_parts)
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("starts", T.BinaryType())])
 
     def by_document(pdf):
