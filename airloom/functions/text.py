@@ -42,7 +42,7 @@ def affine(text: str):
     tags = dict(TAG.findall(text))
     if "AFFINE" not in tags:
         return None
-    body, terms, at = tags["AFFINE"], [], 0
+    body, terms, at = re.sub(r"\+\s*-", "-", tags["AFFINE"]), [], 0
     while at < len(body):
         m = TERM.match(body, at)
         if not m:
