@@ -261,7 +261,7 @@ def example(text, spans):
     return (rows, gold) if ok and any(rows) else None
 
 
-def fit(texts, rounds=25, step=0.5, l2=1e-3):
+def fit(texts, rounds=25, step=1.0, l2=1e-3):
     """A field fitted to island texts; AdaGrad over the whole sample."""
     data = []
     for x in texts:

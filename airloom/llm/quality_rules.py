@@ -18,6 +18,8 @@ from .common import session, table, written
 from .textops import BLANKS, repeated_cover
 
 SYMBOLS = "#*$%&|<>"
+#: The prior weighs at least so many documents, so a host of a few documents is never rejected for them alone.
+LEAST_STRENGTH = 10.0
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
 
@@ -75,7 +77,7 @@ def host_verdicts(failures: DataFrame, host: str = "source", max_rate: float = 0
     spread = hosts.agg(F.avg((rate - mean) * (rate - mean))).first()[0] or 0.0
     chance = mean * (1 - mean)
     beyond = max(spread - chance * (inverse or 0) / max(n_hosts, 1), 1e-6)
-    strength = min(max(chance / beyond - 1, 2.0), 1000.0)
+    strength = min(max(chance / beyond - 1, LEAST_STRENGTH), 1000.0)
     shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > max_rate)
 
