@@ -1,6 +1,6 @@
 """URL filtering by fixed host rules and mined association rules.
 
-A URL becomes a set of tokens: its host's labels, the words and neighbouring words of a label cut at hyphens, its
+A URL becomes a set of tokens: its host's labels, the words of labels with hyphens, its
 path's segments (numbers as one token) and its query's keys. FP-growth finds the token combinations that are frequent among
 URLs labelled bad; their support among all labelled URLs gives confidence. Rules below ``min_confidence`` or
 ``min_support`` go, and so do those of which a part is itself a rule. Rules are indexed by their rarest token: each URL
@@ -20,6 +20,8 @@ HOST_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.ex
 #: Host words by which a URL counts as bad, besides its document's labels.
 BAD_WORDS = ["adult", "bets", "casino", "pills", "porn", "spam", "xxx"]
 MIN_SUPPORT = 5
+#: Support is at least this share of the bad URLs too, so that the frequent sets don't multiply with the labels.
+MIN_SHARE = 0.002
 MIN_CONFIDENCE = 0.8
 MAX_RULE_TOKENS = 3
 #: Rules are broadcast up to this many; beyond it the join shuffles.
@@ -49,7 +51,7 @@ def tokens(url: Column) -> Column:
     """The distinct tokens of a URL."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
-    words = F.flatten(F.transform(labels, lambda x: F.transform(F.split(x, "-"), lambda w: F.concat(F.lit("w:"), w))))
+    words = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.transform(F.split(x, "-"), lambda w: F.concat(F.lit("w:"), w))))
     segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), F.regexp_replace(F.substring(x, 1, 64), "[0-9]+", "0")))
     keys = F.transform(
         F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1), "&"), lambda x: F.concat(F.lit("q:"), F.substring_index(F.substring(x, 1, 64), "=", 1))
@@ -79,9 +81,10 @@ def mined(labelled: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: f
     rows = written(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
     bad = rows.filter("bad")
     n_bad = bad.count()
+    min_support = max(min_support, MIN_SHARE * n_bad)
     if n_bad < min_support:
         return spark.createDataFrame([], "rule array<string>, support long, confidence double")
-    model = FPGrowth(itemsCol="tokens", minSupport=min_support / n_bad, minConfidence=0.0).fit(bad.select("tokens"))
+    model = FPGrowth(itemsCol="tokens", minSupport=(min_support - 0.5) / n_bad, minConfidence=0.0).fit(bad.select("tokens"))
     sets = written(model.freqItemsets.filter(F.size("items") <= MAX_RULE_TOKENS).select(F.array_sort("items").alias("rule"), F.col("freq").alias("support")))
     total = matches(rows.select("row", "tokens"), sets.select("rule"), "row").groupBy("rule").agg(F.count(F.lit(1)).alias("total"))
     sure = written(sets.join(total, "rule").withColumn("confidence", F.col("support") / F.col("total")).filter(F.col("confidence") >= min_confidence).drop("total"))
@@ -109,7 +112,7 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``(tokens, bad)``: pages with a label of their id; bad by label or by a word of the host."""
     rows = pages.select("page_id", "url").join(labels.select("doc_id", "quality", "toxic"), F.col("page_id") == F.col("doc_id"))
     t = tokens(F.col("url"))
-    by_word = F.arrays_overlap(t, F.array(*[F.lit(f"w:{w}") for w in BAD_WORDS]))
+    by_word = F.arrays_overlap(t, F.array(*[F.lit(f"{k}:{w}") for w in BAD_WORDS for k in "wh"]))
     by_label = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(False))
     return rows.select(t.alias("tokens"), (by_word | by_label).alias("bad")).filter(F.size("tokens") > 0)
 
