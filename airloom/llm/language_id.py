@@ -30,7 +30,7 @@ BLOCK = 1 << 20
 
 def profile(text):
     """Counts of hashed two- and three-byte n-grams of a whole text, as shares; None without a letter."""
-    if not text or not LETTER.search(text):
+    if not text or not any(m.group().isalpha() for m in LETTER.finditer(text)):
         return None
     raw = b" ".join(text.lower().encode("utf-8", "replace").translate(FOLD).split())
     raw = b" " + raw + b" "

@@ -28,13 +28,14 @@ MAX_TOKENS = 5
 MAX_ISLANDS = 600
 MIN_POSTERIOR = 0.9
 
-#: The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: The base patterns. An address is a run of local signs, ``@`` and a domain; an ip starts at the start of its digits,
+#: so that long runs are read once.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-AT_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 AT_WORD = re.compile(r"\s*[(\[]at[)\]]\s*|@")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,12 +57,14 @@ def base_spans(text):
     out, at, done = [], text.find("@"), 0
     while at >= 0:
         lo = at
-        while lo > done and AT_RUN.match(text, lo - 1, lo):
+        while lo > done and text[lo - 1] in LOCAL:
             lo -= 1
-        hi = AT_RUN.match(text, at).end()
-        out += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text, lo, hi)]
-        done, at = hi, text.find("@", hi)
-    out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m.group().split("."))]
+        m = DOMAIN.match(text, at + 1) if lo < at else None
+        if m:
+            done = m.end()
+            out.append((lo, done, 0))
+        at = text.find("@", done if m else at + 1)
+    out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p) < 4 and int(p or 0) < 256 for p in (q.lstrip("0") for q in m.group().split(".")))]
     out += [(m.start(), m.end(), 2) for m in CARD.finditer(text) if 14 <= len(digits_of(m.group())) <= 19 and luhn(m.group()) % 10 == 0]
     out += [(m.start(), m.end(), 3) for m in PHONE.finditer(text) if 10 <= len(digits_of(m.group())) <= 15]
     return sorted(out, key=lambda x: (x[0], x[2]))

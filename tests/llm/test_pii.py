@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from airloom.llm import pii
 
@@ -12,6 +14,8 @@ TEXTS = [
     "+1 (389) 555-5010 +12 +123456789012345678",
     "é" * 50 + " +358 40 123 4567 x@y.fi",
     "a@b.c@d.e.f " * 30,
+    "a@b.c_d@e.f a@b.c.-x@y.z @a.b x@.a.b x@-.- a@b..c a+%@b.c1.2.3.4",
+    "1" * 5000 + ".1.1.1 " + "0" * 5000 + "1.2.3.4 1.2.3.4.5.6.7.8 12.3.4.5x6.7.8.9",
 ]
 
 
@@ -19,7 +23,7 @@ def brute(x):
     x = x or ""
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
-    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p.lstrip("0")[:9] or 0) <= 255 for p in m.group().split("."))]
     out += [(m.start(), m.end(), 2) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x) if 14 <= len(digits(m.group())) <= 19 and pii.luhn(m.group()) % 10 == 0]
     out += [(m.start(), m.end(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 10 <= len(digits(m.group())) <= 15]
     return sorted(out, key=lambda s: (s[0], s[2]))
@@ -30,6 +34,20 @@ def test_base_spans():
         assert pii.base_spans(x) == brute(x)
 
 
+def test_base_spans_of_random_texts():
+    rng = random.Random(5)
+    for _ in range(3000):
+        x = "".join(rng.choice("a1@.-_ +(2%\u00e9") for _ in range(rng.randrange(40)))
+        assert pii.base_spans(x) == brute(x)
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for x in ("1" * 1_000_000, "a" * 1_000_000 + "@b", "a@" * 300_000, "+1 " * 300_000, "1." * 300_000):
+        pii.base_spans(x)
+    assert time.time() - began < 30
+
+
 def sample():
     mails = [f"write to user{i}.x@mail{i % 7}.example.com today please" for i in range(60)]
     phones = [f"call +1 ({200 + i}) 555-{1000 + 37 * i} now or later" for i in range(60)]
