@@ -4,6 +4,8 @@ Band joins go through bins: one side is copied to the bins around it, the other
 equality on the bin. A bin is as wide as the radius, so nine copies are enough, whatever the number of points.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,6 @@ def within(points: DataFrame, targets: DataFrame, radius_m: float, max_lat: floa
 
     Latitude bins are one radius high, longitude bins one radius wide at ``max_lat``.
     """
-    import math
-
     dy = radius_m / DEGREE_M
     dx = dy / math.cos(math.radians(max_lat))
     a = points.withColumns({"_y": F.floor(F.col("lat") / dy), "_x": F.floor(F.col("lon") / dx)})
@@ -98,3 +98,17 @@ def all_but_own(rows: DataFrame, key: str, slot) -> DataFrame:
     sums = rows.groupBy(*slot).agg(F.sum(w * F.col("value")).alias("a"), F.sum(w).alias("b"), F.count(F.lit(1)).alias("_sources"))
     own = rows.join(sums, slot).filter("_sources > 1")
     return own.select(key, *slot, "value", ((F.col("a") - w * F.col("value")) / (F.col("b") - w)).alias("predicted"))
+
+
+def smooth_at(points: DataFrame, grids: DataFrame, key: str, layer: str = "layer", reach: float = 2.1) -> DataFrame:
+    """``(key, layer, value)``: inverse-distance value of each grid layer at points in cell units.
+
+    ``points(key, layer, y, x)`` and ``grids(layer, h, w, value)``; distances count from a cell's corner, 0.2 cells at least, and only
+    cells nearer than ``reach`` take part. Cells are found by equality on the cells around the point's own.
+    """
+    n = math.ceil(reach)
+    asked = points.select(key, layer, "y", "x", F.explode(around(n)).alias("dh")).select("*", F.explode(around(n)).alias("dw"))
+    asked = asked.select(key, layer, "y", "x", (F.floor("y") + F.col("dh")).alias("h"), (F.floor("x") + F.col("dw")).alias("w"))
+    near = asked.join(grids.select(layer, "h", "w", "value"), [layer, "h", "w"])
+    dist = F.greatest(F.lit(0.2), F.sqrt(F.pow(F.col("y") - F.col("h"), 2) + F.pow(F.col("x") - F.col("w"), 2)))
+    return weighted(near.filter(dist < reach), [key, layer], 1 / dist)

@@ -1,6 +1,7 @@
 """Queries for spatial joins (J), weighted combination (A13, A16, A17) and resampling (X1 to X18)."""
 
 import math
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from airloom.operators import temporal as t
 from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations, table
 
 from .base import query
+from .extensions import closed_over
 from .quality_queries import HOURLY, hourly
 
 c, lit = F.col, F.lit
@@ -226,3 +228,31 @@ def x18(spark, sf):
     d = F.sqrt((c("dh") * c("dh") + c("dw") * c("dw")).cast("double"))
     near = s.neighbours(e, 4).groupBy("h", "w").agg(r(F.min(d)).alias("dist"))
     return near.join(grid_cells(spark, sf).select("h", "w"), ["h", "w"], "left_semi")
+
+
+#: Two layers of a grid, an hour apart, and points in cell units with their share of the second layer.
+W2_SQL = f"""WITH {CELLS}, l AS (SELECT 0 AS layer, h, w, value FROM cells UNION ALL SELECT 1, h, w, value * 2 + size FROM cells),
+p AS (SELECT c_custkey, CAST(c_custkey % 39 AS DOUBLE) + 0.3 AS y, CAST(c_custkey % 49 AS DOUBLE) + 0.6 AS x, CAST(c_custkey % 60 AS DOUBLE) / 60 AS share FROM customer),
+d AS (SELECT c_custkey, share, layer, value, greatest(0.2, sqrt(power(y - h, 2) + power(x - w, 2))) AS dist FROM p JOIN l ON h BETWEEN floor(y) - 3 AND floor(y) + 3 AND w BETWEEN floor(x) - 3 AND floor(x) + 3),
+v AS (SELECT c_custkey, share, layer, sum(value / dist) / sum(1 / dist) AS value FROM d WHERE dist < 2.1 GROUP BY ALL)
+SELECT c_custkey, round(sum(CASE layer WHEN 0 THEN 1 - share ELSE share END * value), 4) AS value FROM v GROUP BY c_custkey"""
+
+
+@query("W2_space_time_value", W2_SQL)
+def w2(spark, sf):
+    g = grid_cells(spark, sf)
+    layers = g.select(lit(0).alias("layer"), "h", "w", "value").union(g.select(lit(1).alias("layer"), "h", "w", c("value") * 2 + c("size")))
+    k = c("c_custkey")
+    p = table(spark, sf, "customer").select("c_custkey", ((k % 39).cast("double") + 0.3).alias("y"), ((k % 49).cast("double") + 0.6).alias("x"), F.explode(F.array(lit(0), lit(1))).alias("layer"))
+    share = (k % 60).cast("double") / 60
+    value = s.smooth_at(p, layers, "c_custkey")
+    return value.groupBy("c_custkey").agg(r(F.sum(F.when(c("layer") == 0, 1 - share).otherwise(share) * c("value"))).alias("value"))
+
+
+@query("U4_variable_closure", "WITH asked AS (SELECT unnest(['AQI', 'NO2']) AS var), needs AS (SELECT unnest(['AQI', 'AQI', 'PM10', 'coarsePM']) AS var, unnest(['PM25', 'PM10', 'coarsePM', 'PM25']) AS need), one AS (SELECT var FROM asked UNION SELECT need FROM needs SEMI JOIN asked USING (var)), two AS (SELECT var FROM one UNION SELECT need FROM needs SEMI JOIN one USING (var)) SELECT var, var IN (SELECT var FROM asked) AS asked FROM two")
+def u4(spark, sf):
+    """Variables that the asked ones need, a list of a few names from the configuration."""
+    asked = ["AQI", "NO2"]
+    needs = {"AQI": ["PM25", "PM10"], "PM10": ["coarsePM"], "coarsePM": ["PM25"]}
+    found, _ = closed_over(asked, {v: SimpleNamespace(variables=n) for v, n in needs.items()})
+    return spark.createDataFrame([(v, v in asked) for v in sorted(found)], "var string, asked boolean")
