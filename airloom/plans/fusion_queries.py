@@ -8,7 +8,7 @@ from airloom.operators import quality as q
 from airloom.operators import temporal as t
 from airloom.sources.adapters import EMISSIONS, OBS, emissions, observations
 
-from .base import query
+from .base import TIE, query
 from .quality_queries import COVAR, HOURLY, hourly
 
 c, lit = F.col, F.lit
@@ -124,10 +124,10 @@ def k4(spark, sf):
     return components(spark, sf).groupBy("var", "source_id").agg(F.count(lit(1)).alias("n"), r(F.avg(e)).alias("bias"), r(F.sqrt(F.avg(e * e))).alias("rmse"))
 
 
-@query("K6_override_series", f"WITH {HOURLY}, s AS (SELECT var, sys_hour, avg(value) AS v FROM hourly GROUP BY ALL) SELECT var, sys_hour, round(v / 10, 4) AS c0, round(0.8 + v / 200, 4) AS c1, round(0.8 + v / 400, 4) AS c2, round(0.8 + v / 600, 4) AS c3 FROM s")
+@query("K6_override_series", f"WITH {HOURLY}, s AS (SELECT var, sys_hour, avg(value) AS v FROM hourly GROUP BY ALL) SELECT var, sys_hour, round(v / 10 + {TIE}, 4) AS c0, round(0.8 + v / 200 + {TIE}, 4) AS c1, round(0.8 + v / 400 + {TIE}, 4) AS c2, round(0.8 + v / 600 + {TIE}, 4) AS c3 FROM s")
 def k6(spark, sf):
     p = adjustments(spark, sf).groupBy("var", "sys_hour").pivot("cat", list(range(N_CAT))).agg(F.first("factor"))
-    return p.select("var", "sys_hour", *[r(c(str(k))).alias(f"c{k}") for k in range(N_CAT)])
+    return p.select("var", "sys_hour", *[r(c(str(k)) + TIE).alias(f"c{k}") for k in range(N_CAT)])
 
 
 @query("K7_trust_series", f"WITH {OBS} SELECT source_id, sys_hour, round(1000 * CAST(sum(CASE WHEN maturity = 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 3) AS permille FROM obs GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from airloom.operators import quality as q
 from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations, table
 
-from .base import query
+from .base import TIE, query
 
 LO, HI = 0.0, 300.0
 HOURLY = (
@@ -138,9 +138,9 @@ def d3(spark, sf):
     return observations(spark, sf).select("var", "sys_hour").dropDuplicates()
 
 
-@query("A1_moments", f"WITH {HOURLY} SELECT var, source_id, round(avg(value), 4) AS mean, round(var_pop(value), 3) AS variance, round(stddev_pop(value), 4) AS std FROM hourly GROUP BY var, source_id")
+@query("A1_moments", f"WITH {HOURLY} SELECT var, source_id, round(avg(value) + {TIE}, 4) AS mean, round(var_pop(value), 3) AS variance, round(stddev_pop(value), 4) AS std FROM hourly GROUP BY var, source_id")
 def a1(spark, sf):
-    return hourly(spark, sf).groupBy("var", "source_id").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.var_pop("value"), 3).alias("variance"), F.round(F.stddev_pop("value"), 4).alias("std"))
+    return hourly(spark, sf).groupBy("var", "source_id").agg(F.round(F.avg("value") + TIE, 4).alias("mean"), F.round(F.var_pop("value"), 3).alias("variance"), F.round(F.stddev_pop("value"), 4).alias("std"))
 
 
 @query("A2_min_max_mean", f"WITH {CELLS} SELECT round(min(value), 4) AS lo, round(max(value), 4) AS hi, round(avg(value), 4) AS mean FROM cells")
@@ -248,9 +248,9 @@ def a19(spark, sf):
     return observations(spark, sf).rollup("var", "sid").agg(F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("A20_hourly_profile", f"WITH {HOURLY} SELECT var, sys_hour % 24 AS hour, round(avg(value), 4) AS mean FROM hourly GROUP BY ALL")
+@query("A20_hourly_profile", f"WITH {HOURLY} SELECT var, sys_hour % 24 AS hour, round(avg(value) + {TIE}, 4) AS mean FROM hourly GROUP BY ALL")
 def a20(spark, sf):
-    return hourly(spark, sf).groupBy("var", (F.col("sys_hour") % 24).alias("hour")).agg(F.round(F.avg("value"), 4).alias("mean"))
+    return hourly(spark, sf).groupBy("var", (F.col("sys_hour") % 24).alias("hour")).agg(F.round(F.avg("value") + TIE, 4).alias("mean"))
 
 
 @query("A21_category_sum", f"WITH {EMISSIONS} SELECT pollutant, round(sum(rate), 2) AS total FROM emissions GROUP BY pollutant")
@@ -275,10 +275,10 @@ def a24(spark, sf):
     return q.with_share(cells, "r", ["cat"]).select("cat", "h", "w", F.round(1000 * F.col("share"), 6).alias("normalized"))
 
 
-@query("A25_completeness", f"WITH {HOURLY} SELECT var, source_id, count(value) AS available, 720 - count(value) AS missing, round(min(value), 4) AS lo, round(max(value), 4) AS hi, round(avg(value), 4) AS mean, count(value) > 10 AND min(value) = max(value) AS constant FROM hourly WHERE sys_hour BETWEEN 473352 AND 474071 GROUP BY ALL")
+@query("A25_completeness", f"WITH {HOURLY} SELECT var, source_id, count(value) AS available, 720 - count(value) AS missing, round(min(value), 4) AS lo, round(max(value), 4) AS hi, round(avg(value) + {TIE}, 4) AS mean, count(value) > 10 AND min(value) = max(value) AS constant FROM hourly WHERE sys_hour BETWEEN 473352 AND 474071 GROUP BY ALL")
 def a25(spark, sf):
     c = q.completeness(hourly(spark, sf), 473352, 474071)
-    return c.withColumns({x: F.round(x, 4) for x in ("lo", "hi", "mean")})
+    return c.withColumns({"lo": F.round("lo", 4), "hi": F.round("hi", 4), "mean": F.round(F.col("mean") + TIE, 4)})
 
 
 @query("A26_severity", f"WITH {HOURLY}, c AS (SELECT var, source_id, count(*) AS n FROM hourly GROUP BY ALL) SELECT var, count(*) AS sources, CASE WHEN min(n) >= 200 THEN 'ok' WHEN avg(n) >= 100 THEN 'warning' ELSE 'severe' END AS severity FROM c GROUP BY var")
@@ -287,9 +287,9 @@ def a26(spark, sf):
     return c.select("var", "sources", F.when(F.col("lo") >= 200, "ok").when(F.col("mean") >= 100, "warning").otherwise("severe").alias("severity"))
 
 
-@query("A27_weekly_mean", f"WITH {HOURLY} SELECT var, sys_hour // 168 AS week, round(avg(value), 4) AS mean FROM hourly GROUP BY ALL")
+@query("A27_weekly_mean", f"WITH {HOURLY} SELECT var, sys_hour // 168 AS week, round(avg(value) + {TIE}, 4) AS mean FROM hourly GROUP BY ALL")
 def a27(spark, sf):
-    return hourly(spark, sf).groupBy("var", F.floor(F.col("sys_hour") / 168).alias("week")).agg(F.round(F.avg("value"), 4).alias("mean"))
+    return hourly(spark, sf).groupBy("var", F.floor(F.col("sys_hour") / 168).alias("week")).agg(F.round(F.avg("value") + TIE, 4).alias("mean"))
 
 
 @query("A28_acts_last_hours", f"WITH {OBS}, acts AS (SELECT var, sys_hour, count(DISTINCT source_id) AS n FROM obs GROUP BY ALL) SELECT a.var, a.sys_hour, CAST(sum(b.n) AS BIGINT) AS acts FROM acts a JOIN acts b ON a.var = b.var AND b.sys_hour BETWEEN a.sys_hour - 5 AND a.sys_hour GROUP BY ALL")
@@ -299,10 +299,10 @@ def a28(spark, sf):
     return spread.join(acts.select("var", "sys_hour"), ["var", "sys_hour"])
 
 
-@query("A29_daily_average", f"WITH {OBS}, d AS (SELECT var, sys_hour // 24 AS day, sum(value) AS v FROM obs GROUP BY ALL) SELECT var, CAST((day + 4) % 7 + 1 AS BIGINT) AS dow, round(avg(v), 1) AS mean FROM d GROUP BY ALL")
+@query("A29_daily_average", f"WITH {OBS}, d AS (SELECT var, sys_hour // 24 AS day, sum(value) AS v FROM obs GROUP BY ALL) SELECT var, CAST((day + 4) % 7 + 1 AS BIGINT) AS dow, round(avg(v) + {TIE}, 1) AS mean FROM d GROUP BY ALL")
 def a29(spark, sf):
     d = observations(spark, sf).groupBy("var", F.floor(F.col("sys_hour") / 24).alias("day")).agg(F.sum("value").alias("v"))
-    return d.groupBy("var", ((F.col("day") + 4) % 7 + 1).alias("dow")).agg(F.round(F.avg("v"), 1).alias("mean"))
+    return d.groupBy("var", ((F.col("day") + 4) % 7 + 1).alias("dow")).agg(F.round(F.avg("v") + TIE, 1).alias("mean"))
 
 
 @query("A30_mass_balance", f"WITH {EMISSIONS} SELECT cat, round(sum(rate), 2) AS released, round(sum(rate * (1 - share)), 2) AS airborne FROM emissions WHERE cat <> 1 GROUP BY cat")

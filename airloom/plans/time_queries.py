@@ -7,7 +7,7 @@ from airloom.operators import quality as q
 from airloom.operators import temporal as t
 from airloom.sources.adapters import OBS, observations
 
-from .base import query
+from .base import TIE, query
 from .quality_queries import HOURLY, hourly
 
 c = F.col
@@ -125,12 +125,12 @@ def w8(spark, sf):
     return observations(spark, sf).select("event_id", F.round(geo.wind_direction(n, e), 6).alias("dir"), F.round(geo.wind_speed(n, e), 4).alias("speed"))
 
 
-@query("W9_flow_interpolation", f"WITH {HOURLY}, p AS (SELECT sys_hour % 24 AS hour, avg(value) AS v FROM hourly GROUP BY ALL), o AS (SELECT event_id, sys_hour % 24 AS hour, minute(ts) / 60.0 AS f FROM obs) SELECT event_id, round(a.v * (1 - f) + b.v * f, 4) AS flow FROM o JOIN p a USING (hour) JOIN p b ON b.hour = (o.hour + 1) % 24")
+@query("W9_flow_interpolation", f"WITH {HOURLY}, p AS (SELECT sys_hour % 24 AS hour, avg(value) AS v FROM hourly GROUP BY ALL), o AS (SELECT event_id, sys_hour % 24 AS hour, minute(ts) / 60.0 AS f FROM obs) SELECT event_id, round(a.v * (1 - f) + b.v * f + {TIE}, 4) AS flow FROM o JOIN p a USING (hour) JOIN p b ON b.hour = (o.hour + 1) % 24")
 def w9(spark, sf):
     p = hourly(spark, sf).groupBy((c("sys_hour") % 24).alias("hour")).agg(F.avg("value").alias("v"))
     p = p.select("hour", "v").join(p.select(((c("hour") + 23) % 24).alias("hour"), c("v").alias("nx")), "hour")  # 24 rows
     o = observations(spark, sf).select("event_id", (c("sys_hour") % 24).alias("hour"), (F.minute("ts") / 60.0).alias("f"))
-    return o.join(F.broadcast(p), "hour").select("event_id", F.round(c("v") * (1 - c("f")) + c("nx") * c("f"), 4).alias("flow"))
+    return o.join(F.broadcast(p), "hour").select("event_id", F.round(c("v") * (1 - c("f")) + c("nx") * c("f") + TIE, 4).alias("flow"))
 
 
 @query("W10_frames", f"WITH {HOURLY} SELECT a.var, a.source_id, a.sys_hour * 4 + k AS frame, round(a.value + (b.value - a.value) * k / 4, 6) AS value FROM hourly a JOIN hourly b ON a.var = b.var AND a.source_id = b.source_id AND b.sys_hour = a.sys_hour + 1 CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k)")
@@ -164,8 +164,8 @@ def w14(spark, sf):
     return s.join(before, ["var", "source_id", "sys_hour"], "left").select("var", "source_id", "sys_hour", F.round((c("value") + F.coalesce("b", "value")) / 2, 4).alias("mean"))
 
 
-@query("W15_half_hours", f"WITH {HOURLY}, p AS (SELECT var, sys_hour % 24 AS hour, avg(value) AS v FROM hourly GROUP BY ALL) SELECT a.var, a.hour * 2 + k AS slot, round(CASE WHEN k = 0 THEN a.v ELSE (a.v + b.v) / 2 END, 4) AS value FROM p a JOIN p b ON a.var = b.var AND b.hour = least(a.hour + 1, 23) CROSS JOIN (SELECT unnest([0, 1]) AS k)")
+@query("W15_half_hours", f"WITH {HOURLY}, p AS (SELECT var, sys_hour % 24 AS hour, avg(value) AS v FROM hourly GROUP BY ALL) SELECT a.var, a.hour * 2 + k AS slot, round(CASE WHEN k = 0 THEN a.v ELSE (a.v + b.v) / 2 END + {TIE}, 4) AS value FROM p a JOIN p b ON a.var = b.var AND b.hour = least(a.hour + 1, 23) CROSS JOIN (SELECT unnest([0, 1]) AS k)")
 def w15(spark, sf):
     p = hourly(spark, sf).groupBy("var", (c("sys_hour") % 24).alias("hour")).agg(F.avg("value").alias("v"))
     full = p.groupBy("var").agg(F.array_sort(F.collect_list(F.struct("hour", "v"))).alias("a"))  # 24 entries at most
-    return full.select("var", F.posexplode(t.half_hours(F.col("a.v"))).alias("slot", "value")).select("var", c("slot").cast("long").alias("slot"), F.round("value", 4).alias("value"))
+    return full.select("var", F.posexplode(t.half_hours(F.col("a.v"))).alias("slot", "value")).select("var", c("slot").cast("long").alias("slot"), F.round(c("value") + TIE, 4).alias("value"))
