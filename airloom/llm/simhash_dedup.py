@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from .common import session, table, written
 from .components import components
+from .near_dedup import near_unique  # noqa: F401
 from .textops import simhash
 
 BITS = 4
@@ -84,26 +85,6 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.join(of, "fp")
 
 
-def near_unique(docs: DataFrame) -> DataFrame:
-    """One document of each component, with its own columns: the smallest id (nulls last), then the smallest text hash."""
-    session(docs)
-    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = written(docs.select("doc_id", text_key.alias("key"), fingerprint("text").alias("fp")))
-    firsts = grouped_roots(rows)
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    stay = rows.join(firsts, "fp").groupBy("root").agg(F.min(best).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.key").alias("_key"))
-    own = docs.select("*", text_key.alias("_text_key"))
-    found = own.join(written(stay), own.doc_id.eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def grouped_roots(rows: DataFrame) -> DataFrame:
-    """``(fp, root)`` for each distinct fingerprint."""
-    fps = written(rows.select("fp").distinct())
-    roots = components(written(links(fps)))
-    return written(fps.join(roots, fps.fp == roots.v, "left").select("fp", F.coalesce("root", "fp").alias("root")))
-
-
 def op8_simhash_popcount(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = written(docs.select("doc_id", fingerprint("text").alias("fp")))

@@ -42,6 +42,21 @@ def repeated_cover(items, size):
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def shingles(text, size=5, seed=42):
+    """(hash of the lower-cased words, sorted distinct XXH64 of the word shingles as int64); a shorter text is one shingle."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    line = b" ".join(words)
+    whole = np.frombuffer(xxhash.xxh64_digest(line, seed), np.int64)[0]
+    if not words:
+        return whole, np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - size + 1)
+    digest = xxhash.xxh64_digest
+    raw = b"".join([digest(line[s:e], seed) for s, e in zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist())])
+    return whole, np.unique(np.frombuffer(raw, np.int64))
+
+
 def simhash(text, size=4, seed=42):
     """64-bit fingerprint of a text: a bit is set where over half of its word shingles' XXH64 have it."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
