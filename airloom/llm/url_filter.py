@@ -109,11 +109,11 @@ def judged(pages: DataFrame, labelled: DataFrame, rules=HOST_RULES) -> DataFrame
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(tokens, bad)``: pages with a label of their id; bad by label or by a word of the host."""
+    """``(tokens, bad)``: pages with a label of their id; bad if low quality or toxic by label, or by a word of the host."""
     rows = pages.select("page_id", "url").join(labels.select("doc_id", "quality", "toxic"), F.col("page_id") == F.col("doc_id"))
     t = tokens(F.col("url"))
     by_word = F.arrays_overlap(t, F.array(*[F.lit(f"{k}:{w}") for w in BAD_WORDS for k in "wh"]))
-    by_label = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(False))
+    by_label = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     return rows.select(t.alias("tokens"), (by_word | by_label).alias("bad")).filter(F.size("tokens") > 0)
 
 
