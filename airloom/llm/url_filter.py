@@ -20,10 +20,9 @@ HOST_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.ex
 #: Host words by which a URL counts as bad, besides its document's labels.
 BAD_WORDS = ["adult", "bets", "casino", "pills", "porn", "spam", "xxx"]
 MIN_SUPPORT = 5
-#: Support is at least this share of the bad URLs too, so that the frequent sets don't multiply with the labels.
-MIN_SHARE = 0.002
 MIN_CONFIDENCE = 0.8
-MAX_RULE_TOKENS = 3
+#: Longer path segments and query keys are tokens by a hash of all of them.
+MAX_TOKEN = 64
 #: Rules are broadcast up to this many; beyond it the join shuffles.
 MAX_BROADCAST_RULES = 100_000
 
@@ -47,14 +46,19 @@ def fitting(host: Column, path: Column, rules, what: int) -> Column:
     return out
 
 
+def bounded(kind: str, text: Column) -> Column:
+    """A token of a path segment or query key: the text itself, or a hash if it is long."""
+    return F.when(F.length(text) > MAX_TOKEN, F.concat(F.lit(kind + "#:"), F.hex(F.xxhash64(text)))).otherwise(F.concat(F.lit(kind + ":"), text))
+
+
 def tokens(url: Column) -> Column:
     """The distinct tokens of a URL."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     words = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.transform(F.split(x, "-"), lambda w: F.concat(F.lit("w:"), w))))
-    segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), F.regexp_replace(F.substring(x, 1, 64), "[0-9]+", "0")))
+    segments = F.transform(F.split(path, "/"), lambda x: bounded("p", F.regexp_replace(x, "[0-9]+", "0")))
     keys = F.transform(
-        F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1), "&"), lambda x: F.concat(F.lit("q:"), F.substring_index(F.substring(x, 1, 64), "=", 1))
+        F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1), "&"), lambda x: bounded("q", F.substring_index(x, "=", 1))
     )
     named = F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), words, segments, keys)
     return F.array_distinct(F.filter(named, lambda x: F.length(x) > 2))
@@ -81,11 +85,10 @@ def mined(labelled: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: f
     rows = written(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
     bad = rows.filter("bad")
     n_bad = bad.count()
-    min_support = max(min_support, MIN_SHARE * n_bad)
     if n_bad < min_support:
         return spark.createDataFrame([], "rule array<string>, support long, confidence double")
     model = FPGrowth(itemsCol="tokens", minSupport=(min_support - 0.5) / n_bad, minConfidence=0.0).fit(bad.select("tokens"))
-    sets = written(model.freqItemsets.filter(F.size("items") <= MAX_RULE_TOKENS).select(F.array_sort("items").alias("rule"), F.col("freq").alias("support")))
+    sets = written(model.freqItemsets.select(F.array_sort("items").alias("rule"), F.col("freq").alias("support")))
     total = matches(rows.select("row", "tokens"), sets.select("rule"), "row").groupBy("rule").agg(F.count(F.lit(1)).alias("total"))
     sure = written(sets.join(total, "rule").withColumn("confidence", F.col("support") / F.col("total")).filter(F.col("confidence") >= min_confidence).drop("total"))
     parts = F.filter(

@@ -1,3 +1,7 @@
+import itertools
+
+from pyspark.sql import functions as F
+
 from airloom.llm import url_filter
 
 
@@ -6,3 +10,23 @@ def test_low_quality_and_toxic_pages_are_each_bad(spark):
     pages = spark.createDataFrame([(k, f"http://host{k}.org/a") for k, _, _ in labels], "page_id long, url string")
     rows = url_filter.labelled_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert {r.tokens[0]: r.bad for r in rows} == {f"h:host{k}": k in (1, 2, 3, 5) for k, _, _ in labels}
+
+
+def test_support_is_the_same_at_every_size(spark):
+    bad = [([f"h:site{k % 4}", "p:x"], True) for k in range(3000)] + [(["h:small", "p:x"], True)] * 5 + [(["h:site0", "p:x"], False)] * 1000 + [(["p:x"], False)] * 1000
+    rules = url_filter.mined(spark.createDataFrame(bad, "tokens array<string>, bad boolean")).collect()
+    assert {tuple(r.rule): r.support for r in rules} == {("h:site1",): 750, ("h:site2",): 750, ("h:site3",): 750, ("h:small",): 5}
+
+
+def test_rules_of_four_tokens_are_kept(spark):
+    four = ["a", "b", "c", "d"]
+    rows = [(four, True)] * 10 + [(list(x), False) for x in itertools.combinations(four, 3)] * 10
+    rules = url_filter.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(r.rule, r.support, r.confidence) for r in rules] == [(four, 10, 1.0)]
+
+
+def test_long_segments_and_keys_differ_by_their_ends(spark):
+    slug = "s" * 70
+    urls = [f"http://a.org/{slug}{x}?{slug}{y}=1" for x in "ab" for y in "ab"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.tokens(F.col("url")).alias("t")).collect()
+    assert len({tuple(r.t) for r in rows}) == 4 and all(len(x) < 40 for r in rows for x in r.t)
