@@ -31,9 +31,11 @@ from .common import session, table, written
 CUT_BITS = 9
 MAX_CHUNK = 2048
 MAX_SHARED = 8192
-#: Words and chunks that a task keeps encoded; beyond it starts anew.
-MAX_WORDS = 500_000
-MAX_CHUNKS = 20_000
+#: Words and chunks that a worker keeps encoded (about 30 and 10 MB); beyond it starts anew.
+MAX_WORDS = 120_000
+MAX_CHUNKS = 4_000
+#: Words encoded by one call, which needs some hundred bytes for each of their bytes.
+CALL_WORDS = 2_000
 #: A special token of the vocabulary; no token of a text without "<|" is one.
 PART = "<|endoftext|>"
 BLANK = re.compile(rb"[\x20\x09\x0a\x0d]")
@@ -105,13 +107,15 @@ class Coder:
                 self.keep(w, self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
         if not plain:
             return
-        ids = self.tokenizer.encode(PART.join([w.decode("utf-8", "replace") for w in plain]), add_special_tokens=False).ids
-        end, at = self.tokenizer.token_to_id(PART), 0
-        for w in plain[:-1]:
-            to = ids.index(end, at)
-            self.keep(w, ids[at:to])
-            at = to + 1
-        self.keep(plain[-1], ids[at:])
+        end = self.tokenizer.token_to_id(PART)
+        for lo in range(0, len(plain), CALL_WORDS):
+            some, at = plain[lo : lo + CALL_WORDS], 0
+            ids = self.tokenizer.encode(PART.join([w.decode("utf-8", "replace") for w in some]), add_special_tokens=False).ids
+            for w in some[:-1]:
+                to = ids.index(end, at)
+                self.keep(w, ids[at:to])
+                at = to + 1
+            self.keep(some[-1], ids[at:])
 
     def encode_words(self, words):
         """The tokens of blank-separated words."""
@@ -230,9 +234,9 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)``: the token ids of each document."""
-    kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return _over(docs, vocabulary, kind, lambda ids, tokens, n: (n, [int(x) for x in ids.split()]))
+    """``(doc_id, n_tokens, ids, decoded)``: each document's token ids, and the text that they decode to."""
+    kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return _over(docs, vocabulary, kind, lambda ids, tokens, n: (n, np.array(list(map(int, ids.split())), np.int32), tokens.decode()))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

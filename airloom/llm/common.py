@@ -6,14 +6,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: texts may be long, so batches stay small.
+#: Rows and bytes of an Arrow batch: texts may be long, so batches stay small.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def session(df_or_spark) -> SparkSession:
     """The session, with Arrow batches small enough for long texts."""
     spark = df_or_spark.sparkSession if isinstance(df_or_spark, DataFrame) else df_or_spark
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of ours only where it is unset (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of ours only where it is unset and Spark runs in this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='airloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder

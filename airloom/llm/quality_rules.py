@@ -1,12 +1,14 @@
 """Quality rules with host-level verdicts.
 
 Every text is measured in one pass; a document fails the base rule (too short or too repetitive) or one
-of the soft rules (symbols, repeated lines). Failures are counted by host, each host's rate is shrunk to
-the corpus by a beta prior fitted to all hosts (method of moments), and hosts whose shrunk rate stays
-above ``max_rate`` lose their documents. The verdicts are joined back to the documents.
-
-Null or empty texts have no words and so fail the base rule. Documents without a host form one host of
-their own. Repeated rows are judged row by row. Columns other than the id, text and host are not read.
+of the soft rules (symbols, repeated lines). Failures are counted by host and each host's rate is shrunk to
+the corpus by a beta prior fitted to all hosts (method of moments, hosts weighed by their documents). A host is
+rejected if its rate is above the corpus rate by ``margin`` at least, but for a chance of about one in twenty by its beta
+posterior; it then loses its documents. The verdicts are joined back to the documents.
+
+Null or empty texts have no words and so fail the base rule; very long texts are measured whole. Documents without a host form
+one host of their own. Repeated rows are judged row by row. Columns other than the id, text and host are not read, whatever
+their names. With one host alone the corpus rate is its own, so it stays.
 """
 
 import pandas as pd
@@ -18,8 +20,13 @@ from .common import session, table, written
 from .textops import BLANKS, repeated_cover
 
 SYMBOLS = "#*$%&|<>"
-#: The prior weighs at least so many documents, so a host of a few documents is never rejected for them alone.
-LEAST_STRENGTH = 10.0
+#: The prior weighs at least and at most so many documents: a host of a few documents is never rejected for them alone,
+#: and hosts of equal rates don't freeze the verdict on one that differs.
+LEAST_STRENGTH, MOST_STRENGTH = 10.0, 1000.0
+#: How far above the corpus rate a host's rate must lie to be rejected.
+MARGIN = 0.15
+#: Standard deviations of the posterior between the shrunk rate and the bound that is compared: one in twenty.
+SURE = 1.645
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
 
@@ -58,8 +65,8 @@ def rule_failed(m: str = "m", max_symbols: float = 0.2, max_dup_lines: float = 0
     )
 
 
-def host_verdicts(failures: DataFrame, host: str = "source", max_rate: float = 0.6) -> DataFrame:
-    """``(host, n_docs, n_failed, shrunk_rate, host_rejected)`` from one boolean ``failed`` per document.
+def host_verdicts(failures: DataFrame, host: str = "source", margin: float = MARGIN) -> DataFrame:
+    """``(host, n_docs, n_failed, shrunk_rate, least_rate, host_rejected)`` from one boolean ``failed`` per document.
 
     The beta prior's mean is the corpus rate; its strength comes from the spread of the hosts' rates beyond
     what chance gives. Hosts of equal rates get a strong prior, very different hosts a weak one.
@@ -69,34 +76,33 @@ def host_verdicts(failures: DataFrame, host: str = "source", max_rate: float = 0
             F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")
         )
     )
-    rate = F.col("n_failed") / F.col("n_docs")
-    total, failed, n_hosts, inverse = hosts.agg(
-        F.sum("n_docs"), F.sum("n_failed"), F.count(F.lit(1)), F.sum(1 / F.col("n_docs"))
-    ).first()
-    mean = (failed or 0) / total if total else 0.0
-    spread = hosts.agg(F.avg((rate - mean) * (rate - mean))).first()[0] or 0.0
+    n = F.col("n_docs").cast("double")
+    total, failed, n_hosts, squares = hosts.agg(F.sum(n), F.sum("n_failed"), F.count(F.lit(1)), F.sum(n * n)).first()
+    mean = failed / total if total else 0.0
+    spread = hosts.agg(F.sum(n * (F.col("n_failed") / n - mean) ** 2)).first()[0] or 0.0
     chance = mean * (1 - mean)
-    beyond = max(spread - chance * (inverse or 0) / max(n_hosts, 1), 1e-6)
-    strength = min(max(chance / beyond - 1, LEAST_STRENGTH), 1000.0)
-    shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > max_rate)
+    beyond = (spread - chance * (n_hosts - 1)) / (total - squares / total) if n_hosts > 1 and total > n_hosts else 0.0
+    strength = min(max(chance / beyond - 1, LEAST_STRENGTH), MOST_STRENGTH) if beyond > 0 else MOST_STRENGTH
+    shrunk = (F.col("n_failed") + mean * strength) / (n + strength)
+    least = F.col("shrunk_rate") - SURE * F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (n + strength + 1))
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("least_rate", least).withColumn("host_rejected", F.col("least_rate") > mean + margin)
 
 
 def judge(measures: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
     """Adds ``kept``: the base rule holds and the document's host is not rejected."""
-    verdict = hosts.select(F.col("host").alias("_host"), "host_rejected", "shrunk_rate")
+    verdict = hosts.select(F.col("host").alias("_host"), "host_rejected", "shrunk_rate", "least_rate")
     return measures.join(verdict, F.col(host).eqNullSafe(F.col("_host")), "left").withColumn(
         "kept", ~base_failed() & ~F.coalesce("host_rejected", F.lit(False))
     )
 
 
-def quality_filter(docs: DataFrame, host: str = "source", max_rate: float = 0.6) -> DataFrame:
-    """The documents that pass, with their own columns."""
+def quality_filter(docs: DataFrame, host: str = "source", margin: float = MARGIN) -> DataFrame:
+    """The documents that pass, with their own columns. Texts are measured once; the documents wait for the verdicts in a written table."""
     session(docs)
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    hosts = host_verdicts(docs.select(host, measured("text").alias("m")).select(host, rule_failed().alias("failed")), host, max_rate)
-    rows = docs.select(F.struct(*docs.columns).alias("d"), F.col(host).alias("_of"), measured("text").alias("m"))
-    return judge(rows, written(hosts), "_of").filter("kept").select(*own)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(host).alias("_of"), measured("text").alias("m"))
+    rows = written(rows.select("d", "_of", "m", rule_failed().alias("failed")))
+    hosts = host_verdicts(rows.select("_of", "failed"), "_of", margin)
+    return judge(rows, written(hosts), "_of").filter("kept").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op7_quality_host_rules(spark, sf_dir):
@@ -109,4 +115,5 @@ def op7_quality_host_rules(spark, sf_dir):
         base_failed().alias("base_failed"),
         "kept",
         "shrunk_rate",
+        "least_rate",
     )
