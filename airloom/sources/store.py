@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The frame as a Parquet table in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and Spark runs in this process."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='airloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/airloom/{uuid.uuid4().hex}"
