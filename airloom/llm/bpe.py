@@ -31,8 +31,8 @@ from .common import session, table, written
 CUT_BITS = 9
 MAX_CHUNK = 2048
 MAX_SHARED = 8192
-#: Words and chunks that a worker keeps encoded (about 30 and 10 MB); beyond it starts anew.
-MAX_WORDS = 120_000
+#: Words and chunks that a worker keeps encoded (about 60 and 10 MB). Words are kept in two halves: when one is full, the older goes.
+MAX_WORDS = 240_000
 MAX_CHUNKS = 4_000
 #: Words encoded by one call, which needs some hundred bytes for each of their bytes.
 CALL_WORDS = 2_000
@@ -86,7 +86,7 @@ def loaded(vocabulary):
     """(tokenizer, ids as bytes, tokens as bytes, encoded words), kept by a Python worker from task to task."""
     found = tokenizer(vocabulary)
     n = found.get_vocab_size()
-    return found, [str(i).encode() for i in range(n)], [(found.id_to_token(i) or "").encode() for i in range(n)], {}
+    return found, [str(i).encode() for i in range(n)], [(found.id_to_token(i) or "").encode() for i in range(n)], [{}, {}]
 
 
 class Coder:
@@ -97,7 +97,7 @@ class Coder:
         self.known, self.shared = {}, shared or {}
 
     def keep(self, word, ids):
-        self.words[word] = (b" ".join([self.ids[i] for i in ids]), b" ".join([self.pieces[i] for i in ids]), len(ids))
+        self.words[0][word] = (b" ".join([self.ids[i] for i in ids]), b" ".join([self.pieces[i] for i in ids]), len(ids))
 
     def learn(self, words):
         """Encodes words that aren't kept yet, all at once: each ends at a blank, so each stands alone, and a special token parts them."""
@@ -119,13 +119,16 @@ class Coder:
 
     def encode_words(self, words):
         """The tokens of blank-separated words."""
-        missing = set(words).difference(self.words)
+        known, old = self.words
+        missing = set(words).difference(known)
+        if len(known) + len(missing) > MAX_WORDS // 2:
+            self.words[:] = {}, known
+            known, old = self.words
+            missing = set(words)
         if missing:
-            if len(self.words) + len(missing) > MAX_WORDS:
-                self.words.clear()
-                missing = set(words)
-            self.learn(list(missing))
-        known = self.words
+            again = missing & old.keys()
+            known.update((w, old[w]) for w in again)
+            self.learn(list(missing - again))
         ids, tokens, n = zip(*[known[w] for w in words])
         return b" ".join(filter(None, ids)), b" ".join(filter(None, tokens)), sum(n)
 
