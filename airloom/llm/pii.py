@@ -2,17 +2,22 @@
 
 Fixed patterns give the base spans. The field adds spans that the patterns miss (other separators, spelled-out
 signs). It looks at islands: runs of tokens near a digit or an at sign; elsewhere no entity is possible. A segment is
-one to ``MAX_TOKENS`` tokens of an island; features of the whole segment score each kind, transition weights score
+one to ``MAX_TOKENS`` tokens of an island on one line; features of the whole segment score each kind, transition weights score
 neighbouring kinds, and the forward-backward recursions over segments sum over all cuts and kinds. A span is
 added if its segment is on the best path, its posterior is at least ``MIN_POSTERIOR`` and no base span overlaps it.
+Of equally good paths the one with the first previous kind, then the shorter segment, is taken.
 
-The weights are fitted by conditional likelihood on at most ``MAX_ISLANDS`` islands (those of smallest hash) labelled by
-the base patterns, once as they are and once with separators or signs rewritten. Without islands nothing is added.
-Null texts are empty and have no spans. Spans count code points; ends are exclusive.
+Training rows: at most ``MAX_ISLANDS`` distinct islands with a base span and as many without (those of smallest hash, of at most
+``FIT_TOKENS`` tokens), labelled by the base patterns; islands with one base span are also learnt from with its separators or signs
+rewritten in each of ``REWRITES``'s ways. The weights maximise the conditional likelihood. Without base spans nothing is added.
+
+Null texts are empty and have no spans. Very long texts are read whole: an island's features are held for ``BLOCK`` tokens at a time.
+Spans count code points; ends are exclusive. Each row is read by itself, so repeated rows and other columns don't matter.
 """
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -21,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, table
+from .common import session, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
-MAX_TOKENS = 5
-MAX_ISLANDS = 600
+MAX_TOKENS = 7
+#: Without an at sign, a segment is looked at only if it has so many digits and no letters but those of spelled-out dots.
+LEAST_DIGITS, MOST_DIGITS = 4, 19
+MAX_ISLANDS = 300
+FIT_TOKENS = 16
 MIN_POSTERIOR = 0.9
+BLOCK = 2048
 
 #: The base patterns. An address is a run of local signs, ``@`` and a domain; an ip starts at the start of its digits,
 #: so that long runs are read once.
@@ -36,8 +45,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
-AT_WORD = re.compile(r"\s*[(\[]at[)\]]\s*|@")
+TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
+AT_WORD = re.compile(r"\s*[(\[]at[)\]]\s*|\s+@\s+")
+DOT_WORD = re.compile(r"\s*[(\[](?:dot|\.)[)\]]\s*")
+ADDRESS = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
+DIGITS = re.compile("[0-9]+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -105,42 +117,63 @@ def bucket(n, edges):
 
 def features(x, n_tokens):
     """Features of a whole span."""
-    digits, letters = sum("0" <= c <= "9" for c in x), sum(c.isalpha() for c in x)
-    at = AT_WORD.split(x)
-    parts = re.split(r"[.,_:]|\s*[(\[]dot[)\]]\s*", x)
-    marks = set(x) - set(" -.()+@") - set("0123456789")
+    groups = DIGITS.findall(x)
+    sizes = list(map(len, groups)) or [0]
+    digits, letters = sum(sizes), sum(map(str.isalpha, x))
+    plain = DOT_WORD.sub(".", AT_WORD.sub("@", x))
+    parts = plain.split(".")
+    between = set(x) - set("0123456789")
+    numeric = letters == 0 and digits > 0
     return [
         1.0,
         *bucket(n_tokens, [1, 2, 3, 4]),
-        *bucket(digits, [0, 1, 7, 10, 12, 14, 20]),
+        *bucket(digits, [0, 1, 7, 10, 12, 14, 16, 17, 20]),
         *bucket(letters, [0, 1, 4]),
-        *bucket(x.count("."), [0, 1, 2, 3, 4]),
-        float(len(at) == 2 and all(re.fullmatch(r"[\w.%+-]+", p) for p in at) and "." in at[1]),
-        float(len(at) > 2),
+        *bucket(len(groups), [0, 1, 2, 3, 4, 5]),
+        float(bool(ADDRESS.fullmatch(plain))),
+        float(plain.count("@") > 1),
+        float("@" in plain and not ADDRESS.fullmatch(plain)),
         float(len(parts) == 4 and all(p.isdecimal() and len(p) < 4 and int(p) < 256 for p in parts)),
-        float(digits > 13 and luhn(x) % 10 == 0),
-        float(x.startswith("+")),
-        float("(" in x and ")" in x),
-        float(any(not c.isalpha() for c in marks)),
-        float(letters == 0 and bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", x))),
-        float(letters == 0 and bool(re.fullmatch(r"([0-9]{4}[^0-9A-Za-z]?){3}[0-9]{2,7}", x))),
-        float(digits > 0 and letters == 0),
+        float(numeric and 14 <= digits <= 19 and luhn(x) % 10 == 0),
+        float(numeric and 14 <= digits <= 19 and luhn(x) % 10 != 0),
+        float(numeric and len(between) == 1),
+        float(numeric and sizes[:3] == [4, 4, 4]),
+        float(numeric and sizes[-3:] == [3, 3, 4]),
+        float(numeric and between <= set(" -.()+")),
+        float(numeric and bool(between - set(" -.()+"))),
+        float(numeric and x[0] == "+"),
+        float(numeric and x[0] == "0" and x[:2] != "00"),
+        float(numeric and x[:2] == "00"),
+        float(numeric and x[0] == "("),
+        float(numeric and max(sizes) > 7),
+        float(numeric and 10 <= digits <= 15 and 2 <= len(groups) <= 5),
+        float(bool(between - set(" -.()+@[]/_")) and letters > 0),
     ]
 
 
 N_FEATURES = len(features("a", 1))
 
 
-def lattice(text, tokens):
-    """For each end token, ``(first token, span, features)`` of the segments that end there and could be an entity."""
-    out = []
-    for j in range(len(tokens)):
-        row = []
+AT = re.compile(r"@|[(\[]at[)\]]")
+NO_DIGIT = re.compile("[^0-9]+")
+
+
+def lattice(text, tokens, lo=0, hi=None):
+    """For each end token from ``lo`` to ``hi``, ``(first token, span, features)`` of the segments that end there and could be an entity."""
+    hi, out = len(tokens) if hi is None else hi, []
+    first = max(0, lo - MAX_TOKENS)
+    words = [text[s:e] for s, e in tokens[first:hi]]
+    digits, ats = [len(NO_DIGIT.sub("", x)) for x in words], [AT.search(x) is not None for x in words]
+    for j in range(lo, hi):
+        row, n, at = [], 0, False
         for i in range(j, max(-1, j - MAX_TOKENS), -1):
-            if text[tokens[i][0] : tokens[j][1]].count("\n"):
+            if i < j and text.find("\n", tokens[i][1], tokens[i + 1][0]) >= 0:
                 break
+            n, at = n + digits[i - first], at or ats[i - first]
+            if not at and not LEAST_DIGITS <= n <= MOST_DIGITS:
+                continue
             s, e = trimmed(text, tokens[i][0], tokens[j][1])
-            if s < e and s < tokens[i][1] and e > tokens[j][0] and e - s <= 80 and TRIGGER.search(text, s, e):
+            if s < e and s < tokens[i][1] and e > tokens[j][0] and (at or not any(map(str.isalpha, DOT_WORD.sub(".", text[s:e])))):
                 row.append((i, (s, e), features(text[s:e], j - i + 1)))
         out.append(row)
     return out
@@ -157,100 +190,124 @@ class Field:
     def scores(self, rows):
         return [[(i, self.w @ np.array(f)) for i, _, f in row] for row in rows]
 
-    def forward(self, scores):
-        """``alpha[j, kind]``: log sum over the cuts of the first j tokens whose last segment is of that kind."""
+    def forward(self, alpha, scores, lo=0):
+        """Fills ``alpha[j, kind]`` for the end tokens from ``lo``: log sum over the cuts of the first j tokens whose last segment is of that kind."""
         k = len(KINDS)
-        alpha = np.full((len(scores) + 1, k + 1), -1e30)
-        alpha[0, k] = 0.0
-        for j, row in enumerate(scores, 1):
+        for j, row in enumerate(scores, lo + 1):
             alpha[j, k] = np.logaddexp.reduce(alpha[j - 1] + self.t[:, k])
             for i, s in row:
                 alpha[j, :k] = np.logaddexp(alpha[j, :k], np.logaddexp.reduce(alpha[i][:, None] + self.t[:, :k], axis=0) + s)
-        return alpha
 
-    def backward(self, scores):
-        k, n = len(KINDS), len(scores)
-        beta = np.full((n + 1, k + 1), -1e30)
-        beta[n] = 0.0
-        for j in range(n, 0, -1):
+    def backward(self, beta, scores, lo=0):
+        """The same from the end: fills ``beta`` for all tokens that the segments ending from ``lo`` begin at."""
+        k = len(KINDS)
+        for j in range(lo + len(scores), lo, -1):
             beta[j - 1] = np.logaddexp(beta[j - 1], self.t[:, k] + beta[j, k])
-            for i, s in scores[j - 1]:
+            for i, s in scores[j - 1 - lo]:
                 beta[i] = np.logaddexp(beta[i], np.logaddexp.reduce(self.t[:, :k] + (s + beta[j, :k])[None, :], axis=1))
-        return beta
-
-    def best(self, scores):
-        """``{(first, end, kind)}`` of the best cut."""
-        k, n = len(KINDS), len(scores)
-        top, back = np.full((n + 1, k + 1), -1e30), {}
-        top[0, k] = 0.0
-        for j, row in enumerate(scores, 1):
+
+    def extend(self, top, back, scores, lo=0):
+        """Fills ``top`` with the best cuts' scores and ``back`` with (segment length, previous kind)."""
+        k = len(KINDS)
+        for j, row in enumerate(scores, lo + 1):
             p = int(np.argmax(top[j - 1] + self.t[:, k]))
-            top[j, k], back[j, k] = top[j - 1, p] + self.t[p, k], (j - 1, p)
+            top[j, k], back[j, k] = top[j - 1, p] + self.t[p, k], (1, p)
             for i, s in row:
                 into = top[i][:, None] + self.t[:, :k]
                 p = into.argmax(axis=0)
                 value = into[p, np.arange(k)] + s
                 for c in np.flatnonzero(value > top[j, :k]).tolist():
-                    top[j, c], back[j, c] = value[c], (i, int(p[c]))
-        j, c, found = n, int(top[n].argmax()), set()
+                    top[j, c], back[j, c] = value[c], (j - i, p[c])
+
+    def path(self, top, back):
+        """``[(first, end, kind)]``: the entities of the best cut, last first."""
+        j, c, found = len(top) - 1, int(top[-1].argmax()), []
         while j:
-            i, p = back[j, c]
-            if c < k:
-                found.add((i, j, c))
-            j, c = i, p
+            size, p = back[j, c].tolist()
+            if c < len(KINDS):
+                found.append((j - size, j, c))
+            j, c = j - size, p
         return found
 
-    def gradient(self, rows, gold):
-        """Observed minus expected features and transitions, gold: ``[(first, end, kind)]`` in order."""
-        k, n = len(KINDS), len(rows)
-        scores = self.scores(rows)
-        alpha, beta = self.forward(scores), self.backward(scores)
-        z = np.logaddexp.reduce(alpha[n])
-        gw, gt = np.zeros_like(self.w), np.zeros_like(self.t)
-        feats = {(i, j): np.array(f) for j, row in enumerate(rows, 1) for i, _, f in row}
-        for j, row in enumerate(scores, 1):
-            gt[:, k] -= np.exp(alpha[j - 1] + self.t[:, k] + beta[j, k] - z)
-            for i, s in row:
-                p = np.exp(alpha[i][:, None] + self.t[:, :k] + (s + beta[j, :k])[None, :] - z)
-                gt[:, :k] -= p
-                gw -= p.sum(axis=0)[:, None] * feats[i, j][None, :]
-        at, prev = 0, k
-        for i, j, c in [*gold, (n, n, None)]:
-            for _ in range(i - at):
-                gt[prev, k] += 1
-                prev = k
-            if c is not None:
-                gt[prev, c] += 1
-                gw[c] += feats[i, j]
-                prev = c
-            at = j
-        return gw, gt
+    def decoded(self, text, tokens):
+        """``[(first, end, kind, span, log posterior)]`` of an island's best cut. Features are made for a block of tokens at a time."""
+        k, n = len(KINDS), len(tokens)
+        starts, held = range(0, n, BLOCK), None
+        alpha, top, back = np.full((n + 1, k + 1), -1e30), np.full((n + 1, k + 1), -1e30), np.zeros((n + 1, k + 1, 2), np.int8)
+        alpha[0, k] = top[0, k] = 0.0
+        for lo in starts:
+            rows = lattice(text, tokens, lo, min(n, lo + BLOCK))
+            held = (lo, rows, self.scores(rows))
+            self.forward(alpha, held[2], lo)
+            self.extend(top, back, held[2], lo)
+        z, want = np.logaddexp.reduce(alpha[n]), self.path(top, back)
+        beta, out = np.full((n + 1, k + 1), -1e30), []
+        beta[n] = 0.0
+        at = 0
+        for lo in reversed(starts):
+            if at == len(want):
+                break
+            if held[0] != lo:
+                rows = lattice(text, tokens, lo, min(n, lo + BLOCK))
+                held = (lo, rows, self.scores(rows))
+            _, rows, scores = held
+            self.backward(beta, scores, lo)
+            while at < len(want) and want[at][1] > lo:
+                i, j, c = want[at]
+                seen = next(x for x, (first, _, _) in enumerate(rows[j - 1 - lo]) if first == i)
+                p = np.logaddexp.reduce(alpha[i] + self.t[:, c]) + scores[j - 1 - lo][seen][1][c] + beta[j, c] - z
+                out.append((i, j, c, rows[j - 1 - lo][seen][1], float(p)))
+                at += 1
+        return out
 
     def added(self, text, taken):
-        """Spans of the best path that are sure enough and overlap none of ``taken``."""
+        """Spans of the best path that are sure enough and overlap none of ``taken``, which are in order."""
+        starts, ends = [s for s, _, _ in taken], np.maximum.accumulate([0, *[e for _, e, _ in taken]])
         out = []
         for tokens in islands(text):
-            rows = lattice(text, tokens)
-            if not any(rows):
-                continue
-            scores = self.scores(rows)
-            alpha, beta = self.forward(scores), self.backward(scores)
-            z = np.logaddexp.reduce(alpha[-1])
-            spans = {(i, j): span for j, row in enumerate(rows, 1) for i, span, _ in row}
-            by = {(i, j): s for j, row in enumerate(scores, 1) for i, s in row}
-            for i, j, c in self.best(scores):
-                p = np.logaddexp.reduce(alpha[i] + self.t[:, c]) + by[i, j][c] + beta[j, c] - z
-                s, e = spans[i, j]
-                if p >= np.log(MIN_POSTERIOR) and not any(a < e and s < b for a, b, _ in taken):
+            for _, _, c, (s, e), p in self.decoded(text, tokens):
+                if p >= np.log(MIN_POSTERIOR) and ends[bisect_left(starts, e)] <= s:
                     out.append((s, e, c))
         return out
 
 
-def rewritten(text, span):
-    """The island with one base span spelled another way."""
+def dashed(x, sign):
+    return sign.join(re.findall("[0-9]{1,4}", re.sub("[^0-9]", "", x)))
+
+
+#: For each kind, other ways to write a base span.
+REWRITES = {
+    0: [
+        lambda x: x.replace("@", " (at) "),
+        lambda x: x.replace("@", " [at] "),
+        lambda x: x.replace("@", "(at)"),
+        lambda x: x.replace("@", " @ "),
+        lambda x: re.sub("[0-9]", "", x).replace("@", " [at] "),
+        lambda x: "{} [at] {}".format(x.partition("@")[0], x.partition("@")[2].replace(".", " [dot] ")),
+    ],
+    1: [lambda x: x.replace(".", "[.]"), lambda x: x.replace(".", "(.)"), lambda x: x.replace(".", " [dot] "), lambda x: x.replace(".", "(dot)")],
+    2: [lambda x: dashed(x, "."), lambda x: dashed(x, "/"), lambda x: dashed(x, "_"), lambda x: dashed(x, " / ")],
+    3: [
+        lambda x: "00" + x[1:],
+        lambda x: re.sub(r"^\+[0-9]+[ .-]+", "0", x) if re.match(r"\+[0-9]+[ .-]+[0-9]", x) else x,
+        lambda x: "({}) {}-{}".format(*national(x)),
+        lambda x: "-".join(national(x)),
+        lambda x: ".".join(national(x)),
+        lambda x: " ".join(national(x)),
+    ],
+}
+
+
+def national(x):
+    """A phone number's last ten digits in three groups."""
+    d = re.sub("[^0-9]", "", x)[-10:]
+    return d[:3], d[3:6], d[6:]
+
+
+def rewritten(text, span, how):
+    """(island, span): the island with one base span spelled another way."""
     s, e, kind = span
-    x = text[s:e]
-    y = {0: x.replace("@", " (at) "), 1: x.replace(".", "[.]") if len(x) % 2 else x, 2: ".".join(re.findall("[0-9]{1,4}", re.sub("[^0-9]", "", x))), 3: re.sub(r"^\+[0-9]+[ .-]*", "", x)}[kind]
+    y = REWRITES[kind][how](text[s:e])
     return text[:s] + y + text[e:], (s, s + len(y), kind)
 
 
@@ -264,45 +321,112 @@ def example(text, spans):
     return (rows, gold) if ok and any(rows) else None
 
 
-def fit(texts, rounds=25, step=1.0, l2=1e-3):
-    """A field fitted to island texts; AdaGrad over the whole sample."""
+class Likelihood:
+    """Conditional log likelihood of examples, all at once: arrays over (example, token, segment length, kind)."""
+
+    def __init__(self, data):
+        data = sorted(data, key=lambda x: -len(x[0]))
+        size = [len(rows) for rows, _ in data]
+        self.n, self.t = np.array(size), max(size)
+        self.active = [int((self.n > i).sum()) for i in range(self.t)]
+        cells, x = [], []
+        for b, (rows, _) in enumerate(data):
+            for j, row in enumerate(rows):
+                for i, _, f in row:
+                    cells.append((b, j, j - i))
+                    x.append(f)
+        self.cells, self.x = tuple(np.array(cells).T), np.array(x)
+        where = {c: k for k, c in enumerate(cells)}
+        k = len(KINDS)
+        self.gw, self.gt = np.zeros((k, N_FEATURES)), np.zeros((k + 1, k + 1))
+        self.gold = []
+        for b, (rows, gold) in enumerate(data):
+            at, prev = 0, k
+            for i, j, c in [*gold, (len(rows), len(rows), None)]:
+                for _ in range(i - at):
+                    self.gt[prev, k] += 1
+                    prev = k
+                if c is not None:
+                    self.gt[prev, c] += 1
+                    self.gw[c] += self.x[where[b, j - 1, j - 1 - i]]
+                    prev = c
+                at = j
+
+    def __call__(self, w, t, l2):
+        """(value, gradient by w, gradient by t) of the penalised mean log likelihood."""
+        k, n_b, t_n = len(KINDS), len(self.n), self.t
+        score = np.full((n_b, t_n, MAX_TOKENS, k), -1e30)
+        score[self.cells] = self.x @ w.T
+        alpha, into = np.full((n_b, t_n + 1, k + 1), -1e30), np.full((n_b, t_n, k), -1e30)
+        alpha[:, 0, k] = 0.0
+        for j in range(1, t_n + 1):
+            a = self.active[j - 1]
+            into[:a, j - 1] = np.logaddexp.reduce(alpha[:a, j - 1, :, None] + t[None, :, :k], axis=1)
+            alpha[:a, j, k] = np.logaddexp.reduce(alpha[:a, j - 1] + t[:, k], axis=1)
+            alpha[:a, j, :k] = np.logaddexp.reduce([into[:a, j - 1 - m] + score[:a, j - 1, m] for m in range(min(MAX_TOKENS, j))], axis=0)
+        rows = np.arange(n_b)
+        z = np.logaddexp.reduce(alpha[rows, self.n], axis=1)
+        beta, out = np.full((n_b, t_n + 1, k + 1), -1e30), np.full((n_b, t_n, k), -1e30)
+        beta[rows, self.n] = 0.0
+        for i in range(t_n - 1, -1, -1):
+            a = self.active[i]
+            out[:a, i] = np.logaddexp.reduce([score[:a, i + m, m] + beta[:a, i + m + 1, :k] for m in range(min(MAX_TOKENS, t_n - i))], axis=0)
+            beta[:a, i] = np.logaddexp(t[None, :, k] + beta[:a, i + 1, k, None], np.logaddexp.reduce(t[None, :, :k] + out[:a, i, None, :], axis=2))
+        b, j, m = self.cells
+        p = np.exp(np.minimum(into[b, j - m] + score[self.cells] + beta[b, j + 1, :k] - z[b, None], 0.0))
+        inside = (np.arange(t_n)[None] < self.n[:, None])[:, :, None]
+        et = np.zeros_like(t)
+        et[:, k] = (np.exp(np.minimum(alpha[:, :-1] + t[:, k] + beta[:, 1:, k, None] - z[:, None, None], 0.0)) * inside).sum(axis=(0, 1))
+        et[:, :k] = (np.exp(np.minimum(alpha[:, :-1, :, None] + t[None, None, :, :k] + out[:, :, None, :] - z[:, None, None, None], 0.0)) * inside[..., None]).sum(axis=(0, 1))
+        value = (self.gw * w).sum() + (self.gt * t).sum() - z.sum() - l2 * n_b / 2 * ((w * w).sum() + (t * t).sum())
+        return value / n_b, (self.gw - p.T @ self.x) / n_b - l2 * w, (self.gt - et) / n_b - l2 * t
+
+
+def fit(texts, rounds=60, l2=1e-4):
+    """A field fitted to island texts by gradient ascent with momentum; each weight has its own step, which follows the sign of its gradient."""
     data = []
     for x in texts:
         spans = base_spans(x)
         data.append(example(x, spans))
-        if len(spans) == 1:
-            other, span = rewritten(x, spans[0])
+        for how in range(len(REWRITES[spans[0][2]]) if len(spans) == 1 else 0):
+            other, span = rewritten(x, spans[0], how)
             if other != x:
                 data.append(example(other, [span]))
     data = [x for x in data if x]
     field = Field()
-    if not data:
+    if not any(gold for _, gold in data):
         field.w[:, 0] = -10.0
         return field
-    gw2, gt2 = np.full_like(field.w, 1e-6), np.full_like(field.t, 1e-6)
+    likelihood = Likelihood(data)
+    step_w, step_t = np.full_like(field.w, 0.3), np.full_like(field.t, 0.1)
+    old_w, old_t = np.zeros_like(field.w), np.zeros_like(field.t)
     for _ in range(rounds):
-        gw, gt = -l2 * field.w * len(data), -l2 * field.t * len(data)
-        for rows, gold in data:
-            a, b = field.gradient(rows, gold)
-            gw += a
-            gt += b
-        gw2 += gw * gw
-        gt2 += gt * gt
-        field.w += step * gw / np.sqrt(gw2)
-        field.t += step * gt / np.sqrt(gt2)
+        _, gw, gt = likelihood(field.w, field.t, l2)
+        for value, g, old, step in ((field.w, gw, old_w, step_w), (field.t, gt, old_t, step_t)):
+            turn = np.sign(g * old)
+            np.clip(np.where(turn > 0, 1.2 * step, np.where(turn < 0, 0.5 * step, step)), 1e-4, 1.0, out=step)
+            g = np.where(turn < 0, 0.0, g)
+            value += np.sign(g) * step
+            old[:] = g
     return field
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.StringType()), T.StructField("has", T.BooleanType())])))
 def island_texts(text: pd.Series) -> pd.Series:
-    return pd.Series([[x[t[0][0] : t[-1][1]] for t in islands(x) if len(t) <= 24] for x in text])
+    def each(x):
+        own = (x[t[0][0] : t[-1][1]] for t in islands(x) if len(t) <= FIT_TOKENS)
+        return [{"x": y, "has": bool(base_spans(y))} for y in own]
+
+    return text.map(each)
 
 
 def fitted(docs: DataFrame) -> Field:
-    """A field for these documents, from at most ``MAX_ISLANDS`` of their islands."""
+    """A field for these documents, from at most ``MAX_ISLANDS`` of their islands with a base span and as many without."""
     session(docs)
-    pieces = docs.filter(F.col("text").rlike("[0-9@]")).select(F.explode(island_texts("text")).alias("x")).distinct()
-    return fit([r.x for r in pieces.orderBy(F.xxhash64("x"), "x").limit(MAX_ISLANDS).collect()])
+    pieces = docs.filter(F.col("text").rlike("[0-9@]")).select(F.explode(island_texts("text")).alias("p")).select("p.*")
+    pieces = written(pieces.distinct())
+    some = [r.x for has in ("has", "not has") for r in pieces.filter(has).orderBy(F.xxhash64("x"), "x").limit(MAX_ISLANDS).collect()]
+    return fit(sorted(some))
 
 
 def all_spans(field, text):
