@@ -75,6 +75,20 @@ def simhash(text, size=4, seed=42):
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def by_bytes(items, limit, size=len):
+    """The items in lists of about ``limit`` bytes at most; one that is larger stands alone."""
+    held, total = [], 0
+    for x in items:
+        n = size(x)
+        if held and total + n > limit:
+            yield held
+            held, total = [], 0
+        held.append(x)
+        total += n
+    if held:
+        yield held
+
+
 def mixed(h):
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

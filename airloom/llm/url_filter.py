@@ -8,6 +8,7 @@ meets, by its tokens, only the rules of that token, and then all of a rule's tok
 
 A page is blocked if a mined rule matches its URL, unless a fixed rule fits; the longest fixed rule wins.
 Null and empty URLs, and those without ``://``, have no tokens, fit no rule and are allowed. Each row is judged, repeated rows alike.
+Very long URLs are read whole. With fewer than ``min_support`` bad URLs, or none labelled, nothing is mined. Other columns are not read.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,6 @@ from .common import session, small, table, written
 
 #: The host rules.
 HOST_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Host words by which a URL counts as bad, besides its document's labels.
-BAD_WORDS = ["adult", "bets", "casino", "pills", "porn", "spam", "xxx"]
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
 #: Longer path segments and query keys are tokens by a hash of all of them.
@@ -112,12 +111,11 @@ def judged(pages: DataFrame, labelled: DataFrame, rules=HOST_RULES) -> DataFrame
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(tokens, bad)``: pages with a label of their id; bad if low quality or toxic by label, or by a word of the host."""
+    """``(tokens, bad)``: pages with a label of their id; bad if low quality or toxic."""
     rows = pages.select("page_id", "url").join(labels.select("doc_id", "quality", "toxic"), F.col("page_id") == F.col("doc_id"))
     t = tokens(F.col("url"))
-    by_word = F.arrays_overlap(t, F.array(*[F.lit(f"{k}:{w}") for w in BAD_WORDS for k in "wh"]))
-    by_label = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
-    return rows.select(t.alias("tokens"), (by_word | by_label).alias("bad")).filter(F.size("tokens") > 0)
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    return rows.select(t.alias("tokens"), bad.alias("bad")).filter(F.size("tokens") > 0)
 
 
 def op2_association_rules(spark, sf_dir):

@@ -44,18 +44,37 @@ def test_kth_largest_is_exact(spark):
     keys = np.concatenate([rng.normal(size=3000), np.zeros(500)])
     df = spark.createDataFrame([(float(x),) for x in keys], "key double").cache()
     for k in (1, 7, 1500, 3500):
-        assert importance.kth_largest(df, k) == np.sort(keys)[::-1][k - 1]
-
-
-def test_weights_match_brute_force(spark):
-    ratio = np.random.default_rng(1).normal(size=importance.BUCKETS)
-    texts = ["A b c a", "", None, "x " * 1000, "é ß"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as key")
-    got = {r.doc_id: r.log_weight for r in importance.weighed(df, ratio).collect()}
-    for i, t in enumerate(texts):
-        bucket, _, n = importance.grams([t])
-        want = ratio[bucket].mean() * min(n[0], importance.LENGTH) if n[0] else 0.0
-        assert abs(got[i] - want) < 1e-9
-    empty = importance.resampled(df.limit(0), df.select("doc_id"), 0.5)
-    assert empty.count() == 0
-    assert importance.resampled(df, df.limit(0).select("doc_id"), 1.0).filter("kept").count() == len(texts)
+        least = np.sort(keys)[::-1][k - 1]
+        assert importance.kth_largest(df, k) == (least, (keys > least).sum())
+
+
+def plain_grams(text):
+    """Buckets of words and word pairs, one word at a time."""
+    h = [importance.word_hashes([w])[0][0] for w in (text or "").lower().encode().split()]
+    with np.errstate(over="ignore"):
+        pairs = [importance.mixed(np.array([a * importance.ODD + b]))[0] for a, b in zip(h, h[1:])]
+    return [int(x % np.uint64(importance.BUCKETS)) for x in h + pairs]
+
+
+def test_models_weights_and_sample_match_brute_force(spark):
+    texts = ["A b c a", "", None, "x " * 1000, "é ß", "a b b c", "a b c d e f g " * 9] + ["the same"] * 4
+    ids = [0, 1, 2, 3, 4, 5, None, 7, 7, 7, 7]
+    rows = [(i, t, 1) for i, t in zip(ids, texts)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int").coalesce(1)
+    good = spark.createDataFrame([(0,), (5,), (None,)], "doc_id long")
+    raw, target = np.ones(importance.BUCKETS), np.ones(importance.BUCKETS)
+    for i, t, _ in rows:
+        for b in plain_grams(t):
+            raw[b] += 1
+            target[b] += i in (0, 5)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert np.allclose(importance.models(df, good), ratio)
+    got = importance.weighed(df, ratio).collect()
+    assert all(abs(r.log_weight - sum(ratio[b] for b in plain_grams(t))) < 1e-6 for r, (_, t, _) in zip(got, rows))
+    for share in (0.0, 0.003, 0.31, 0.5, 1.0):
+        k = int(np.ceil(share * len(rows)))
+        kept = [r for r in importance.resampled(df, good, share).collect()]
+        assert sum(r.kept for r in kept) == k
+        assert min([r.key for r in kept if r.kept], default=np.inf) >= max([r.key for r in kept if not r.kept], default=-np.inf)
+    assert importance.resampled(df.limit(0), df.select("doc_id"), 0.5).count() == 0
+    assert importance.resampled(df, df.limit(0).select("doc_id"), 1.0).filter("kept").count() == len(rows)
