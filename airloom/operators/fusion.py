@@ -4,6 +4,8 @@ One group is one variable and hour: a handful of stations by categories, so a gr
 length, and hours are spread over all tasks. Within a group, numpy arrays hold all candidate moves at once.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,21 +29,38 @@ def weights(imprecision, covar, previous, history=0.4, power=1.0, own=0.7, missi
     return w / w.sum()
 
 
-def penalties(e2, w, exponent):
-    """(cost, class of each station): class changes of one or two steps, the best first, while the cost falls."""
+#: Changes of a penalty class by one and two steps down and up: (class, size, direction) -> new class, and where there is none.
+TO = np.arange(len(PENALTY))[:, None, None] + np.array([[-1, 1], [-2, 2]])
+NONE = np.where((TO < 0) | (TO >= len(PENALTY)), np.inf, 0.0)
+TO = np.clip(TO, 0, len(PENALTY) - 1)
+GAIN = PENALTY[TO] - PENALTY[:, None, None]
+
+
+@lru_cache
+def prices(exponent):
+    """(price of each class, its change by each move)."""
     price = PENALTY**exponent
-    state = np.zeros(len(e2), int)
-    cost = lambda s: (w * PENALTY[s] * e2).sum() * price[s].mean()
-    best = cost(state)
+    return price, price[TO] - price[:, None, None]
+
+
+def penalties(e2, w, exponent):
+    """(cost, class of each station): class changes of one or two steps, the best first, while the cost falls.
+
+    The cost is a weighted error sum times a mean price, so each change's cost follows from both and one station's terms;
+    ties go to the smaller step, then to the station, then to the class below."""
+    price, dear = prices(exponent)
+    n, load, state = len(e2), w * e2, np.zeros(len(e2), int)
+    total, paid = load.sum(), n * price[0]
+    best = total * paid / n
     while True:
-        moves = [(k, state[k] + step) for size in (1, 2) for k in range(len(e2)) for step in (-size, size) if 0 <= state[k] + step < len(PENALTY)]
-        trial = np.repeat(state[None, :], len(moves), axis=0)
-        trial[np.arange(len(moves)), [m[0] for m in moves]] = [m[1] for m in moves]
-        costs = (w * PENALTY[trial] * e2).sum(axis=1) * price[trial].mean(axis=1)
-        at = int(costs.argmin())
-        if costs[at] >= best - 1e-12:
+        costs = (total + load[:, None, None] * GAIN[state]) * (paid + dear[state]) / n + NONE[state]
+        at = int(costs.transpose(1, 0, 2).argmin())
+        size, k, way = at // (2 * n), at // 2 % n, at % 2
+        if costs[k, size, way] >= best - 1e-12:
             return best, state
-        best, state = costs[at], trial[at]
+        state[k] = TO[state[k], size, way]
+        total, paid = (load * PENALTY[state]).sum(), price[state].sum()
+        best = total * paid / n
 
 
 def search_space(low, high, step):
@@ -52,34 +71,32 @@ def descent(observed, parts, w, spaces, additive, exponent):
     """(factors, cost, classes): from the middle of each category's space, single moves of growing size while any lowers the
     cost. ``parts`` is stations by categories; the additive category's factor is added, the others multiply. All moves
     are costed at once under the stations' present classes, and the classes follow each accepted move."""
-    at = np.array([len(s) // 2 for s in spaces])
-    open_ones = [c for c, s in enumerate(spaces) if len(s) > 1]
-
-    def errors(indices):
-        f = np.array([[s[k] for s, k in zip(spaces, index)] for index in indices])
-        model = parts @ np.where(additive, 1.0, f).T + f[:, additive].sum(axis=1)
-        return (observed[:, None] - np.maximum(model, 0)) ** 2
-
-    best, state = penalties(errors([at])[:, 0], w, exponent)
+    size_of = np.array([len(s) for s in spaces])
+    table = np.zeros((len(spaces), size_of.max()))
+    for c, s in enumerate(spaces):
+        table[c, : len(s)] = s
+    slope = np.where(additive, 1.0, parts)
+    at, cats = size_of // 2, np.flatnonzero(size_of > 1)
+    steps = np.array([-1, 1, -2, 2])
+    price, _ = prices(exponent)
+    model = np.where(additive, parts, 0.0).sum(axis=1) + slope @ table[np.arange(len(spaces)), at]
+    best, state = penalties((observed - np.maximum(model, 0)) ** 2, w, exponent)
     size = 1
-    while size <= 4:
-        trials = []
-        for c in open_ones:
-            for step in (-size, size, -2 * size, 2 * size):
-                if 0 <= at[c] + step < len(spaces[c]):
-                    trials.append(at.copy())
-                    trials[-1][c] += step
-        if not trials:
-            break
-        e2 = errors(trials)
-        costs = (w * PENALTY[state]) @ e2 * (PENALTY[state] ** exponent).mean()
-        k = int(costs.argmin())
-        cost, classes = penalties(e2[:, k], w, exponent)
+    while size <= 4 and len(cats):
+        to = at[cats, None] + size * steps
+        legal = (to >= 0) & (to < size_of[cats, None])
+        change = table[cats[:, None], np.where(legal, to, 0)] - table[cats, at[cats]][:, None]
+        trial = model[:, None, None] + slope[:, cats, None] * change
+        e2 = (observed[:, None, None] - np.maximum(trial, 0)) ** 2
+        costs = np.where(legal, np.tensordot(w * PENALTY[state], e2, axes=1), np.inf) * price[state].mean()
+        k = np.unravel_index(int(costs.argmin()), costs.shape)
+        cost, classes = penalties(e2[:, *k], w, exponent) if np.isfinite(costs[k]) else (np.inf, None)
         if cost < best - 1e-12:
-            at, best, state, size = trials[k], cost, classes, 1
+            at = at.copy()
+            at[cats[k[0]]], model, best, state, size = to[k], trial[:, *k], cost, classes, 1
         else:
             size += 1
-    return np.array([s[k] for s, k in zip(spaces, at)]), best, state
+    return table[np.arange(len(spaces)), at], best, state
 
 
 FITTED = T.StructType([T.StructField("var", T.StringType()), T.StructField("sys_hour", T.LongType()), T.StructField("factors", T.ArrayType(T.DoubleType())), T.StructField("cost", T.DoubleType()), T.StructField("stations", T.ArrayType(T.StringType())), T.StructField("classes", T.ArrayType(T.IntegerType())), T.StructField("permille", T.ArrayType(T.DoubleType()))])
@@ -102,17 +119,46 @@ def fit_group(pdf, n_cat, exponent):
     return factors, cost, state, w
 
 
+def by_hour(inputs: DataFrame, solve, kind: T.StructType, pack: int = 500) -> DataFrame:
+    """``solve(var, sys_hour, rows)`` -> tuples of ``kind`` for each variable and hour. Hours stream through the tasks in order, many to a
+    batch, so Spark exchanges no batch for each; only one hour's stations are held at a time."""
+
+    def hours(batches):
+        held = []
+        for batch in batches:
+            key = (batch["sys_hour"].ne(batch["sys_hour"].shift()) | batch["var"].ne(batch["var"].shift())).to_numpy()
+            starts = [0, *[int(x) for x in np.flatnonzero(key) if x], len(batch)]
+            for lo, hi in zip(starts, starts[1:]):
+                part = batch.iloc[lo:hi]
+                if held and (held[0]["var"].iloc[0], held[0]["sys_hour"].iloc[0]) != (part["var"].iloc[0], part["sys_hour"].iloc[0]):
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                held.append(part)
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches):
+        out = []
+        for pdf in hours(b for b in batches if len(b)):
+            out += solve(pdf["var"].iloc[0], int(pdf["sys_hour"].iloc[0]), pdf)
+            if len(out) >= pack:
+                yield pd.DataFrame(out, columns=kind.names)
+                out = []
+        yield pd.DataFrame(out, columns=kind.names)
+
+    return inputs.repartition("var", "sys_hour").sortWithinPartitions("var", "sys_hour", "source_id", "previous").mapInPandas(run, kind)
+
+
 def fitted(inputs: DataFrame, n_cat: int, strength: str = "medium") -> DataFrame:
     """``inputs(var, sys_hour, source_id, value, parts, imprecision, covar, previous)`` -> one row of factors an hour."""
     exponent = STRENGTH[strength]
 
-    def solve(key, pdf):
-        pdf = pdf.sort_values(["source_id", "previous"]).reset_index(drop=True)
+    def solve(var, hour, pdf):
         factors, cost, state, w = fit_group(pdf, n_cat, exponent)
         applied = w * PENALTY[state]
-        return pd.DataFrame([(*key, factors.tolist(), float(cost), pdf["source_id"].tolist(), state.tolist(), (1000 * applied / applied.sum()).tolist())], columns=FITTED.names)
+        return [(var, hour, factors.tolist(), float(cost), pdf["source_id"].tolist(), state.tolist(), (1000 * applied / applied.sum()).tolist())]
 
-    return inputs.groupBy("var", "sys_hour").applyInPandas(solve, FITTED)
+    return by_hour(inputs, solve, FITTED)
 
 
 LEFT_OUT = T.StructType([T.StructField("var", T.StringType()), T.StructField("sys_hour", T.LongType()), T.StructField("source_id", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("predicted", T.DoubleType())])
@@ -122,17 +168,17 @@ def left_out(inputs: DataFrame, n_cat: int, strength: str = "medium") -> DataFra
     """Prediction at each station from a fit without it."""
     exponent = STRENGTH[strength]
 
-    def solve(key, pdf):
-        rows = []
-        for station in sorted(set(pdf["source_id"])):
-            out, rest = pdf[(pdf["source_id"] == station) & ~pdf["previous"]], pdf[pdf["source_id"] != station]
-            if len(out) and len(rest):
-                f, _, _, _ = fit_group(rest.reset_index(drop=True), n_cat, exponent)
+    def solve(var, hour, pdf):
+        rows, source, now = [], pdf["source_id"].to_numpy(), ~pdf["previous"].to_numpy()
+        for station in sorted(set(source[now])):
+            rest, out = pdf[source != station], pdf[(source == station) & now]
+            if len(rest):
+                f, _, _, _ = fit_group(rest, n_cat, exponent)
                 p = np.array(out["parts"].iloc[0], float)
-                rows.append((*key, station, float(out["value"].iloc[0]), float(max(0.0, (p[1:] * f[1:]).sum() + p[0] + f[0]))))
-        return pd.DataFrame(rows, columns=LEFT_OUT.names)
+                rows.append((var, hour, station, float(out["value"].iloc[0]), float(max(0.0, (p[1:] * f[1:]).sum() + p[0] + f[0]))))
+        return rows
 
-    return inputs.groupBy("var", "sys_hour").applyInPandas(solve, LEFT_OUT)
+    return by_hour(inputs, solve, LEFT_OUT)
 
 
 def day_type(sys_hour):
@@ -175,12 +221,21 @@ LEARNED = T.StructType([T.StructField("var", T.StringType()), T.StructField("cat
 
 
 def learned(adjustments: DataFrame) -> DataFrame:
-    """``adjustments(var, cat, sys_hour, factor, filled)``: the state after all hours in order; filled hours teach nothing."""
-
-    def fold(key, pdf):
-        state = Learned(additive=key[1] == 0)
-        for h, f in pdf.sort_values("sys_hour")[["sys_hour", "factor"]].itertuples(index=False):
-            state.update(int(h), float(f))
-        return pd.DataFrame([(*key, *state.state())], columns=LEARNED.names)
+    """``adjustments(var, cat, sys_hour, factor, filled)``: the state after all hours in order; filled hours teach nothing.
+
+    A (variable, category) has one row an hour, which are folded in order as they stream through the task; none is held."""
+
+    def fold(batches):
+        key, state = None, None
+        for pdf in batches:
+            for var, cat, h, f in pdf.itertuples(index=False):
+                if (var, cat) != key:
+                    if state:
+                        yield pd.DataFrame([(*key, *state.state())], columns=LEARNED.names)
+                    key, state = (var, cat), Learned(additive=cat == 0)
+                state.update(int(h), float(f))
+        if state:
+            yield pd.DataFrame([(*key, *state.state())], columns=LEARNED.names)
 
-    return adjustments.filter("not filled").groupBy("var", "cat").applyInPandas(fold, LEARNED)
+    rows = adjustments.filter("not filled").select("var", "cat", "sys_hour", "factor")
+    return rows.repartition("var", "cat").sortWithinPartitions("var", "cat", "sys_hour", "factor").mapInPandas(fold, LEARNED)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airloom.sources.store import written
+
 SERIES = ["var", "source_id"]
 
 
@@ -51,13 +53,13 @@ def overall_covariance(series: DataFrame, by=None) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.avg(F.pow(F.col("other") - F.col("value"), 2)).alias("overall"))
 
 
-def capped_at_percentile(cells: DataFrame, p: float, value: str = "value") -> DataFrame:
-    """Caps values at the ``floor(n p)``-th (from 0) of the sorted values, found by counting values, not by sorting all rows in one task."""
-    n = cells.agg(F.count(value)).first()[0]
+def value_at(rows: DataFrame, place, value: str = "value"):
+    """The value at the 0-based place ``place(n)`` of the n sorted values (None of none), found by counting values, not by sorting all rows in one task."""
+    n = rows.agg(F.count(value)).first()[0]
     if not n:
-        return cells.withColumn("capped", F.col(value))
-    counts = cells.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    target, lo, hi, below = int(n * p), *cells.agg(F.min(value), F.max(value)).first(), 0
+        return None
+    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    target, lo, hi, below = place(n), *rows.agg(F.min(value), F.max(value)).first(), 0
     while lo < hi:
         width = (hi - lo) / 1000
         bins = counts.filter((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy(F.least(F.lit(999), F.floor((F.col("v") - lo) / width)).alias("bin"))
@@ -66,7 +68,24 @@ def capped_at_percentile(cells: DataFrame, p: float, value: str = "value") -> Da
                 lo, hi = b.lo, b.hi
                 break
             below += b.n
-    return cells.withColumn("capped", F.least(F.col(value), F.lit(lo)))
+    return lo
+
+
+def capped_at_percentile(cells: DataFrame, p: float, value: str = "value") -> DataFrame:
+    """Caps values at the ``floor(n p)``-th (from 0) of the sorted values."""
+    top = value_at(cells, lambda n: int(n * p), value)
+    return cells.withColumn("capped", F.col(value) if top is None else F.least(F.col(value), F.lit(top)))
+
+
+def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Adds ``rank`` (from 0) and ``size`` of each group. Rows are cut into ranges of (by, order), ranked in each, and shifted by
+    the ranges before, so a large group is spread over many tasks."""
+    cut = written(rows.repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range and group
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "size": F.sum("_n").over(Window.partitionBy(by))}).drop("_n")
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)) - 1
+    return cut.withColumn("_own", own).join(shift, [by, "_range"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
 
 
 def completeness(series: DataFrame, first_hour: int, last_hour: int, by=None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Nearest and band joins, weighted combination and grid resampling.
 
 Band joins go through bins: one side is copied to the bins around it, the other stays in its own, and the join is an
-equality on the bin. A bin is as wide as the radius, so nine copies are enough, whatever the number of points.
+equality on the bin. A bin is as wide as the radius at least, so nine copies are enough, whatever the number of points.
 """
 
 import math
@@ -17,17 +17,23 @@ def around(n: int):
     return F.array(*[F.lit(k).cast("long") for k in range(-n, n + 1)])
 
 
-def within(points: DataFrame, targets: DataFrame, radius_m: float, max_lat: float = 70.0) -> DataFrame:
+def within(points: DataFrame, targets: DataFrame, radius_m: float) -> DataFrame:
     """Pairs nearer than ``radius_m``, with ``dist``; ``points(lat, lon, ...)`` and ``targets(tlat, tlon, ...)``.
 
-    Latitude bins are one radius high, longitude bins one radius wide at ``max_lat``.
+    Latitude bins are one radius high. Each has longitude bins of its own, one radius wide at the latitude next to it that is
+    nearest to a pole, which close around the globe; so no pair is lost in the far north, at a pole or across 180 degrees.
     """
     dy = radius_m / DEGREE_M
-    dx = dy / math.cos(math.radians(max_lat))
-    a = points.withColumns({"_y": F.floor(F.col("lat") / dy), "_x": F.floor(F.col("lon") / dx)})
-    bins = lambda x: F.explode(F.transform(around(1), lambda k: F.floor(x) + k))
-    b = targets.withColumn("_y", bins(F.col("tlat") / dy)).withColumn("_x", bins(F.col("tlon") / dx))
-    pairs = a.join(b, ["_y", "_x"]).withColumn("dist", distance_m(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")))
+    y = lambda lat: F.floor(lat / dy)
+    edge = lambda row: F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * dy)
+    n = lambda row: F.greatest(F.lit(1).cast("long"), F.floor(360 * F.cos(F.radians(edge(row))) / dy))
+    x = lambda lon, row: F.floor((lon + 180) / 360 * n(row))
+    a = points.withColumn("_y", y(F.col("lat"))).withColumn("_x", F.pmod(x(F.col("lon"), F.col("_y")), n(F.col("_y"))))
+    b = targets.withColumn("_y", F.explode(F.transform(around(1), lambda k: y(F.col("tlat")) + k)))
+    near = F.transform(around(1), lambda k: F.pmod(x(F.col("tlon"), F.col("_y")) + k, n(F.col("_y"))))
+    b = b.withColumn("_x", F.explode(F.array_distinct(near)))
+    turns = 360 * F.round((F.col("lon") - F.col("tlon")) / 360)
+    pairs = a.join(b, ["_y", "_x"]).withColumn("dist", distance_m(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon") + turns))
     return pairs.filter(F.col("dist") < radius_m).drop("_y", "_x")
 
 

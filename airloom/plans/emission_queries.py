@@ -27,6 +27,14 @@ conc AS (SELECT h + dh AS h, w + dw AS w, cat, pollutant, rate * (share * side *
 DENSE = f"{EMISSIONS}, dense AS (SELECT h, w, cat, pollutant, height_m, sum(rate) AS rate FROM emissions GROUP BY ALL), foot AS (SELECT dh, dw, dh * 250.0 AS x, dw * 250.0 AS y FROM (SELECT unnest(range(1, 5)) AS dh), (SELECT unnest(range(-4, 5)) AS dw))"
 
 
+def plume_sql(dense, foot, tag):
+    """The plume CTEs with other sources and footprint; the last is ``conc`` + tag."""
+    text = PLUME.replace("FROM dense, foot", f"FROM {dense}, {foot}")
+    for name in ("plume", "conc"):
+        text = text.replace(f"{name} AS (", f"{name}{tag} AS (").replace(f"FROM {name})", f"FROM {name}{tag})")
+    return text.replace("w AS (SELECT", f"w{tag} AS (SELECT").replace("FROM w)", f"FROM w{tag})")
+
+
 @query("X20_receptor_footprint", f"WITH {DENSE}, {PLUME} SELECT h, w, cat, pollutant, round(sum(conc) * 1e6, 3) AS conc FROM conc GROUP BY ALL")
 def x20(spark, sf):
     got = d.receptor_sums(emissions(spark, sf), d.footprint(spark, 4, 250.0))
@@ -112,15 +120,36 @@ def x27(spark, sf):
     return m.select(d.height_band(c("h_m")).alias("band"), F.floor(c("y_m") / 500 + 1e-9).alias("cy"), F.floor(c("x_m") / 500 + 1e-9).alias("cx"), "cat", r(c("mass")).alias("mass"), r(c("y_m")).alias("y_m"))
 
 
-@query("X28_puff_layer")
+def tick_sql(name, before, north, east, decay=0.02):
+    """One tick in SQL: the puffs of ``before`` (or none) and fresh ones, moved and merged."""
+    old = f"SELECT cat, h_m, y_m, x_m, dist_m, mass FROM {before} UNION ALL " if before else ""
+    fresh = f"({old}SELECT cat, h_m, h * 100.0 AS y_m, w * 100.0 AS x_m, 0.0 AS dist_m, rate AS mass FROM e)"
+    moved = f"SELECT cat, h_m, y_m + {north * 300.0} AS y_m, x_m + {east * 300.0} AS x_m, dist_m + {(north * north + east * east) ** 0.5 * 300.0!r} AS dist_m, mass * exp({-decay * 300 / 3600!r}) AS mass FROM {fresh}"
+    keys = "CASE WHEN h_m < 40 THEN 0 WHEN h_m < 80 THEN 1 ELSE 2 END, CAST(floor(y_m / 500 + 1e-9) AS BIGINT), CAST(floor(x_m / 500 + 1e-9) AS BIGINT)"
+    means = ", ".join(f"sum({c} * mass) / sum(mass) AS {c}" for c in ("h_m", "y_m", "x_m", "dist_m"))
+    return f"{name} AS (SELECT cat, {means}, sum(mass) AS mass FROM ({moved}) GROUP BY cat, {keys})"
+
+
+def layer_sql(puffs):
+    return f"""r AS (SELECT *, 2 + CAST(floor(0.25 * dist_m / 500) AS BIGINT) AS rad, CAST(floor(y_m / 500 + 1e-9) AS BIGINT) AS ch, CAST(floor(x_m / 500 + 1e-9) AS BIGINT) AS cw, greatest(dist_m, 10) AS d FROM {puffs}),
+g AS (SELECT *, power(0.16 * d * power(1 + 0.0004 * d, -0.5), 2) / 2 AS ry, power(0.14 * d * power(1 + 0.003 * d, -0.5), 2) / 2 AS rz FROM r),
+y AS (SELECT *, unnest(range(-rad, rad + 1)) AS dh FROM g), x AS (SELECT *, unnest(range(-rad, rad + 1)) AS dw FROM y)
+SELECT ch + dh AS h, cw + dw AS w, cat, round(1e6 * sum(mass * exp(-(power((ch + dh + 0.5) * 500 - y_m, 2) + power((cw + dw + 0.5) * 500 - x_m, 2)) / (4 * ry)) * (exp(-power(2 - h_m, 2) / 4 / rz) + exp(-power(2 + h_m, 2) / 4 / rz)) / (8 * power(pi() * sqrt(ry * rz), 1.5))), 3) AS conc FROM x GROUP BY ALL"""
+
+
+CELL_SOURCES = f"{EMISSIONS}, e AS (SELECT cat, h, w, sum(rate) AS rate, max(height_m) AS h_m FROM emissions GROUP BY ALL)"
+TICKS = ", ".join([tick_sql("t1", None, 2.0, 1.0), tick_sql("t2", "t1", 2.0, 0.5), tick_sql("t3", "t2", 1.5, -0.5)])
+
+
+@query("X28_puff_layer", f"WITH {CELL_SOURCES}, {tick_sql('t0', None, 2.0, 1.0, 0.0)}, {layer_sql('t0')}")
 def x28(spark, sf):
-    return d.puff_layer(d.merged(d.advected(d.released(cell_sources(spark, sf), 1e9), 2.0, 1.0, 300.0), 500.0), 500.0)
+    return d.puff_layer(d.merged(d.advected(d.released(cell_sources(spark, sf), 1e9), 2.0, 1.0, 300.0), 500.0), 500.0).withColumn("conc", r(1e6 * c("conc"), 3))
 
 
-@query("X24_puff_simulation")
+@query("X24_puff_simulation", f"WITH {CELL_SOURCES}, {TICKS}, {layer_sql('t3')}")
 def x24(spark, sf):
     puffs = d.simulated(cell_sources(spark, sf), [(2.0, 1.0), (2.0, 0.5), (1.5, -0.5)], 300.0, 500.0, 1e9, written)
-    return d.puff_layer(puffs, 500.0)
+    return d.puff_layer(puffs, 500.0).withColumn("conc", r(1e6 * c("conc"), 3))
 
 
 @query("X41_emitter_proxy", f"WITH {EMISSIONS}, e AS (SELECT emitter, sum(CASE WHEN pollutant = 'N' THEN rate ELSE 0 END) AS n, sum(CASE WHEN pollutant = 'R' THEN rate ELSE 0 END) AS r FROM emissions GROUP BY ALL) SELECT emitter, round(CASE WHEN r = 0 THEN 0.3 * n ELSE r END, 3) AS r FROM e")
@@ -130,10 +159,21 @@ def x41(spark, sf):
     return e.select("emitter", r(F.when(c("r") == 0, 0.3 * c("n")).otherwise(c("r")), 3).alias("r"))
 
 
-@query("X43_traffic_emission", f"WITH {EMISSIONS} SELECT emitter, day, round(sum(rate * (1 + share)) * CASE WHEN dayofweek(day) IN (0, 6) THEN 0.7 ELSE 1 END, 2) AS ug FROM emissions WHERE cat <= 2 GROUP BY emitter, day")
+#: Emission of vehicle classes by speed: middle and amplitude of a curve that is least at 55 km/h.
+CLASSES = [(1, 0.9, 0.5), (2, 1.6, 0.7), (3, 4.0, 1.8), (4, 5.5, 2.5)]
+FACTORS = "factors AS (SELECT cat, bin, mid + amp * power((bin - 5) / 5.0, 2) AS factor FROM (VALUES " + ", ".join(f"({k}, {m}, {a})" for k, m, a in CLASSES) + ") v(cat, mid, amp), (SELECT unnest(range(0, 13)) AS bin))"
+
+
+@query("X43_traffic_emission", f"WITH {EMISSIONS}, {FACTORS}, road AS (SELECT emitter, cat, least(12, CAST(floor((20 + avg(height_m)) / 10 + 1e-9) AS BIGINT)) AS bin, sum(rate) AS flow FROM emissions WHERE cat <= 4 GROUP BY ALL), k AS (SELECT unnest(range(0, 24)) AS hour) SELECT emitter, hour, round(sum(flow * (1 + 0.6 * cos((hour - 8) * pi() / 12)) / 24 * factor), 4) AS ug FROM road JOIN factors USING (cat, bin) CROSS JOIN k GROUP BY ALL")
 def x43(spark, sf):
-    g = emissions(spark, sf).filter("cat <= 2").groupBy("emitter", "day").agg(F.sum(c("rate") * (1 + c("share"))).alias("x"))
-    return g.select("emitter", "day", r(c("x") * F.when(F.dayofweek("day").isin(1, 7), 0.7).otherwise(1.0), 2).alias("ug"))
+    """Each road's emission by hour: flows of the vehicle classes, spread over the day, times the class's factor at the road's speed."""
+    v = spark.createDataFrame(CLASSES, "cat long, mid double, amp double").withColumn("bin", F.explode(F.sequence(lit(0).cast("long"), lit(12).cast("long"))))
+    factors = v.select("cat", "bin", (c("mid") + c("amp") * F.pow((c("bin") - 5) / 5.0, lit(2))).alias("factor"))
+    bin_ = F.least(lit(12).cast("long"), F.floor((20 + F.avg("height_m")) / 10 + 1e-9))
+    road = emissions(spark, sf).filter("cat <= 4").groupBy("emitter", "cat").agg(bin_.alias("bin"), F.sum("rate").alias("flow"))
+    load = road.join(F.broadcast(factors), ["cat", "bin"]).groupBy("emitter").agg(F.sum(c("flow") * c("factor")).alias("load"))  # 52 factors
+    hours = load.select("emitter", "load", F.explode(F.sequence(lit(0).cast("long"), lit(23).cast("long"))).alias("hour"))
+    return hours.select("emitter", "hour", r(c("load") * (1 + 0.6 * F.cos((c("hour") - 8) * lit(3.141592653589793) / 12)) / 24).alias("ug"))
 
 
 @query("X45_point_rates", f"WITH {EMISSIONS} SELECT emitter, pollutant, round(sum(rate) * 1.2 / 3600, 6) AS ug_s FROM emissions WHERE height_m > 30 GROUP BY ALL")
@@ -173,9 +213,12 @@ def x58(spark, sf):
     return emissions(spark, sf).groupBy("emitter").agg(r(F.sum(c("rate") * F.when(c("cat") == 1, 1.5).when(c("cat") == 2, 0.8).otherwise(1.0)), 3).alias("flow"))
 
 
-@query("X64_temporal_audit", f"WITH {EMISSIONS} SELECT year(day) AS y, month(day) AS m, cat, count(DISTINCT emitter) AS emitters, round(sum(rate), 2) AS rate FROM emissions GROUP BY ALL")
+@query("X64_temporal_audit", f"WITH {EMISSIONS}, e AS (SELECT cat, emitter, sum(rate) AS rate, avg(share) AS share FROM emissions GROUP BY ALL), k AS (SELECT unnest(range(0, 24)) AS hour) SELECT cat, emitter, hour, round(rate * (1 + share * cos((hour - 8) * pi() / 12)) / 24, 5) AS rate FROM e CROSS JOIN k")
 def x64(spark, sf):
-    return emissions(spark, sf).groupBy(F.year("day").cast("long").alias("y"), F.month("day").cast("long").alias("m"), "cat").agg(F.count_distinct("emitter").alias("emitters"), r(F.sum("rate"), 2).alias("rate"))
+    """Every emitter at every hour of a day: its rate by its own daily swing."""
+    e = emissions(spark, sf).groupBy("cat", "emitter").agg(F.sum("rate").alias("rate"), F.avg("share").alias("share"))
+    hours = e.select("*", F.explode(F.sequence(lit(0).cast("long"), lit(23).cast("long"))).alias("hour"))
+    return hours.select("cat", "emitter", "hour", r(c("rate") * (1 + c("share") * F.cos((c("hour") - 8) * lit(3.141592653589793) / 12)) / 24, 5).alias("rate"))
 
 
 @query("X65_rain_slots", f"WITH {OBS} SELECT sec // 900 * 900 AS slot, round(avg(value), 4) AS rain FROM obs WHERE var = 'view' GROUP BY ALL")

@@ -7,8 +7,10 @@ from airloom.operators import fusion as f
 from airloom.operators import quality as q
 from airloom.operators import temporal as t
 from airloom.sources.adapters import EMISSIONS, OBS, emissions, observations
+from airloom.sources.store import written
 
 from .base import TIE, query
+from .map_queries import FOOT, STATION_PARTS, station_parts
 from .quality_queries import COVAR, HOURLY, hourly
 
 c, lit = F.col, F.lit
@@ -16,12 +18,23 @@ r = lambda x, n=4: F.round(x, n)
 N_CAT = 4
 
 
+GROUPS = "groups AS (SELECT source_id, " + ", ".join(f"sum(CASE WHEN cat % 3 = {k} THEN 1e6 * v ELSE 0 END) AS g{k}" for k in range(3)) + ", sum(1e6 * v) AS v FROM parts GROUP BY source_id), grouped AS (SELECT source_id, " + ", ".join(f"g{k} * (SELECT 20 / avg(v) FROM groups) AS p{k + 1}" for k in range(3)) + " FROM groups)"
+#: What the model expects at a station and hour: a regional background, half of the least value around, and the plumes of three groups of
+#: categories upwind, scaled to 20 on average and by the hour of the day.
+COMPONENTS = f"{HOURLY}, {EMISSIONS}, {FOOT}, {STATION_PARTS}, {GROUPS}, base AS (SELECT var, sys_hour, 0.5 * min(value) AS p0 FROM hourly GROUP BY ALL), comp AS (SELECT h.*, b.p0, coalesce(g.p1, 0) * d AS p1, coalesce(g.p2, 0) * d AS p2, coalesce(g.p3, 0) * d AS p3 FROM (SELECT *, 1 + 0.3 * cos((sys_hour % 24) * pi() / 12) AS d FROM hourly) h JOIN base b USING (var, sys_hour) LEFT JOIN grouped g USING (source_id))"
+
+
 def components(spark, sf):
-    """Four modelled category parts at each station and hour, a fixed split of a smooth guess."""
+    """``parts`` of each accepted hour: the background and the plumes of the emissions upwind by group of categories."""
     s = hourly(spark, sf)
-    base = 20 + 5 * F.sin((c("sys_hour") % 24) * lit(3.141592653589793) / 12)
-    shares = F.array(base, *[base * k * (1 + F.substring("source_id", 2, 9).cast("long") % 3) / 6 for k in (1.0, 0.5, 0.05)])
-    return s.select("var", "source_id", "sys_hour", "value", "maturity", shares.alias("parts"))
+    base = s.groupBy("var", "sys_hour").agg((0.5 * F.min("value")).alias("p0"))
+    plumes = station_parts(spark, sf).withColumn("v", 1e6 * c("v"))
+    by_station = plumes.groupBy("source_id").agg(*[F.sum(F.when(c("cat") % 3 == k, c("v")).otherwise(0.0)).alias(f"g{k}") for k in range(3)], F.sum("v").alias("v"))
+    scale = by_station.agg((20 / F.avg("v")).alias("scale"))  # one row
+    grouped = by_station.crossJoin(F.broadcast(scale)).select("source_id", *[(c(f"g{k}") * c("scale")).alias(f"p{k + 1}") for k in range(3)])  # a row for each station
+    swing = 1 + 0.3 * F.cos((c("sys_hour") % 24) * lit(3.141592653589793) / 12)
+    parts = F.array("p0", *[F.coalesce(f"p{k}", lit(0.0)) * swing for k in (1, 2, 3)])
+    return s.join(base, ["var", "sys_hour"]).join(grouped, "source_id", "left").select("var", "source_id", "sys_hour", "value", "maturity", parts.alias("parts"))
 
 
 def inputs(spark, sf):
@@ -48,7 +61,7 @@ def x32(spark, sf):
     return q.with_share(k, "k", ["var", "sys_hour"]).select("var", "source_id", "sys_hour", r(c("share"), 6).alias("weight"))
 
 
-@query("X33_search_ranges", f"WITH {HOURLY} SELECT var, sys_hour, round(least(0, min(value) - (20 + 5 * sin((sys_hour % 24) * pi() / 12))), 4) + 0.0 AS low, round(greatest(0, min(value) - (20 + 5 * sin((sys_hour % 24) * pi() / 12))) + 1, 4) AS high FROM hourly GROUP BY var, sys_hour")
+@query("X33_search_ranges", f"WITH {COMPONENTS} SELECT var, sys_hour, round(least(0, min(value) - min(p0)), 4) + 0.0 AS low, round(greatest(0, min(value) - min(p0)) + 1, 4) AS high FROM comp GROUP BY var, sys_hour")
 def x33(spark, sf):
     g = components(spark, sf).groupBy("var", "sys_hour").agg((F.min("value") - F.min(c("parts")[0])).alias("gap"))
     return g.select("var", "sys_hour", (r(F.least(lit(0.0), c("gap"))) + 0.0).alias("low"), r(F.greatest(lit(0.0), c("gap")) + 1).alias("high"))
@@ -77,9 +90,27 @@ def adjustments(spark, sf):
     return s.select("var", "sys_hour", "v", k.alias("cat")).select("var", "cat", "sys_hour", F.when(c("cat") == 0, c("v") / 10).otherwise(0.8 + c("v") / 200 / c("cat")).alias("factor"), lit(False).alias("filled"))
 
 
-@query("X38_persistent_learning")
+ADJUST = f"{HOURLY}, adj AS (SELECT var, cat, sys_hour, CASE WHEN cat = 0 THEN v / 10 ELSE 0.8 + v / 200 / cat END AS factor FROM (SELECT var, sys_hour, avg(value) AS v FROM hourly GROUP BY ALL), (SELECT unnest(range(0, 4)) AS cat))"
+STEP = "CASE WHEN cat = 0 THEN {k} * factor + (1 - {k}) * {x} ELSE least(2.0, greatest(0.7, {x} * (1 + {k} * (factor - 1)))) END"
+
+
+def fold_sql():
+    """The fold over hours as a recursion: each row is one hour's state; a cell is the day type times 24 plus the hour."""
+    kind = lambda h: f"CASE (({h}) // 24 + 3) % 7 WHEN 5 THEN 1 WHEN 6 THEN 2 ELSE 0 END"
+    cell = lambda h: f"({kind(h)}) * 24 + ({h}) % 24"
+    rate = lambda h, splash: f"(0.01 * CASE {kind(h)} WHEN 0 THEN 1.5 ELSE 4.0 END * {splash})"
+    near = [("a.sys_hour", "1.0"), ("a.sys_hour + 1", "0.33"), ("a.sys_hour - 1", "0.33")]
+    step = lambda k, x: STEP.format(k=k, x=x).replace("cat", "a.cat").replace("factor", "a.factor")
+    cells = "CASE i - 1 " + " ".join(f"WHEN {cell(h)} THEN {step(rate(h, s), 'x')}" for h, s in near) + " ELSE x END"
+    start = "CASE WHEN cat = 0 THEN 0.0 ELSE 1.0 END"
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY var, cat ORDER BY sys_hour) AS k FROM adj),
+fold AS (SELECT DISTINCT var, cat, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS last_hour, CAST({start} AS DOUBLE) AS master, list_transform(range(0, 72), lambda z: CAST({start} AS DOUBLE)) AS cells FROM adj
+ UNION ALL SELECT a.var, a.cat, a.k, a.sys_hour, {step('0.001', 'f.master')}, list_transform(f.cells, lambda x, i: {cells}) FROM fold f JOIN numbered a ON a.var = f.var AND a.cat = f.cat AND a.k = f.k + 1)"""
+
+
+@query("X38_persistent_learning", f"WITH RECURSIVE {ADJUST}, {fold_sql()}, done AS (SELECT var, cat, arg_max(master, k) AS master, arg_max(cells, k) AS cells, max(last_hour) AS last_hour FROM fold GROUP BY ALL) SELECT var, cat, last_hour, round(master, 6) AS master, slot, round(cells[slot + 1], 6) AS cell FROM done, (SELECT unnest(range(0, 72)) AS slot)")
 def x38(spark, sf):
-    return f.learned(adjustments(spark, sf))
+    return f.learned(adjustments(spark, sf)).select("var", "cat", "last_hour", r(c("master"), 6).alias("master"), F.posexplode("cells").alias("slot", "cell")).withColumns({"slot": c("slot").cast("long"), "cell": r(c("cell"), 6)})
 
 
 @query("X39_adjustments_filled")
@@ -89,11 +120,18 @@ def x39(spark, sf):
     return t.smoothed(a, by).withColumn("filled", lit(False)).unionByName(t.forecast_filled(a, 24, by).withColumn("filled", lit(True)))
 
 
-@query("X30_receptor_expectation", f"WITH {HOURLY}, p AS (SELECT var, source_id, sys_hour, 20 + 5 * sin((sys_hour % 24) * pi() / 12) AS base, 1 + CAST(substr(source_id, 2) AS BIGINT) % 3 AS k FROM hourly) SELECT var, source_id, sys_hour, round(greatest(0, base + 1.5 + base * k * (1.0 * 1.1 + 0.5 * 0.9 + 0.05) / 6), 4) AS expected FROM p")
-def x30(spark, sf):
+EXPECTED = "greatest(0, p0 + 1.5 + p1 * 1.1 + p2 * 0.9 + p3)"
+
+
+def expected(spark, sf):
+    """The model's total with fixed factors: the background's is added, the others multiply."""
     p = c("parts")
-    total = p[0] + 1.5 + p[1] * 1.1 + p[2] * 0.9 + p[3]
-    return components(spark, sf).select("var", "source_id", "sys_hour", r(F.greatest(lit(0.0), total)).alias("expected"))
+    return components(spark, sf).withColumn("expected", F.greatest(lit(0.0), p[0] + 1.5 + p[1] * 1.1 + p[2] * 0.9 + p[3]))
+
+
+@query("X30_receptor_expectation", f"WITH {COMPONENTS} SELECT var, source_id, sys_hour, round({EXPECTED}, 4) AS expected FROM comp")
+def x30(spark, sf):
+    return expected(spark, sf).select("var", "source_id", "sys_hour", r(c("expected")).alias("expected"))
 
 
 @query("X40_proxy_variables", f"WITH {HOURLY}, p AS (SELECT source_id, sys_hour, max(CASE WHEN var = 'click' THEN value END) AS click, max(CASE WHEN var = 'view' THEN value END) AS view FROM hourly GROUP BY ALL) SELECT source_id, sys_hour, round(1.4 * least(click, 100) + 0.6 * view, 4) AS pm10 FROM p WHERE click IS NOT NULL AND view IS NOT NULL")
@@ -111,17 +149,20 @@ def x42(spark, sf):
     return g.select("h", "w", r(physics.combined_index(both, "max")).alias("aqi"))
 
 
-@query("X55_prediction_at_observation", f"WITH {HOURLY} SELECT a.var, a.source_id, a.sys_hour, round(a.value, 4) AS value, round(b.value, 4) AS day_before FROM hourly a LEFT JOIN hourly b ON a.var = b.var AND a.source_id = b.source_id AND b.sys_hour = a.sys_hour - 24")
+@query("X55_prediction_at_observation", f"WITH {COMPONENTS}, e AS (SELECT *, {EXPECTED} AS expected FROM comp) SELECT a.var, a.source_id, a.sys_hour, round(a.value, 4) AS value, round(a.expected, 4) AS expected, round(a.p0, 4) AS background, round(a.p1 + a.p2 + a.p3, 4) AS plumes, round(b.expected, 4) AS day_before, round(a.expected - b.expected, 3) + 0.0 AS change FROM e a LEFT JOIN e b ON a.var = b.var AND a.source_id = b.source_id AND b.sys_hour = a.sys_hour - 24")
 def x55(spark, sf):
-    s = hourly(spark, sf).select("var", "source_id", "sys_hour", "value")
-    before = s.select("var", "source_id", (c("sys_hour") + 24).alias("sys_hour"), r(c("value")).alias("day_before"))
-    return s.withColumn("value", r(c("value"))).join(before, ["var", "source_id", "sys_hour"], "left")
+    """At each measurement: the model's total and parts, and its total of the day before (the test of a forecast)."""
+    p = c("parts")
+    s = written(expected(spark, sf))
+    before = s.select("var", "source_id", (c("sys_hour") + 24).alias("sys_hour"), c("expected").alias("b"))
+    own = s.join(before, ["var", "source_id", "sys_hour"], "left")
+    return own.select("var", "source_id", "sys_hour", r(c("value")).alias("value"), r(c("expected")).alias("expected"), r(p[0]).alias("background"), r(p[1] + p[2] + p[3]).alias("plumes"), r(c("b")).alias("day_before"), (r(c("expected") - c("b"), 3) + 0.0).alias("change"))
 
 
-@query("K4_observation_statistics", f"WITH {HOURLY}, p AS (SELECT *, 20 + 5 * sin((sys_hour % 24) * pi() / 12) AS base FROM hourly) SELECT var, source_id, count(*) AS n, round(avg(value - base), 4) AS bias, round(sqrt(avg(power(value - base, 2))), 4) AS rmse FROM p GROUP BY ALL")
+@query("K4_observation_statistics", f"WITH {COMPONENTS} SELECT var, source_id, count(*) AS n, round(avg(value - {EXPECTED}), 4) AS bias, round(sqrt(avg(power(value - {EXPECTED}, 2))), 4) AS rmse FROM comp GROUP BY ALL")
 def k4(spark, sf):
-    e = c("value") - c("parts")[0]
-    return components(spark, sf).groupBy("var", "source_id").agg(F.count(lit(1)).alias("n"), r(F.avg(e)).alias("bias"), r(F.sqrt(F.avg(e * e))).alias("rmse"))
+    e = c("value") - c("expected")
+    return expected(spark, sf).groupBy("var", "source_id").agg(F.count(lit(1)).alias("n"), r(F.avg(e)).alias("bias"), r(F.sqrt(F.avg(e * e))).alias("rmse"))
 
 
 @query("K6_override_series", f"WITH {HOURLY}, s AS (SELECT var, sys_hour, avg(value) AS v FROM hourly GROUP BY ALL) SELECT var, sys_hour, round(v / 10 + {TIE}, 4) AS c0, round(0.8 + v / 200 + {TIE}, 4) AS c1, round(0.8 + v / 400 + {TIE}, 4) AS c2, round(0.8 + v / 600 + {TIE}, 4) AS c3 FROM s")

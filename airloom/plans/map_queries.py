@@ -1,19 +1,28 @@
 """Queries on areas, roads, rays, the sun and multi-range grids."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from airloom.functions import geo, physics, sun
 from airloom.operators import dispersion as d
 from airloom.operators import spatial as s
 from airloom.operators import temporal as t
+from airloom.sources import sinks
 from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations, table
 
-from .base import query
+from airloom.sources.store import scratch_folder
+
+from .base import TIE, query
+from .emission_queries import plume_sql
 from .quality_queries import HOURLY, hourly
+from .time_queries import FORECAST
 
 c, lit = F.col, F.lit
 r = lambda x, n=4: F.round(x, n)
 M = "6371000.0 * 2 * pi() / 360"
+#: The cells of a straight line from (h0, w0) to (h1, w1), by steps along its longer side.
+LINE = "steps AS (SELECT *, greatest(abs(h1 - h0), abs(w1 - w0)) + 1 AS n FROM l), each AS (SELECT *, unnest(range(0, n)) AS k FROM steps), line AS (SELECT * EXCLUDE (h0, h1, w0, w1), h0 + CAST(floor((2 * k * (h1 - h0) + n) / (2.0 * n)) AS BIGINT) AS h, w0 + CAST(floor((2 * k * (w1 - w0) + n) / (2.0 * n)) AS BIGINT) AS w FROM each)"
 #: A test polygon (lat, lon), closed.
 POLYGON = [(60.05, 24.05), (60.35, 24.1), (60.38, 24.55), (60.2, 24.7), (60.07, 24.4), (60.05, 24.05)]
 CROSSINGS = " + ".join(
@@ -89,13 +98,20 @@ def x11(spark, sf):
     return s.filled_cells(g.filter("size > 25").select("h", "w", "value"), g.select("h", "w"), 3).withColumn("value", r(c("value"), 3))
 
 
-@query("X22_two_ranges", f"WITH {EMISSIONS}, e AS (SELECT h, w, sum(rate) AS rate FROM emissions GROUP BY ALL), near AS (SELECT a.h, a.w, sum(b.rate / (1 + power(a.h - b.h, 2) + power(a.w - b.w, 2))) AS v FROM e a JOIN e b ON b.h BETWEEN a.h - 2 AND a.h + 2 AND b.w BETWEEN a.w - 2 AND a.w + 2 GROUP BY a.h, a.w), far AS (SELECT h // 4 AS ch, w // 4 AS cw, avg(rate) AS v FROM e GROUP BY ALL) SELECT n.h, n.w, round(n.v + 0.1 * f.v, 3) AS total FROM near n JOIN far f ON f.ch = n.h // 4 AND f.cw = n.w // 4")
+FINE = f"{EMISSIONS}, dense AS (SELECT h, w, cat, pollutant, height_m, sum(rate) AS rate FROM emissions GROUP BY ALL), foot AS (SELECT dh, dw, dh * 250.0 AS x, dw * 250.0 AS y FROM (SELECT unnest(range(1, 5)) AS dh), (SELECT unnest(range(-4, 5)) AS dw))"
+COARSE = "coarse AS (SELECT h // 4 AS h, w // 4 AS w, cat, pollutant, height_m, sum(rate) AS rate FROM dense GROUP BY ALL), wide AS (SELECT dh, dw, dh * 1000.0 AS x, dw * 1000.0 AS y FROM (SELECT unnest(range(2, 5)) AS dh), (SELECT unnest(range(-4, 5)) AS dw))"
+
+
+@query("X22_two_ranges", f"WITH {FINE}, {COARSE}, {plume_sql('dense', 'foot', '_near')}, {plume_sql('coarse', 'wide', '_far')}, near AS (SELECT h, w, sum(conc) AS v FROM conc_near GROUP BY ALL), far AS (SELECT h AS ch, w AS cw, sum(conc) AS f FROM conc_far GROUP BY ALL) SELECT n.h, n.w, round(1e6 * (n.v + coalesce(f.f, 0)), 3) AS total FROM near n LEFT JOIN far f ON f.ch = CAST(floor(n.h / 4.0) AS BIGINT) AND f.cw = CAST(floor(n.w / 4.0) AS BIGINT)")
 def x22(spark, sf):
-    e = emissions(spark, sf).groupBy("h", "w").agg(F.sum("rate").alias("value"))
-    near = s.neighbours(e, 2).groupBy("h", "w").agg(F.sum(c("value") / (1 + c("dh") * c("dh") + c("dw") * c("dw"))).alias("v")).join(e.select("h", "w"), ["h", "w"], "left_semi")
-    far = e.groupBy(F.floor(c("h") / 4).alias("ch"), F.floor(c("w") / 4).alias("cw")).agg(F.avg("value").alias("f"))
-    both = near.withColumns({"ch": F.floor(c("h") / 4), "cw": F.floor(c("w") / 4)}).join(far, ["ch", "cw"])
-    return both.select("h", "w", r(c("v") + 0.1 * c("f"), 3).alias("total"))
+    """Plumes of the near range on fine cells, and of the far range (beyond a coarse cell) on cells four times as wide."""
+    e = emissions(spark, sf)
+    total = lambda rows: rows.groupBy("h", "w").agg(F.sum("conc").alias("v"))
+    near = total(d.receptor_sums(e, d.footprint(spark, 4, 250.0)))
+    coarse = e.withColumns({"h": F.floor(c("h") / 4), "w": F.floor(c("w") / 4)})
+    far = total(d.receptor_sums(coarse, d.footprint(spark, 4, 1000.0).filter("dh > 1"))).select(c("h").alias("ch"), c("w").alias("cw"), c("v").alias("f"))
+    both = near.withColumns({"ch": F.floor(c("h") / 4), "cw": F.floor(c("w") / 4)}).join(far, ["ch", "cw"], "left")
+    return both.select("h", "w", r(1e6 * (c("v") + F.coalesce("f", lit(0.0))), 3).alias("total"))
 
 
 @query("X29_background_markers", f"WITH {OBS}, m AS (SELECT sid // 2 AS b, event_id, value, sec, row_number() OVER (PARTITION BY sid // 2 ORDER BY sec DESC, event_id DESC) AS k FROM obs), n AS (SELECT b, value, greatest(0, ((SELECT max(sec) FROM obs) - sec) / 3600.0 - 5) AS late FROM m WHERE k = 1) SELECT x, round(sum(value / power(greatest(abs(x - b) + late, 2), 2)) / sum(1 / power(greatest(abs(x - b) + late, 2), 2)), 4) AS background FROM n CROSS JOIN (SELECT unnest(range(6)) AS x) GROUP BY x")
@@ -107,13 +123,22 @@ def x29(spark, sf):
     return s.weighted(n, ["x"], 1 / F.pow(F.greatest(F.abs(c("x") - c("b")) + c("late"), lit(2.0)), lit(2))).select("x", r(c("value")).alias("background"))
 
 
-@query("X21_station_footprint", f"WITH {EMISSIONS}, {OBS}, st AS (SELECT DISTINCT source_id, CAST(sid * 5 AS BIGINT) AS h, CAST(sid * 6 AS BIGINT) AS w FROM obs), e AS (SELECT h, w, cat, sum(rate) AS rate FROM emissions GROUP BY ALL) SELECT source_id, cat, round(sum(e.rate / (1 + power(st.h - e.h, 2) + power(st.w - e.w, 2))), 3) AS v FROM st JOIN e ON e.h BETWEEN st.h - 4 AND st.h + 4 AND e.w BETWEEN st.w - 4 AND st.w + 4 GROUP BY ALL")
+STATION_PARTS = f"st AS (SELECT DISTINCT source_id, CAST(sid * 5 + 6 AS BIGINT) AS h, CAST(sid * 6 + 5 AS BIGINT) AS w FROM obs), near_em AS (SELECT * FROM emissions SEMI JOIN (SELECT DISTINCT st.h - dh AS h, st.w - dw AS w FROM st, foot) q USING (h, w)), dense AS (SELECT h, w, cat, pollutant, height_m, sum(rate) AS rate FROM near_em GROUP BY ALL), {plume_sql('dense', 'foot', '')}, parts AS (SELECT source_id, cat, sum(conc) AS v FROM st JOIN conc USING (h, w) GROUP BY ALL)"
+FOOT = "foot AS (SELECT dh, dw, dh * 250.0 AS x, dw * 250.0 AS y FROM (SELECT unnest(range(1, 5)) AS dh), (SELECT unnest(range(-4, 5)) AS dw))"
+
+
+def station_parts(spark, sf):
+    """``(source_id, cat, v)``: plumes of the emission cells upwind of each station; other cells are not worked out."""
+    st = observations(spark, sf).select("source_id", (c("sid") * 5 + 6).alias("h"), (c("sid") * 6 + 5).alias("w")).distinct()
+    foot = d.footprint(spark, 4, 250.0)
+    asked = st.crossJoin(F.broadcast(foot.select("dh", "dw"))).select((c("h") - c("dh")).alias("h"), (c("w") - c("dw")).alias("w")).distinct()  # 36 cells a station
+    conc = d.receptor_sums(emissions(spark, sf).join(asked, ["h", "w"], "left_semi"), foot)
+    return st.join(conc, ["h", "w"]).groupBy("source_id", "cat").agg(F.sum("conc").alias("v"))
+
+
+@query("X21_station_footprint", f"WITH {EMISSIONS}, {OBS}, {FOOT}, {STATION_PARTS} SELECT source_id, cat, round(1e6 * v, 3) AS v FROM parts")
 def x21(spark, sf):
-    e = emissions(spark, sf).groupBy("h", "w", "cat").agg(F.sum("rate").alias("rate"))
-    st = observations(spark, sf).select("source_id", (c("sid") * 5).alias("h"), (c("sid") * 6).alias("w")).distinct()
-    asked = st.select("source_id", "h", "w", F.explode(s.around(4)).alias("dh")).select("*", F.explode(s.around(4)).alias("dw"))
-    asked = asked.select("source_id", (c("h") + c("dh")).alias("h"), (c("w") + c("dw")).alias("w"), (1 + c("dh") * c("dh") + c("dw") * c("dw")).alias("d"))
-    return asked.join(e, ["h", "w"]).groupBy("source_id", "cat").agg(r(F.sum(c("rate") / c("d")), 3).alias("v"))
+    return station_parts(spark, sf).withColumn("v", r(1e6 * c("v"), 3))
 
 
 @query("X23_single_plumes", f"WITH {EMISSIONS}, e AS (SELECT emitter, max(h) AS h, max(w) AS w, sum(rate) AS rate FROM emissions GROUP BY emitter), p AS (SELECT emitter, rate, (45 - h) * 100.0 AS x, (w - 20) * 50.0 AS y FROM e), g AS (SELECT *, power(0.16 * x * power(1 + 0.0004 * x, -0.5), 2) / 2 AS ry, power(0.14 * x * power(1 + 0.003 * x, -0.5), 2) / 2 AS rz FROM p WHERE x > 0) SELECT emitter, round(1e6 * rate * exp(-y * y / (4 * ry)) * (exp(-power(2 - 30.0, 2) / 4 / rz) + exp(-power(2 + 30.0, 2) / 4 / rz)) / (4 * pi() * sqrt(ry * rz)) / 3, 3) AS conc FROM g")
@@ -130,20 +155,24 @@ def x44(spark, sf):
     return g.select("emitter", r(F.pow(c("v") / 2 * 1.3, lit(0.6)) * 0.8 * F.when(c("m").isin(11, 12, 1, 2, 3), 1.5).otherwise(1.0), 5).alias("dust"))
 
 
-@query("X49_line_grid", f"WITH {CELLS}, l AS (SELECT p_partkey, size, h, w, unnest(range(0, 5)) AS k FROM cells) SELECT h + k AS h, w + k // 2 AS w, sum(size) AS flow FROM l GROUP BY ALL")
+@query("X49_line_grid", f"WITH {CELLS}, l AS (SELECT size AS flow, h AS h0, w AS w0, h + size % 5 AS h1, w + (3 * size) % 7 - 3 AS w1 FROM cells), {LINE} SELECT h, w, round(sum(flow / n), 4) AS flow FROM line GROUP BY ALL")
 def x49(spark, sf):
-    steps = F.explode(F.sequence(lit(0).cast("long"), lit(4).cast("long"))).alias("k")
-    pts = grid_cells(spark, sf).select("size", "h", "w", steps)
-    return pts.groupBy((c("h") + c("k")).alias("h"), (c("w") + F.floor(c("k") / 2)).alias("w")).agg(F.sum("size").alias("flow"))
+    """Flows of straight roads on the cells that they cross, by the share of the road in each."""
+    g = grid_cells(spark, sf).select(c("size").alias("flow"), c("h").alias("h0"), c("w").alias("w0"), (c("h") + c("size") % 5).alias("h1"), (c("w") + (3 * c("size")) % 7 - 3).alias("w1"))
+    return d.line_cells(g).groupBy("h", "w").agg(r(F.sum(c("flow") / c("n"))).alias("flow"))
 
 
-@query("X51_short_roads_merge", f"WITH {CELLS}, short AS (SELECT * FROM cells WHERE size < 5) SELECT a.p_partkey, min(b.p_partkey) AS into_road FROM short a JOIN cells b ON b.h BETWEEN a.h - 1 AND a.h + 1 AND b.w BETWEEN a.w - 1 AND a.w + 1 AND b.size >= 5 AND abs(a.value - b.value) < 25 GROUP BY a.p_partkey")
+@query("X51_short_roads_merge", f"WITH {CELLS}, road AS (SELECT p_partkey, h * 10 AS y, w * 10 AS x, (p_partkey // 7) % 3 AS tier, value % 100 AS dir, size FROM cells) SELECT a.p_partkey, min(b.p_partkey) AS into_road FROM road a JOIN road b ON a.size < 5 AND b.p_partkey <> a.p_partkey AND b.y BETWEEN a.y - 10 AND a.y + 10 AND b.x BETWEEN a.x - 10 AND a.x + 10 AND power(a.y - b.y, 2) + power(a.x - b.x, 2) <= 121 AND a.tier = b.tier AND abs(a.dir - b.dir) < 25 GROUP BY a.p_partkey")
 def x51(spark, sf):
+    """Short pieces of road go into the first other piece within 11 m of the same tier and nearly the same direction, found by cells of 11 m."""
     g = grid_cells(spark, sf)
-    around = g.filter("size >= 5").select("h", "w", c("p_partkey").alias("other"), c("value").alias("v"), F.explode(s.around(1)).alias("dh")).select("*", F.explode(s.around(1)).alias("dw"))
-    around = around.select((c("h") + c("dh")).alias("h"), (c("w") + c("dw")).alias("w"), "other", "v")
-    short = g.filter("size < 5").select("h", "w", "p_partkey", "value")
-    return short.join(around, ["h", "w"]).filter(F.abs(c("value") - c("v")) < 25).groupBy("p_partkey").agg(F.min("other").alias("into_road"))
+    road = g.select("p_partkey", (c("h") * 10).alias("y"), (c("w") * 10).alias("x"), (F.floor(c("p_partkey") / 7) % 3).alias("tier"), (c("value") % 100).alias("dir"), "size")
+    road = road.withColumns({"by": F.floor(c("y") / 11), "bx": F.floor(c("x") / 11)})
+    other = road.select(c("p_partkey").alias("other"), c("y").alias("oy"), c("x").alias("ox"), "tier", c("dir").alias("od"), "by", "bx")
+    asked = road.filter("size < 5").drop("size").select("*", F.explode(s.around(1)).alias("dy")).select("*", F.explode(s.around(1)).alias("dx"))
+    asked = asked.withColumns({"by": c("by") + c("dy"), "bx": c("bx") + c("dx")})
+    near = (F.pow(c("y") - c("oy"), 2) + F.pow(c("x") - c("ox"), 2) <= 121) & (F.abs(c("dir") - c("od")) < 25) & (c("p_partkey") != c("other"))
+    return asked.join(other, ["by", "bx", "tier"]).filter(near).groupBy("p_partkey").agg(F.min("other").alias("into_road"))
 
 
 @query("X56_background_grids", f"WITH {OBS} SELECT sys_hour, sid AS h, round(min(value), 4) AS background FROM obs GROUP BY ALL")
@@ -156,18 +185,28 @@ def x57(spark, sf):
     return hourly(spark, sf).filter(c("sys_hour").between(473500, 473700)).groupBy("var", "sys_hour").agg(F.count(lit(1)).alias("n"), r(F.avg("value"), 7).alias("mean"))
 
 
-@query("X60_rays", f"WITH {CELLS}, ray AS (SELECT h, w, unnest(range(1, 6)) AS k FROM cells) SELECT ray.h, ray.w, count(b.value) AS n, round(max(b.value), 4) AS tallest FROM ray LEFT JOIN cells b ON b.h = ray.h - CAST(round(k * cos(radians(30))) AS BIGINT) AND b.w = ray.w + CAST(round(k * sin(radians(30.001))) AS BIGINT) GROUP BY ray.h, ray.w")
+@query("X60_rays", f"WITH {CELLS}, ray AS (SELECT h, w, (size * 37) % 360 + 0.01 AS dir, unnest(range(1, 6)) AS k FROM cells), z AS (SELECT h, w, h - CAST(round(k * cos(radians(dir))) AS BIGINT) AS uh, w + CAST(round(k * sin(radians(dir))) AS BIGINT) AS uw, h - CAST(round((k - 3) * cos(radians(dir + 90))) AS BIGINT) AS oh, w + CAST(round((k - 3) * sin(radians(dir + 90))) AS BIGINT) AS ow FROM ray) SELECT z.h, z.w, count(u.value) AS n, round(max(u.value), 4) AS tallest, round(min(o.value), 4) AS beside FROM z LEFT JOIN cells u ON u.h = uh AND u.w = uw LEFT JOIN cells o ON o.h = oh AND o.w = ow GROUP BY z.h, z.w")
 def x60(spark, sf):
-    g = grid_cells(spark, sf).select("h", "w", "value")
-    ray = g.select("h", "w", F.explode(F.sequence(lit(1).cast("long"), lit(5).cast("long"))).alias("k"))
-    ray = ray.select("h", "w", (c("h") - F.round(c("k") * F.cos(F.radians(lit(30.0)))).cast("long")).alias("rh"), (c("w") + F.round(c("k") * F.sin(F.radians(lit(30.001)))).cast("long")).alias("rw"))
-    hit = ray.join(g.select(c("h").alias("rh"), c("w").alias("rw"), "value"), ["rh", "rw"], "left")
-    return hit.groupBy("h", "w").agg(F.count("value").alias("n"), r(F.max("value")).alias("tallest"))
-
-
-@query("K1_hourly_archive_day", f"WITH {HOURLY} SELECT var, sys_hour // 24 AS day, count(*) AS n FROM hourly GROUP BY ALL")
+    """The five cells upwind of each cell by its own wind, and the least value of the five across it."""
+    g = grid_cells(spark, sf).select("h", "w", "value", ((c("size") * 37) % 360 + 0.01).alias("dir"))
+    ray = g.select("h", "w", "dir", F.explode(F.sequence(lit(1).cast("long"), lit(5).cast("long"))).alias("k"))
+    step = lambda n, f, a: F.round(n * f(F.radians(a))).cast("long")
+    up, beside = c("k"), c("k") - 3
+    ray = ray.select("h", "w", (c("h") - step(up, F.cos, c("dir"))).alias("uh"), (c("w") + step(up, F.sin, c("dir"))).alias("uw"), (c("h") - step(beside, F.cos, c("dir") + 90)).alias("oh"), (c("w") + step(beside, F.sin, c("dir") + 90)).alias("ow"))
+    at = lambda k, v: g.select(c("h").alias(f"{k}h"), c("w").alias(f"{k}w"), c("value").alias(v))
+    hit = ray.join(at("u", "up"), ["uh", "uw"], "left").join(at("o", "beside"), ["oh", "ow"], "left")
+    return hit.groupBy("h", "w").agg(F.count("up").alias("n"), r(F.max("up")).alias("tallest"), r(F.min("beside")).alias("beside"))
+
+
+@query("K1_hourly_archive", f"WITH {HOURLY} SELECT var, source_id, sys_hour, round(value, 4) AS value FROM hourly")
 def k1(spark, sf):
-    return hourly(spark, sf).groupBy("var", F.floor(c("sys_hour") / 24).alias("day")).agg(F.count(lit(1)).alias("n"))
+    """An archive by day and variable: written, its newest days written again in place, and read back."""
+    rows = hourly(spark, sf).select("var", "source_id", "sys_hour", r(c("value")).alias("value"))
+    path = f"{scratch_folder(spark)}/archive-{uuid.uuid4().hex}"
+    sinks.archive(rows, path)
+    last = rows.agg(F.max("sys_hour")).first()[0]
+    sinks.archive(rows.filter(F.floor(c("sys_hour") / 24) == lit(last // 24)), path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 @query("K3_grid_rows", f"WITH {CELLS} SELECT h, count(*) AS n, round(list_sum(list(value ORDER BY w)), 2) AS total FROM cells GROUP BY h")
@@ -176,17 +215,20 @@ def k3(spark, sf):
     return g.select("h", F.size("a").cast("long").alias("n"), r(F.aggregate("a", lit(0.0), lambda x, y: x + y["value"]), 2).alias("total"))
 
 
-@query("K5_forecast_statistics")
+@query("K5_forecast_statistics", f"WITH {HOURLY}, {FORECAST} SELECT var, count(*) AS n, round(avg(value) + {TIE}, 5) AS mean FROM forecast GROUP BY var")
 def k5(spark, sf):
     filled = t.forecast_filled(hourly(spark, sf))
-    return filled.groupBy("var").agg(F.count(lit(1)).alias("n"), r(F.avg("value"), 7).alias("mean"))
+    return filled.groupBy("var").agg(F.count(lit(1)).alias("n"), r(F.avg("value") + TIE, 5).alias("mean"))
 
 
-@query("U5_concatenate", f"WITH {OBS} SELECT 'a' AS part, count(*) AS n FROM obs WHERE maturity = 0 UNION ALL SELECT 'b', count(*) FROM obs WHERE maturity = 1")
+@query("U5_concatenate", f"WITH {OBS} SELECT maturity AS part, event_id, var, round(value, 4) AS value FROM obs WHERE maturity < 2")
 def u5(spark, sf):
-    o = observations(spark, sf)
-    n = lambda k, p: o.filter(c("maturity") == k).agg(F.count(lit(1)).alias("n")).select(lit(p).alias("part"), "n")
-    return n(0, "a").union(n(1, "b"))
+    """Delimited files of one layout, each with a header, as one table: written, then read together without the headers."""
+    rows = observations(spark, sf).filter("maturity < 2").select(c("maturity").alias("part"), "event_id", "var", r(c("value")).alias("value"))
+    path = f"{scratch_folder(spark)}/csv-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        rows.filter(c("part") == part).write.mode("append").option("header", True).csv(path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 @query("T2_range_cut", "SELECT p_partkey FROM part WHERE sqrt(power(p_partkey // 50 - 20, 2) + power(p_partkey % 50 - 25, 2)) <= 12")
@@ -222,13 +264,14 @@ def g12(spark, sf):
     return observations(spark, sf).select("event_id", r(F.exp(-c("value") / 100), 6).alias("e"), (r(F.sin("value"), 6) + 0.0).alias("s"), r(F.acos(F.least(lit(1.0), c("value") / 500)), 6).alias("a"))
 
 
-@query("X47_static_line_raster", f"WITH {EMISSIONS}, e AS (SELECT emitter, min(h) AS h0, max(h) AS h1, sum(rate) AS rate FROM emissions GROUP BY emitter) SELECT h, round(sum(rate / (h1 - h0 + 1)), 3) AS rate FROM (SELECT *, unnest(range(h0, h1 + 1)) AS h FROM e) GROUP BY h")
+@query("X47_static_line_raster", f"WITH {EMISSIONS}, l AS (SELECT emitter, min(h) AS h0, max(h) AS h1, min(w) AS w0, max(w) + min(h) % 5 AS w1, CASE WHEN max(height_m) < 40 THEN 0 WHEN max(height_m) < 80 THEN 1 ELSE 2 END AS band, sum(rate) AS flow FROM emissions GROUP BY emitter), {LINE} SELECT band, h, w, round(sum(flow / n), 3) AS rate FROM line GROUP BY ALL")
 def x47(spark, sf):
-    e = emissions(spark, sf).groupBy("emitter").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.sum("rate").alias("rate"))
-    return e.select("*", F.explode(F.sequence("h0", "h1")).alias("h")).groupBy("h").agg(r(F.sum(c("rate") / (c("h1") - c("h0") + 1)), 3).alias("rate"))
+    """Static lines in space as cells of a grid by height band; a line's rate is shared by its cells."""
+    e = emissions(spark, sf).groupBy("emitter").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("w").alias("w0"), (F.max("w") + F.min("h") % 5).alias("w1"), d.height_band(F.max("height_m")).alias("band"), F.sum("rate").alias("rate"))
+    return d.line_cells(e).groupBy("band", "h", "w").agg(r(F.sum(c("rate") / c("n")), 3).alias("rate"))
 
 
-@query("X19_footprint_table")
+@query("X19_footprint_table", f"WITH f AS (SELECT dh, dw, dh * 25.0 AS x, dw * 25.0 AS y FROM (SELECT unnest(range(1, 41)) AS dh), (SELECT unnest(range(-40, 41)) AS dw)), dense AS (SELECT 0 AS h, 0 AS w, 0 AS cat, 'N' AS pollutant, 5.0 AS height_m, 1.0 AS rate), {plume_sql('dense', 'f', '')} SELECT h AS dh, w AS dw, round(1e6 * conc, 4) AS weight FROM conc")
 def x19(spark, sf):
     w = physics.plume(c("x"), c("y"), lit(2.0), lit(5.0), lit(3.0), lit(300.0), lit(3))
-    return d.footprint(spark, 40, 25.0).withColumn("weight", w)
+    return d.footprint(spark, 40, 25.0).select("dh", "dw", r(1e6 * w).alias("weight"))

@@ -1,5 +1,7 @@
 """Queries for filters (F), deduplication (D), aggregation (A), top-k (T) and set operations (U)."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -216,14 +218,9 @@ def a11(spark, sf):
 
 @query("A12_display_range", f"WITH {CELLS}, {OBS} SELECT round((SELECT min(value) FROM cells), 4) AS lo, round(greatest((SELECT quantile_disc(value, 0.998) FROM cells), (SELECT quantile_disc(value, 0.96) FROM obs)), 4) AS hi")
 def a12(spark, sf):
-    from pyspark.sql.functions import lit
-
-    def top(df, p):  # values are counted first: the ordered part has a row for each distinct value
-        return df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias("hi"))
-
-    cells = grid_cells(spark, sf)
-    both = top(cells, 0.998).union(top(observations(spark, sf), 0.96)).agg(F.max("hi").alias("hi")).withColumn("one", lit(1))
-    return cells.agg(F.min("value").alias("lo")).withColumn("one", lit(1)).join(both, "one").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    cells, at = grid_cells(spark, sf), lambda p: lambda n: max(0, math.ceil(n * p) - 1)
+    tops = [x for x in (q.value_at(cells, at(0.998)), q.value_at(observations(spark, sf), at(0.96))) if x is not None]
+    return cells.agg(F.round(F.min("value"), 4).alias("lo")).withColumn("hi", F.round(F.lit(max(tops, default=None)).cast("double"), 4))
 
 
 @query("A14_weight_percent", f"WITH {STATIONS} SELECT station, round(100 * (1 / imprecision) / (SELECT sum(1 / imprecision) FROM stations), 6) AS percent FROM stations")
@@ -325,7 +322,8 @@ def t1(spark, sf):
 @query("T3_least_emitters", f"WITH {EMISSIONS}, s AS (SELECT emitter, cat, sum(rate) AS r FROM emissions GROUP BY ALL), k AS (SELECT *, percent_rank() OVER (PARTITION BY cat ORDER BY r, emitter) AS p FROM s) SELECT emitter, cat FROM k WHERE p >= 0.8")
 def t3(spark, sf):
     s = emissions(spark, sf).groupBy("emitter", "cat").agg(F.sum("rate").alias("r"))
-    return s.withColumn("p", F.percent_rank().over(Window.partitionBy("cat").orderBy("r", "emitter"))).filter("p >= 0.8").select("emitter", "cat")
+    k = q.ranked(s, "cat", ["r", "emitter"]).withColumn("p", F.coalesce(F.col("rank") / F.nullif(F.col("size") - 1, F.lit(0)), F.lit(0.0)))
+    return k.filter("p >= 0.8").select("emitter", "cat")
 
 
 @query("T4_best_source", f"WITH {OBS} SELECT var, sys_hour, arg_min(source_id, maturity * 10000000000 + event_id) AS source_id FROM obs GROUP BY ALL")
@@ -333,17 +331,26 @@ def t4(spark, sf):
     return observations(spark, sf).groupBy("var", "sys_hour").agg(F.min_by("source_id", F.col("maturity") * 10000000000 + F.col("event_id")).alias("source_id"))
 
 
-@query("T5_top_contributor", f"WITH {EMISSIONS}, s AS (SELECT h, w, emitter, round(sum(rate), 3) AS r FROM emissions WHERE cat = 2 GROUP BY ALL) SELECT h, w, max(r) AS r FROM s GROUP BY h, w")
+@query("T5_top_contributor", f"WITH {EMISSIONS}, s AS (SELECT h, w, emitter, round(sum(rate), 3) AS r FROM emissions WHERE cat = 2 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY h, w ORDER BY r DESC, emitter DESC) AS k FROM s) SELECT h, w, emitter, r FROM k WHERE k = 1")
 def t5(spark, sf):
+    """The emitter that contributes most to each cell in one category; of equal ones the last by name."""
     s = emissions(spark, sf).filter("cat = 2").groupBy("h", "w", "emitter").agg(F.round(F.sum("rate"), 3).alias("r"))
-    return s.groupBy("h", "w").agg(F.max("r").alias("r"))
+    return s.groupBy("h", "w").agg(F.max(F.struct("r", "emitter")).alias("m")).select("h", "w", "m.emitter", "m.r")
 
 
-@query("T7_latest_file", f"WITH {OBS} SELECT event_id, var FROM obs ORDER BY sec DESC, event_id DESC LIMIT 8690")
-def t7(spark, sf):
+@query("T6_printout_limit", f"WITH {OBS} SELECT event_id, var FROM obs ORDER BY sec DESC, event_id DESC LIMIT 8690")
+def t6(spark, sf):
+    """A printout of the newest rows; the limit is the feature."""
     return observations(spark, sf).orderBy(F.desc("sec"), F.desc("event_id")).limit(8690).select("event_id", "var")
 
 
+@query("T7_latest_file", f"WITH {OBS}, k AS (SELECT var, source_id, event_id, sec, row_number() OVER (PARTITION BY var ORDER BY sec DESC, event_id DESC) AS k FROM obs) SELECT var, source_id, event_id, sec FROM k WHERE k = 1")
+def t7(spark, sf):
+    """The most recent entry of each feed."""
+    newest = observations(spark, sf).groupBy("var").agg(F.max(F.struct("sec", "event_id", "source_id")).alias("m"))
+    return newest.select("var", "m.source_id", "m.event_id", "m.sec")
+
+
 @query("U1_union_then_dedupe", f"WITH {OBS}, two AS (SELECT var, source_id, sys_hour, maturity, value FROM obs UNION ALL SELECT var, source_id, sys_hour, maturity + 1, value * 2 FROM obs), c AS (SELECT var, source_id, sys_hour, maturity, avg(value) AS v FROM two GROUP BY ALL) SELECT var, source_id, sys_hour, round(arg_min(v, maturity), 4) AS value FROM c GROUP BY ALL")
 def u1(spark, sf):
     o = observations(spark, sf).select("var", "source_id", "sys_hour", "maturity", "value")
@@ -363,10 +370,12 @@ def u3(spark, sf):
     return c.join(c.filter(F.col("h").between(10, 14) & F.col("w").between(10, 14)), ["h", "w"], "left_anti")
 
 
-@query("J19_merge_packs", f"WITH {OBS} SELECT source_id, count(*) AS n, count(DISTINCT var) AS vars FROM (SELECT * FROM obs WHERE maturity = 0 UNION ALL SELECT * FROM obs WHERE maturity > 0) GROUP BY source_id")
+@query("J19_merge_packs", f"WITH {OBS}, packs AS (SELECT var, source_id, sys_hour, maturity, value FROM obs WHERE sid < 4 UNION ALL SELECT var, source_id, sys_hour, maturity + 1, value FROM obs WHERE sid > 2), c AS (SELECT var, source_id, sys_hour, maturity, avg(value) AS v FROM packs GROUP BY ALL) SELECT var, source_id, sys_hour, round(arg_min(v, maturity), 4) AS value FROM c GROUP BY ALL")
 def j19(spark, sf):
-    o = observations(spark, sf)
-    return o.filter("maturity = 0").unionByName(o.filter("maturity > 0")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("var").alias("vars"))
+    """Two packs of sources, some of them in both: their union by id, one value a slot; the second pack is less mature."""
+    o = observations(spark, sf).select("var", "source_id", "sid", "sys_hour", "maturity", "value")
+    both = o.filter("sid < 4").unionByName(o.filter("sid > 2").withColumn("maturity", F.col("maturity") + 1))
+    return q.slots(both).select("var", "source_id", "sys_hour", F.round("value", 4).alias("value"))
 
 
 @query("S25_scale_offset", "SELECT c_custkey, round(c_acctbal * 0.1 + 273.15, 4) AS value FROM customer")

@@ -98,9 +98,16 @@ def w4(spark, sf):
     return t.smoothed(hourly(spark, sf)).withColumn("value", F.round("value", 6))
 
 
-@query("W5_forecast_fill")
+#: A day ahead reads only hours that are known: the same hour of up to three days before.
+FORECAST = """last_hour AS (SELECT var, source_id, max(sys_hour) AS last, arg_max(value, sys_hour) AS v FROM hourly GROUP BY ALL), steps AS (SELECT *, greatest(0.0, 1 - k / 12.0) AS lf FROM (SELECT unnest(range(1, 25)) AS k)),
+recent AS (SELECT l.var, l.source_id, avg(h.value) AS m FROM last_hour l JOIN hourly h ON h.var = l.var AND h.source_id = l.source_id AND h.sys_hour BETWEEN l.last - 47 AND l.last - 1 GROUP BY ALL),
+diurnal AS (SELECT l.var, l.source_id, k, avg(h.value) AS m FROM last_hour l CROSS JOIN steps JOIN hourly h ON h.var = l.var AND h.source_id = l.source_id AND h.sys_hour IN (l.last + k - 24, l.last + k - 48, l.last + k - 72) GROUP BY ALL),
+forecast AS (SELECT l.var, l.source_id, l.last + steps.k AS sys_hour, v * lf + coalesce(d.m, 0) * 0.4 * (1 - lf) + coalesce(r.m, v) * (0.6 * (1 - lf) + CASE WHEN d.m IS NULL THEN 0.4 * (1 - lf) ELSE 0 END) AS value FROM last_hour l CROSS JOIN steps LEFT JOIN recent r ON r.var = l.var AND r.source_id = l.source_id LEFT JOIN diurnal d ON d.var = l.var AND d.source_id = l.source_id AND d.k = steps.k)"""
+
+
+@query("W5_forecast_fill", f"WITH {HOURLY}, {FORECAST} SELECT var, source_id, sys_hour, round(value + {TIE}, 5) AS value FROM forecast")
 def w5(spark, sf):
-    return t.forecast_filled(hourly(spark, sf))
+    return t.forecast_filled(hourly(spark, sf)).withColumn("value", F.round(c("value") + TIE, 5))
 
 
 @query("W6_quarter_weight", f"WITH {OBS} SELECT event_id, CAST(CASE WHEN minute(ts) >= 45 THEN 0.75 WHEN minute(ts) >= 30 THEN 0.5 WHEN minute(ts) >= 15 THEN 0.25 ELSE 0 END AS DOUBLE) AS share FROM obs")

@@ -21,8 +21,20 @@ def grid_series(cells: DataFrame) -> DataFrame:
 
 
 def saved_state(state: DataFrame, path: str, last_hour: int, keep_days: int = 93) -> None:
-    """Learned state as one snapshot a day; snapshots older than ``keep_days`` are dropped by the reader's span."""
-    state.withColumns({"snapshot_day": F.lit(last_hour // 24), "keep_from": F.lit(last_hour // 24 - keep_days)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_day").parquet(path)
+    """Learned state as one snapshot a day; snapshots older than ``keep_days`` before it are deleted."""
+    day = last_hour // 24
+    state.withColumn("snapshot_day", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_day").parquet(path)
+    delete_older(state.sparkSession, path, "snapshot_day", day - keep_days)
+
+
+def delete_older(spark, path: str, partition: str, first_kept: int) -> None:
+    """Deletes the folders ``partition=n`` of a table with n below ``first_kept``."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(top):
+        name, _, value = found.getPath().getName().partition("=")
+        if name == partition and int(value) < first_kept:
+            files.delete(found.getPath(), True)
 
 
 def loaded_state(spark, path: str, day: int, back: int = 93) -> DataFrame:

@@ -4,17 +4,27 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and Spark runs in this process."""
-    spark = df.sparkSession
+def scratch_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and Spark runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='airloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/airloom/{uuid.uuid4().hex}"
+    return f"{folder}/airloom"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the scratch folder."""
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int) -> DataFrame:
+    """A written table with a broadcast hint if a count shows at most ``max_rows`` rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -14,6 +14,33 @@ def test_penalties_isolate_an_outlier():
     assert state[5] >= 4 and (state[:5] == 0).all()
 
 
+def plain_penalties(e2, w, exponent):
+    """The same search with every cost worked out anew."""
+    price, state = f.PENALTY**exponent, [0] * len(e2)
+    cost = lambda s: sum(w[k] * f.PENALTY[c] * e2[k] for k, c in enumerate(s)) * np.mean([price[c] for c in s])
+    best = cost(state)
+    while True:
+        moves = [state[:k] + [state[k] + d] + state[k + 1 :] for size in (1, 2) for k in range(len(e2)) for d in (-size, size) if 0 <= state[k] + d < len(f.PENALTY)]
+        top = min(moves, key=cost)
+        if cost(top) >= best - 1e-12:
+            return best, state
+        best, state = cost(top), top
+
+
+def test_penalties_and_descent_match_plain_versions():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 9):
+        e2, w = rng.random(n) ** 3 * 100, rng.random(n)
+        got, want = f.penalties(e2, w / w.sum(), -1.2), plain_penalties(e2, w / w.sum(), -1.2)
+        assert got[0] == pytest.approx(want[0]) and got[1].tolist() == want[1]
+        parts, additive = rng.random((n, 3)) * 20, np.array([True, False, False])
+        observed, spaces = parts.sum(axis=1) * 1.3 + 2, [f.search_space(0, 4, 1), f.search_space(0.4, 2, 0.1), np.array([1.0])]
+        factors, cost, _ = f.descent(observed, parts, w / w.sum(), spaces, additive, -1.2)
+        model = parts[:, 0] + factors[0] + parts[:, 1:] @ factors[1:]
+        assert cost == pytest.approx(plain_penalties((observed - model) ** 2, w / w.sum(), -1.2)[0])
+        assert factors[2] == 1.0
+
+
 def test_descent_finds_the_factors():
     rng = np.random.default_rng(1)
     parts = rng.random((8, 3)) * 20 + 1
