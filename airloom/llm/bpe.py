@@ -31,8 +31,8 @@ from .common import session, table, written
 CUT_BITS = 9
 MAX_CHUNK = 2048
 MAX_SHARED = 8192
-#: Words and chunks that a worker keeps encoded (about 60 and 10 MB). Words are kept in two halves: when one is full, the older goes.
-MAX_WORDS = 240_000
+#: Words and chunks that a worker keeps encoded (about 25 and 5 MB). Words are kept in two halves: when one is full, the older goes.
+MAX_WORDS = 160_000
 MAX_CHUNKS = 4_000
 #: Words encoded by one call, which needs some hundred bytes for each of their bytes.
 CALL_WORDS = 2_000
@@ -83,30 +83,28 @@ def chunks(raw):
 
 @lru_cache(maxsize=2)
 def loaded(vocabulary):
-    """(tokenizer, ids as bytes, tokens as bytes, encoded words), kept by a Python worker from task to task."""
+    """(tokenizer, ids as bytes, token of each id, encoded words), kept by a Python worker from task to task."""
     found = tokenizer(vocabulary)
-    n = found.get_vocab_size()
-    return found, [str(i).encode() for i in range(n)], [(found.id_to_token(i) or "").encode() for i in range(n)], [{}, {}]
+    ids = [str(i).encode() for i in range(found.get_vocab_size())]
+    return found, ids, {x: (found.id_to_token(i) or "").encode() for i, x in enumerate(ids)}, [{}, {}]
 
 
 class Coder:
-    """Encodes texts chunk by chunk; an encoded part is (ids as text, tokens as text, count)."""
+    """Encodes texts chunk by chunk; an encoded part is its ids joined by spaces, as bytes."""
 
     def __init__(self, vocabulary, shared=None):
         self.tokenizer, self.ids, self.pieces, self.words = loaded(vocabulary)
         self.known, self.shared = {}, shared or {}
 
     def keep(self, word, ids):
-        self.words[0][word] = (b" ".join([self.ids[i] for i in ids]), b" ".join([self.pieces[i] for i in ids]), len(ids))
+        self.words[0][word] = b" ".join([self.ids[i] for i in ids])
 
     def learn(self, words):
-        """Encodes words that aren't kept yet, all at once: each ends at a blank, so each stands alone, and a special token parts them."""
+        """Encodes words that aren't kept yet, many at once: each ends at a blank, so each stands alone, and a special token parts them."""
         plain = [w for w in words if b"<|" not in w]
         for w in words if len(plain) < len(words) else ():
             if b"<|" in w:
                 self.keep(w, self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if not plain:
-            return
         end = self.tokenizer.token_to_id(PART)
         for lo in range(0, len(plain), CALL_WORDS):
             some, at = plain[lo : lo + CALL_WORDS], 0
@@ -118,7 +116,7 @@ class Coder:
             self.keep(some[-1], ids[at:])
 
     def encode_words(self, words):
-        """The tokens of blank-separated words."""
+        """The ids of blank-separated words."""
         known, old = self.words
         missing = set(words).difference(known)
         if len(known) + len(missing) > MAX_WORDS // 2:
@@ -129,8 +127,7 @@ class Coder:
             again = missing & old.keys()
             known.update((w, old[w]) for w in again)
             self.learn(list(missing - again))
-        ids, tokens, n = zip(*[known[w] for w in words])
-        return b" ".join(filter(None, ids)), b" ".join(filter(None, tokens)), sum(n)
+        return b" ".join(filter(None, map(known.__getitem__, words)))
 
     def split(self, chunk):
         """(head, encoded middle, tail): the middle lies between the chunk's first and last blank; without blanks all is head."""
@@ -138,7 +135,7 @@ class Coder:
         if not first:
             return chunk, None, b""
         last = max(map(chunk.rfind, (b" ", b"\t", b"\n", b"\r")))
-        return chunk[: first.start()], self.encode_words(re.split(BLANK, chunk[first.end() : last])) if last > first.start() else (b"", b"", 0), chunk[last + 1 :]
+        return chunk[: first.start()], self.encode_words(re.split(BLANK, chunk[first.end() : last])) if last > first.start() else b"", chunk[last + 1 :]
 
     def chunk(self, chunk):
         found = self.shared.get(chunk) or self.known.get(chunk)
@@ -151,25 +148,21 @@ class Coder:
 
     def encode(self, text):
         """(ids joined by spaces, tokens joined by spaces, count) of a whole text, as bytes."""
-        ids, tokens, n, join = [], [], 0, b""
+        parts, join = [], b""
         for piece in chunks((text or "").encode("utf-8", "replace")):
             head, middle, tail = self.chunk(piece)
             join += head
             if middle is None:
                 continue
-            for part in (self.encode_words([join]) if join else (b"", b"", 0), middle):
-                if part[2]:
-                    ids.append(part[0])
-                    tokens.append(part[1])
-                    n += part[2]
+            if join:
+                parts.append(self.encode_words([join]))
+            parts.append(middle)
             join = tail
         if join:
-            part = self.encode_words([join])
-            if part[2]:
-                ids.append(part[0])
-                tokens.append(part[1])
-                n += part[2]
-        return b" ".join(ids), b" ".join(tokens), n
+            parts.append(self.encode_words([join]))
+        ids = b" ".join(filter(None, parts))
+        each = ids.split()
+        return ids, b" ".join(map(self.pieces.__getitem__, each)), len(each)
 
 
 def shared_chunks(docs: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame:
@@ -201,19 +194,15 @@ def shared_chunks(docs: DataFrame, max_shared: int = MAX_SHARED) -> DataFrame:
 
 def dictionary(docs: DataFrame, vocabulary: str, max_shared: int = MAX_SHARED) -> dict:
     """``{chunk: (head, middle, tail)}``, encoded by the executors; at most ``max_shared`` chunks come to the driver."""
-    kind = T.StructType([T.StructField(a, T.BinaryType()) for a in ("chunk", "head", "ids", "tokens", "tail")] + [T.StructField("n", T.LongType())])
+    kind = T.StructType([T.StructField(a, T.BinaryType()) for a in ("chunk", "head", "ids", "tail")])
 
     def encoded(batches):
         coder = Coder(vocabulary)
         for batch in batches:
-            rows = []
-            for c in batch["chunk"]:
-                head, middle, tail = coder.split(bytes(c))
-                rows.append((c, head, *(middle[:2] if middle else (None, None)), tail, middle[2] if middle else 0))
-            yield pd.DataFrame(rows, columns=kind.names)
+            yield pd.DataFrame([(c, *coder.split(bytes(c))) for c in batch["chunk"]], columns=kind.names)
 
     rows = shared_chunks(docs, max_shared).limit(max_shared).mapInPandas(encoded, kind).collect()
-    return {bytes(r.chunk): (bytes(r.head), None if r.ids is None else (bytes(r.ids), bytes(r.tokens), r.n), bytes(r.tail)) for r in rows}
+    return {bytes(r.chunk): (bytes(r.head), None if r.ids is None else bytes(r.ids), bytes(r.tail)) for r in rows}
 
 
 def _over(docs: DataFrame, vocabulary: str, kind: T.StructType, row, max_shared: int = MAX_SHARED) -> DataFrame:
