@@ -114,6 +114,6 @@ def op7_quality_host_rules(spark, sf_dir):
         *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed().alias("base_failed"),
         "kept",
-        "shrunk_rate",
-        "least_rate",
+        F.round("shrunk_rate", 6).alias("shrunk_rate"),
+        F.round("least_rate", 6).alias("least_rate"),
     )

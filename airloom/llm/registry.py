@@ -5,6 +5,7 @@ from .chat import op5_role_repair
 from .decontaminate import op10_spaced_seeds
 from .importance import op1_gumbel_resampling
 from .language_id import op9_output_codes
+from .oracles import oracle_sql  # noqa: F401
 from .pii import op3_semi_markov_crf
 from .quality_rules import op7_quality_host_rules
 from .simhash_dedup import op8_simhash_popcount
@@ -27,8 +28,3 @@ QUERIES = [
 
 def queries():
     return {f.__name__: f for f in QUERIES}
-
-
-def oracle_sql():
-    """No SQL computes these methods on whole tables; tests/llm compares them with brute force."""
-    return {}
