@@ -10,11 +10,11 @@ The seeds miss nothing that the comparison accepts at 20 words and a share of 0.
 words or more each placement of the allowed substitutions leaves a seed whole, whatever stands around the item. Items of five to nine
 words, which allow one, have a seed without each word; shorter ones are one seed. Documents get the seeds of the short lengths that the items have.
 
-The comparison reads only documents with hits; that join always shuffles, so its cost follows the input alike at every size
-(on large inputs Spark filters the documents by a Bloom filter of the hits before the shuffle).
+The comparison reads only the documents with hits, picked by their ids (a broadcast up to ``MAX_BROADCAST_IDS``, else a shuffle join).
 
-Null and empty texts have no seeds and match nothing. Repeated items and
-repeated documents give the same rows as one. Documents of one id are one document: a hit in any is a hit.
+Null and empty texts have no seeds and match nothing; very long texts are read whole. Repeated items and repeated documents give the same
+rows as one. Documents of one id are one document: a hit in any is a hit. Of equally good placements the one with more seeds, then the
+first, is returned. Other columns are not read.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,8 @@ MASKS = ["111011", "1101011", "11100101"]
 LONG = 10
 #: Test seeds are broadcast up to this many rows (about 40 MB); beyond it the join shuffles.
 MAX_BROADCAST_SEEDS = 1_000_000
+#: Ids of documents with hits are broadcast up to this many (about 40 MB).
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -40,10 +42,10 @@ def short_masks(n: int) -> list[str]:
 
 def seeds(df: DataFrame, key: str, masks: list[str], text: str = "text") -> DataFrame:
     """``(key, at, seed)``: one row for each mask at each position where it fits."""
-    w, span = F.col("w"), max(map(len, masks))
+    w, span = F.col("w"), max(map(len, masks))  # a word is hashed once, so the copies for the masks are of numbers
     shifted = F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(span)])
     spans = (
-        df.select(key, words(F.col(text)).alias("w"))
+        df.select(key, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("w"))
         .filter(F.size("w") >= min(map(len, masks)))
         .select(key, F.posexplode(shifted).alias("at", "s"))
     )
@@ -78,16 +80,19 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, min_share:
     item_words = items.select(F.col("item_id").alias("_item"), words(F.col("text")).alias("iw"))
     placed = found.join(written(item_words), F.col("item_id").eqNullSafe(F.col("_item")))
     begin, skip = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    doc_words = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    ids = small(written(found.select(F.col("doc_id").alias("_hit")).distinct()), MAX_BROADCAST_IDS)
+    doc_words = written(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").select(F.col("doc_id").alias("_doc"), words(F.col("text")).alias("_words")))
     cut = (
-        written(placed.drop("_item"))
-        .join(doc_words.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-        .select("doc_id", "item_id", "shift", "n_seeds", F.size("iw").alias("n_item"), F.slice("iw", skip + 1, F.size("iw")).alias("iw"), F.slice(words(F.col("_text")), begin + 1, F.size("iw")).alias("dw"))
+        placed.drop("_item")
+        .join(doc_words, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        .select("doc_id", "item_id", "shift", "n_seeds", F.size("iw").alias("n_item"), F.slice("iw", skip + 1, F.size("iw")).alias("iw"), F.slice("_words", begin + 1, F.size("iw")).alias("dw"))
         .withColumn("n", F.least(F.size("iw"), F.size("dw")))
         .withColumn("same", F.zip_with(F.slice("iw", 1, F.col("n")), F.slice("dw", 1, F.col("n")), lambda a, b: (a == b).cast("int")))
         .withColumn("compared", F.least(F.lit(window), F.col("n_item")))
         .filter(F.col("n") >= F.col("compared"))
+        .drop("iw", "dw")
     )
+    cut = written(cut)  # the agreements are worked out once, not again for each window
     best = F.array_max(
         F.transform(
             F.sequence(F.lit(1), F.col("n") - F.col("compared") + 1),
