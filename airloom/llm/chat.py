@@ -6,16 +6,20 @@ three), is merged into the turn before it if both have one role (``MERGE``), or
 after the last one. The automaton's state is the role of the last turn, so a message is a 4 x 4 table of costs and
 dynamic programming is a product of tables in min-plus algebra.
 
-Chats are cut into blocks of ``BLOCK`` turn numbers. A chat of one block is solved where it is; of longer ones each block's
-product is made in parallel, the best states at the blocks' edges follow from the products, and then each block
-is solved between its edges. One row for each message is returned; ``rendered`` of a chat's rows, in order, is the chat.
-
-Messages go by turn (nulls first), then role and text. Null texts are empty, null roles are unknown; rows without
-a chat id form one chat. Repeated rows are messages of their own. Ties go to the option listed first.
+Messages are put in order by ranges of (chat, turn, role, text hash), so a chat of any size is spread over many tasks, whatever its turns
+are called. Within a task's range each chat is cut into blocks of ``BLOCK`` messages. A chat of one block is solved where it is; of longer
+ones each block's product is made in parallel, then the product of each range's blocks; the best states at the ranges' edges follow from
+these, those at the blocks' edges from the ranges', and then each block is solved between its edges. One row for each message is
+returned; ``rendered`` of a chat's rows, in order of ``block`` and ``seq``, is the chat.
+
+Messages go by turn (nulls first), then role and hash of the text. Null texts are empty, null roles are unknown; rows without
+a chat id form one chat. Repeated rows are messages of their own; very long texts are rendered whole. Ties go to the option listed
+first. Other columns are not read.
 """
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +28,7 @@ from .common import session, table, written
 
 ROLES = ["system", "user", "assistant"]
 NONE = 3
-#: Costs of the repairs.
+#: Costs of the repairs (parameters).
 RELABEL, UNKNOWN, MERGE, INSERT = 2.0, 1.0, 1.0, 1.5
 BLOCK = 1024
 NEXT = {NONE: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
@@ -71,14 +75,23 @@ def product(roles):
     return m
 
 
-def edges(products):
+def chained(products):
+    """The product of a list of blocks' products."""
+    out = products[0]
+    for m in products[1:]:
+        out = (out[:, :, None] + m[None]).min(axis=1)
+    return out
+
+
+def edges(products, entry=NONE, leave=None):
     """The state before each block and after the last, by least cost over all blocks."""
-    best, back = np.array([np.inf, np.inf, np.inf, 0.0]), []
+    best, back = np.full(4, np.inf), []
+    best[entry] = 0.0
     for m in products:
         into = best[:, None] + m
         back.append(into.argmin(axis=0))
         best = into.min(axis=0)
-    states = [int((best + END).argmin())]
+    states = [int((best + END).argmin()) if leave is None else int(leave)]
     for b in reversed(back):
         states.append(int(b[states[-1]]))
     return states[::-1]
@@ -130,73 +143,116 @@ def rows_of(roles, texts, entry, leave, final):
     return out
 
 
-def blocks_of(batches, keys, work):
-    """Calls ``work`` for each run of equal keys in sorted batches; a run may go on in the next batch."""
-    held = None
-    for batch in batches:
-        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        code = batch[keys].ne(batch[keys].shift()) & ~(batch[keys].isna() & batch[keys].shift().isna())
-        starts = np.flatnonzero(code.any(axis=1).to_numpy() | (np.arange(len(batch)) == 0))
-        yield from (x for lo, hi in zip(starts, starts[1:]) for x in work(batch.iloc[lo:hi]))
-        held = batch.iloc[starts[-1] :]
-    if held is not None and len(held):
-        yield from work(held)
-
-
 def known(role):
     return role if role in ROLES else ""
 
 
-def repaired(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, text)`` -> the same rows with ``new_role``, ``action``, ``cost`` and ``rendered``; ``block`` and ``seq`` order them."""
-    session(messages)
-    own = messages.select("conv_id", "turn", "role", "text")
-    rows = own.withColumn("conv_id", F.col("conv_id").cast("string")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40))).cast("long"))
+TEXT = ("conv_id", "turn", "role", "text")
+NUMBERED = T.StructType([*[T.StructField(c, T.StringType()) for c in TEXT], *[T.StructField(c, T.LongType()) for c in ("range", "block", "seq")]])
+
+
+def numbered(messages: DataFrame, size: int) -> DataFrame:
+    """A written table of the messages in order: ``range`` (the task's), ``block`` (ascending within a chat) and ``seq`` within the block."""
+    n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = messages.withColumns({"_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    order = ["conv_id", "turn", "role", "_text", "_row"]
+    rows = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*[F.col(c).cast("string") for c in TEXT])
+
+    def number(batches):
+        here, last, block, at = TaskContext.get().partitionId(), (), -1, 0
+        for batch in batches:
+            conv = batch["conv_id"]
+            edges_ = np.flatnonzero((conv.ne(conv.shift()) & ~(conv.isna() & conv.shift().isna())).to_numpy())
+            starts = sorted({0, *edges_.tolist()}) if len(batch) else []
+            blocks, seqs = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for lo, hi in zip(starts, [*starts[1:], len(batch)]):
+                own = conv.iloc[lo]
+                own = None if pd.isna(own) else own
+                if (own,) != last:
+                    last, block, at = (own,), block + 1, 0
+                place = at + np.arange(hi - lo)
+                blocks[lo:hi], seqs[lo:hi] = block + place // size, place % size
+                block, at = block + int(place[-1]) // size, int(place[-1]) % size + 1
+                if at == size:
+                    block, at = block + 1, 0
+            yield batch.assign(range=here, block=(here << 32) + blocks, seq=seqs)
+
+    return written(rows.mapInPandas(number, NUMBERED))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def block_cost(roles: pd.Series) -> pd.Series:
+    return pd.Series([product(map(known, r)).ravel() for r in roles])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def range_cost(costs: pd.Series) -> pd.Series:
+    return pd.Series([chained(np.array(c).reshape(-1, 4, 4)).ravel() for c in costs])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def states(costs: pd.Series, entry: pd.Series, leave: pd.Series) -> pd.Series:
+    return pd.Series([edges(np.array(c).reshape(-1, 4, 4), int(e), None if pd.isna(x) else x) for c, e, x in zip(costs, entry, leave)])
+
+
+def planned(rows: DataFrame) -> DataFrame:
+    """``(block, entry, leave, final)`` of the blocks of chats that have more than one."""
     spans = rows.groupBy("conv_id").agg(F.min("block").alias("first"), F.max("block").alias("last"))
     long = written(spans.filter("first < last").select(F.col("conv_id").alias("_long"), "last"))
-    order = ["conv_id", "block", "turn", "role", "text"]
-    cut = rows.join(long, F.col("conv_id").eqNullSafe(F.col("_long")), "left_semi").drop("text").repartition("conv_id", "block").sortWithinPartitions(*order[:-1])
-    kind = T.StructType([T.StructField("conv_id", T.StringType()), T.StructField("block", T.LongType()), T.StructField("costs", T.ArrayType(T.DoubleType()))])
-
-    def multiply(batches):
-        def work(part):
-            yield (part["conv_id"].iloc[0], part["block"].iloc[0], product(map(known, part["role"])).ravel())
-
-        for x in blocks_of(batches, ["conv_id", "block"], work):
-            yield pd.DataFrame([x], columns=kind.names)
-
-    plan_kind = T.StructType([*kind.fields[:2], T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType())])
-
-    def plan(pdf):
-        pdf = pdf.sort_values("block")
-        states = edges([np.array(x).reshape(4, 4) for x in pdf["costs"]])
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "block": pdf["block"], "entry": states[:-1], "leave": states[1:]})
-
-    plans = written(cut.mapInPandas(multiply, kind).groupBy("conv_id").applyInPandas(plan, plan_kind))
-    ends = plans.join(long, F.col("conv_id").eqNullSafe(F.col("_long"))).select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), "entry", "leave", (F.col("block") == F.col("last")).alias("final"))
-    whole = rows.join(written(ends), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")), "left").drop("_conv", "_block")
-    out = T.StructType([*[T.StructField(c, T.StringType()) for c in ("conv_id", "turn", "role")], T.StructField("block", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("new_role", T.StringType()), T.StructField("action", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("rendered", T.StringType())])
-
-    def repair(batches):
-        def work(part):
-            inside = not pd.isna(part["entry"].iloc[0])
-            entry, leave = (int(part["entry"].iloc[0]), int(part["leave"].iloc[0])) if inside else (NONE, None)
-            final = not inside or bool(part["final"].iloc[0])
-            done = rows_of(list(map(known, part["role"])), list(part["text"]), entry, leave, final)
-            for k, (c, t, r, b, x) in enumerate(zip(part["conv_id"], part["turn"], part["role"], part["block"], done)):
-                yield (c, t, r, b, k, *x)
-
-        pack = []
-        for x in blocks_of(batches, ["conv_id", "block"], work):
-            pack.append(x)
-            if len(pack) == 5000:
-                yield pd.DataFrame(pack, columns=out.names)
-                pack = []
-        yield pd.DataFrame(pack, columns=out.names)
-
-    done = whole.repartition("conv_id", "block").sortWithinPartitions(*order).withColumn("turn", F.col("turn").cast("string")).mapInPandas(repair, out)
+    cut = rows.select("conv_id", "range", "block", "seq", "role").join(long, F.col("conv_id").eqNullSafe(F.col("_long")), "left_semi")
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    blocks = written(cut.groupBy("conv_id", "range", "block").agg(in_order("seq", "role").alias("roles")).select("conv_id", "range", "block", block_cost("roles").alias("costs")))
+    ranges = blocks.groupBy("conv_id", "range").agg(F.array_sort(F.collect_list("block")).alias("blocks"), F.flatten(in_order("block", "costs")).alias("costs"))
+    ranges = written(ranges.withColumn("cost", range_cost("costs")))
+    none = F.lit(None).cast("int")
+    chats = ranges.groupBy("conv_id").agg(F.array_sort(F.collect_list("range")).alias("ranges"), F.flatten(in_order("range", "cost")).alias("costs"))  # a few numbers for each of the ranges
+    chats = chats.select("ranges", F.col("conv_id").alias("_chat"), states("costs", F.lit(NONE), none).alias("s"))
+    of_range = chats.select("_chat", F.posexplode("ranges").alias("k", "_range"), "s").select("_chat", "_range", F.expr("s[k]").alias("entry"), F.expr("s[k + 1]").alias("leave"))
+    of_range = written(of_range)
+    inner = ranges.join(of_range, F.col("conv_id").eqNullSafe(F.col("_chat")) & (F.col("range") == F.col("_range"))).select("conv_id", "blocks", states("costs", "entry", "leave").alias("s"))
+    each = inner.select("conv_id", F.posexplode("blocks").alias("k", "block"), "s").select("conv_id", "block", F.expr("s[k]").alias("entry"), F.expr("s[k + 1]").alias("leave"))
+    return each.join(long, F.col("conv_id").eqNullSafe(F.col("_long"))).select("block", "entry", "leave", (F.col("block") == F.col("last")).alias("final"))
+
+
+OUT = T.StructType([*[T.StructField(c, T.StringType()) for c in ("conv_id", "turn", "role")], T.StructField("block", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("new_role", T.StringType()), T.StructField("action", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("rendered", T.StringType())])
+
+
+def blocks_of(batches):
+    """The rows of each block; sorted batches may cut one."""
+    held = []
+    for batch in batches:
+        starts = [0, *[int(k) for k in np.flatnonzero(np.diff(batch["block"].to_numpy())) + 1], len(batch)]
+        for lo, hi in zip(starts, starts[1:]):
+            if hi > lo:
+                part = batch.iloc[lo:hi]
+                if held and held[0]["block"].iloc[0] != part["block"].iloc[0]:
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def repair(batches):
+    pack = []
+    for part in blocks_of(batches):
+        inside = not pd.isna(part["entry"].iloc[0])
+        entry, leave = (int(part["entry"].iloc[0]), int(part["leave"].iloc[0])) if inside else (NONE, None)
+        done = rows_of(list(map(known, part["role"])), list(part["text"]), entry, leave, not inside or bool(part["final"].iloc[0]))
+        pack += [(*own, *x) for own, x in zip(part[["conv_id", "turn", "role", "block", "seq"]].itertuples(index=False), done)]
+        if len(pack) >= 2000:
+            yield pd.DataFrame(pack, columns=OUT.names)
+            pack = []
+    yield pd.DataFrame(pack, columns=OUT.names)
+
+
+def repaired(messages: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``(conv_id, turn, role, text)`` -> the same rows with ``new_role``, ``action``, ``cost`` and ``rendered``; ``block`` and ``seq`` order them."""
+    session(messages)
+    own = messages.select(*TEXT)
+    rows = numbered(own, size)
+    whole = rows.join(written(planned(rows)), "block", "left")
+    done = whole.repartition("block").sortWithinPartitions("block", "seq").mapInPandas(repair, OUT)
     return done.withColumns({c: F.col(c).cast(own.schema[c].dataType) for c in ("conv_id", "turn")})
 
 

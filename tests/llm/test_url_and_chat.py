@@ -88,19 +88,22 @@ def test_every_short_chat_becomes_legal_at_least_cost(spark):
         assert abs(sum(r.cost for r in own) - best_cost([chat.known(r) for r in roles])) < 1e-9
 
 
-def test_blocks_give_the_same_repair(spark, monkeypatch):
+def test_blocks_give_the_same_repair(spark):
     import random
 
     rng = random.Random(3)
     rows = [(c, t, rng.choice(["user", "assistant", "user", "assistant", "system", None]), f"t{t}") for c in range(4) for t in range(rng.randrange(30, 90))]
+    rows += [(None, None, "user", "the same")] * 50
     rows += [(None, 1, "user", None), (None, None, "user", "x"), (9, 5, "user", "same"), (9, 5, "user", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    cost = lambda: {r.conv_id: round(r.c, 6) for r in chat.repaired(df).groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()}
-    whole = cost()
-    monkeypatch.setattr(chat, "BLOCK", 7)
-    assert cost() == whole
+    cost = lambda n: {r.conv_id: round(r.c, 6) for r in chat.repaired(df, n).groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()}
+    by = {}
+    for c, t, r, _ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0)):
+        by.setdefault(c, []).append(chat.known(r))
+    want = {c: round(best_cost(roles), 6) for c, roles in by.items()}
+    assert cost(7) == cost(1) == cost(1024) == want
     text = {}
-    for r in chat.repaired(df).orderBy("block", "seq").collect():
+    for r in chat.repaired(df, 7).orderBy("block", "seq").collect():
         text[r.conv_id] = text.get(r.conv_id, "") + r.rendered
     assert all(map(legal, text.values())) and len(text) == 6
     assert chat.repaired(df.limit(0)).count() == 0
