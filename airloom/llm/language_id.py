@@ -6,11 +6,11 @@ codeword by a logistic loss, bits weighted by how far apart they hold the langua
 score is the winner's share of ``exp(-loss)``; a text is ambiguous if the runner-up's share comes close.
 
 Learnt from at most about ``TRAIN_ROWS`` labelled documents (taken by hash), each with equal weight. Texts without a
-letter, null texts and any text when there is nothing to learn from give ``und`` with score 0. Rows are judged one by one.
+letter, null texts and any text when there is nothing to learn from give ``und`` with score 0; very long texts are read whole. Of equal
+losses the first language by name wins. Rows are judged one by one, so repeated rows don't matter; other columns are not read.
 """
 
 import re
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -45,16 +45,18 @@ def profile(text):
 
 
 def codewords(n):
-    """A matrix of -1 and 1, languages by bits: all two-way splits of few languages, else random ones of good distance."""
+    """A matrix of -1 and 1, languages by bits: of some random ones without a constant bit, the one of greatest least distance."""
     if n == 1:
         return np.ones((1, 1))
-    if n <= 6:
-        splits = [s for k in range(1, n) for s in combinations(range(n), k) if 0 in s]
-        return np.array([[1.0 if i in s else -1.0 for s in splits] for i in range(n)])
     width = int(np.ceil(12 * np.log2(n)))
-    tries = (np.where(np.random.default_rng(seed).random((n, width)) < 0.5, -1.0, 1.0) for seed in range(64))
-    good = [m for m in tries if (np.abs(m.sum(axis=0)) < n).all()]
-    return max(good, key=lambda m: (width - (m @ m.T)[np.triu_indices(n, 1)]).min())
+    best, most = None, -1
+    for seed in range(64):
+        m = np.where(np.random.default_rng(seed).random((n, 4 * width)) < 0.5, -1.0, 1.0)
+        m = m[:, np.abs(m.sum(axis=0)) < n][:, :width]
+        least = (m.shape[1] - (m @ m.T)[np.triu_indices(n, 1)]).min()
+        if least > most:
+            best, most = m, least
+    return best
 
 
 class Decoder:
@@ -93,7 +95,7 @@ def fitted(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Decoder:
     rows = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     n = max(1, rows.count())
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) < train_rows)
-    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("total", T.DoubleType())])
 
     def sums(batches):
         total = {}
@@ -101,15 +103,20 @@ def fitted(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Decoder:
             for text, lang in zip(batch["text"], batch["lang"]):
                 p = profile(text)
                 if p is not None:
-                    old = total.get(lang, (0, 0.0))
-                    total[lang] = old[0] + 1, old[1] + p
-        yield pd.DataFrame([(lang, m, s) for lang, (m, s) in total.items()], columns=kind.names)
-
-    def merged(pdf):
-        return pd.DataFrame([(pdf["lang"].iloc[0], int(pdf["n"].sum()), np.sum(list(pdf["sums"]), axis=0))], columns=kind.names)
-
-    found = sample.mapInPandas(sums, kind).groupBy("lang").applyInPandas(merged, kind).orderBy("lang").collect()  # a row for each language
-    return Decoder([r.lang for r in found], np.array([np.array(r.sums) / r.n for r in found]))
+                    n, own = total.get(lang, (0, 0.0))
+                    total[lang] = n + 1, own + p
+        for lang, (n, own) in total.items():
+            at = np.flatnonzero(own)
+            yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1).astype(np.int32), "total": np.append(own[at], n)})
+
+    found = sample.mapInPandas(sums, kind).groupBy("lang", "bucket").agg(F.sum("total").alias("total")).toPandas()  # a row for each language and bucket; -1 counts texts
+    languages = sorted(found["lang"].unique())
+    means = np.zeros((len(languages), 1 << BITS))
+    for k, lang in enumerate(languages):
+        own = found[found["lang"] == lang]
+        inside = own["bucket"].to_numpy() >= 0
+        means[k, own["bucket"].to_numpy()[inside]] = own["total"].to_numpy()[inside] / own["total"].to_numpy()[~inside][0]
+    return Decoder(languages, means)
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

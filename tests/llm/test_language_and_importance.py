@@ -16,6 +16,22 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_decoding_matches_brute_force():
+    rng = np.random.default_rng(5)
+    means = rng.random((5, 1 << language_id.BITS)) ** 8
+    means /= means.sum(axis=1, keepdims=True)
+    decoder = language_id.Decoder(list("abcde"), means)
+    profiles = 0.7 * means[rng.integers(0, 5, 40)] + 0.3 * means[rng.integers(0, 5, 40)]
+    best, score, unsure = decoder.predict(profiles)
+    for p, b, s, u in zip(profiles, best, score, unsure):
+        loss = []
+        for word in decoder.code:
+            margins = [((p * w).sum() - mid) / half for w, mid, half in zip(decoder.w, decoder.middle, decoder.half)]
+            loss.append(sum(k * np.log(1 + np.exp(-3 * m * bit)) for k, m, bit in zip(decoder.weight, margins, word)))
+        share = np.exp(-3 * np.array(loss)) / np.exp(-3 * np.array(loss)).sum()
+        assert b == np.argmin(loss) and abs(s - share.max()) < 1e-9 and u == (sorted(share)[-2] > 0.5 * share.max())
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 6, 9, 40):
         code = language_id.codewords(n)
