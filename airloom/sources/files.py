@@ -45,16 +45,27 @@ def pruned(spark: SparkSession, folder: str, first: str, last: str, hours: float
     return [r.path for r in found.filter(ok).select("path").orderBy("path").collect()]  # file names only
 
 
-def long_observations(spark: SparkSession, paths, indices=(0, 1, 2, 3, 4, 5), scale: float = 1.0) -> DataFrame:
-    """``;``-separated rows of lat, lon, id, time, variable and value at the given indices; rows that don't parse are left out."""
-    part = lambda k: F.trim(F.element_at(F.col("cells"), k + 1))
-    rows = spark.read.text(paths).select(F.split("value", ";").alias("cells"), F.col("_metadata.file_path").alias("source_file"))
-    rows = rows.filter(F.size("cells") > max(indices))
+def checked_observations(spark: SparkSession, paths, indices=(0, 1, 2, 3, 4, 5), scale: float = 1.0) -> DataFrame:
+    """``;``-separated rows of lat, lon, id, time, variable and value at the given indices, all of them: ``reason`` says why a row
+    can't be used (``columns``, ``time``, ``place`` or ``value``) and is null if it can; ``line`` is what was read."""
+    part = lambda k: F.trim(F.get("cells", k))
+    rows = spark.read.text(paths).select(F.col("value").alias("line"), F.split("value", ";").alias("cells"), F.col("_metadata.file_path").alias("source_file"))
     lat, lon, sid, ts, var, value = map(part, indices)
     out = rows.select(
-        var.alias("var"), text.clean_id(sid).alias("source_id"), lat.try_cast("double").alias("lat"), lon.try_cast("double").alias("lon"), text.parsed_time(ts).cast("timestamp_ntz").alias("ts"), (value.try_cast("double") * scale).alias("value"), "source_file"
+        var.alias("var"), text.clean_id(sid).alias("source_id"), lat.try_cast("double").alias("lat"), lon.try_cast("double").alias("lon"), text.parsed_time(ts).cast("timestamp_ntz").alias("ts"), (value.try_cast("double") * scale).alias("value"), "source_file", "line", (F.size("cells") > max(indices)).alias("_whole")
     )
-    return out.filter("ts is not null and value is not null and lat is not null and lon is not null")
+    reason = F.when(~F.col("_whole"), "columns").when(F.col("ts").isNull(), "time").when(F.col("lat").isNull() | F.col("lon").isNull(), "place").when(F.col("value").isNull(), "value")
+    return out.withColumn("reason", reason).drop("_whole")
+
+
+def long_observations(spark: SparkSession, paths, indices=(0, 1, 2, 3, 4, 5), scale: float = 1.0) -> DataFrame:
+    """The rows of ``checked_observations`` that can be used."""
+    return checked_observations(spark, paths, indices, scale).filter("reason is null").drop("reason", "line")
+
+
+def rejected(checked: DataFrame) -> DataFrame:
+    """Counts of unusable rows by file and reason, for the log of a scan."""
+    return checked.filter("reason is not null").groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("example"))
 
 
 def wide_observations(spark: SparkSession, paths, id_column: str, time_column: str, variables: list) -> DataFrame:
@@ -66,11 +77,12 @@ def wide_observations(spark: SparkSession, paths, id_column: str, time_column: s
 
 
 def open_data(spark: SparkSession, paths) -> DataFrame:
-    """Simple features of an open-data XML feed: one row a measurement; NaN left out, ids made from coordinates."""
-    rows = spark.read.format("xml").option("rowTag", "BsWfsElement").load(paths)
+    """Simple features of an open-data XML feed: one row a measurement; NaN and what doesn't parse left out, ids made from coordinates."""
+    rows = spark.read.format("xml").option("rowTag", "BsWfsElement").schema("Location string, Time string, ParameterName string, ParameterValue string").load(paths)
     pos = F.split(F.trim("Location"), r"\s+")
-    out = rows.select(F.col("ParameterName").alias("var"), pos[0].cast("double").alias("lat"), pos[1].cast("double").alias("lon"), F.col("Time").cast("timestamp_ntz").alias("ts"), F.col("ParameterValue").cast("double").alias("value"))
-    return out.filter(~F.isnan("value") & F.col("value").isNotNull()).withColumn("source_id", text.coordinate_id(F.col("lat"), F.col("lon")))
+    number = lambda x: x.try_cast("double")
+    out = rows.select(F.col("ParameterName").alias("var"), number(F.get(pos, 0)).alias("lat"), number(F.get(pos, 1)).alias("lon"), text.parsed_time(F.regexp_replace("Time", "Z$", "")).cast("timestamp_ntz").alias("ts"), number(F.trim("ParameterValue")).alias("value"))
+    return out.filter(~F.isnan("value")).dropna(subset=["value", "lat", "lon", "ts"]).withColumn("source_id", text.coordinate_id(F.col("lat"), F.col("lon")))
 
 
 def stations(spark: SparkSession, paths) -> DataFrame:
@@ -86,9 +98,36 @@ def stations(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def configuration(spark: SparkSession, paths) -> DataFrame:
-    """A table with a header; the row's place gives its number (variables and categories count from 0)."""
-    return spark.read.option("sep", ";").option("header", "true").csv(paths)
+def configuration(spark: SparkSession, path: str, numbers=()) -> DataFrame:
+    """A small table with a header, with ``row``, each row's number from 0 (that of a variable or category), and the ``numbers`` as doubles."""
+    rows = spark.read.option("sep", ";").option("header", "true").option("wholetext", "false").csv(path)
+    return rows.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in rows.columns])
+
+
+def emission_rows(spark: SparkSession, folder: str, first: str, last: str, box) -> DataFrame:
+    """Cells of the emission inventories of a folder that overlap a span of days and a box (latmin, latmax, lonmin, lonmax).
+
+    An inventory's name is ``TYPE_id_category_height m_tmin_tmax_latmin_latmax_lonmin_lonmax.ext``, its lines ``h;w;pollutant;rate``; it may be a
+    file or a folder of parts. Names alone decide what is read: the filters on them prune the files.
+    """
+    kind = "h long, w long, pollutant string, rate double"
+    rows = spark.read.option("sep", ";").option("recursiveFileLookup", "true").schema(kind).csv(folder)
+    tags = F.split(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[a-z]+(?:/part-[^/]*)?$", 1), "_")
+    number = lambda k: F.get(tags, k).try_cast("double")
+    inside = (F.get(tags, 4) <= last) & (F.get(tags, 5) >= first) & (number(6) <= box[1]) & (number(7) >= box[0]) & (number(8) <= box[3]) & (number(9) >= box[2])
+    named = rows.select("*", F.get(tags, 0).alias("type"), F.get(tags, 1).alias("emitter"), F.get(tags, 2).try_cast("long").alias("cat"), F.regexp_replace(F.get(tags, 3), "m$", "").try_cast("double").alias("height_m"), inside.alias("_inside"))
+    return named.filter("_inside").drop("_inside").dropna(subset=["h", "w", "rate"])
+
+
+def grid_points(headers: DataFrame, cells: DataFrame, box) -> DataFrame:
+    """Gridded fields as points: ``headers(grid_id, var, ts, latmin, latmax, lonmin, lonmax, n_rows, n_columns)`` that meet the box, joined with
+    ``cells(grid_id, h, w, value)``; row 0 is the north edge, values stand for cell centres. Missing values are left out."""
+    near = headers.filter((F.col("latmin") <= box[1]) & (F.col("latmax") >= box[0]) & (F.col("lonmin") <= box[3]) & (F.col("lonmax") >= box[2]))
+    rows = cells.filter("value is not null and not isnan(value)").join(near, "grid_id")
+    lat = F.col("latmax") - (F.col("h") + 0.5) * (F.col("latmax") - F.col("latmin")) / F.col("n_rows")
+    lon = F.col("lonmin") + (F.col("w") + 0.5) * (F.col("lonmax") - F.col("lonmin")) / F.col("n_columns")
+    points = rows.select("grid_id", "var", "ts", "h", "w", lat.alias("lat"), lon.alias("lon"), "value")
+    return points.filter(F.col("lat").between(box[0], box[1]) & F.col("lon").between(box[2], box[3]))
 
 
 def maintenance(spark: SparkSession, paths, seen: DataFrame = None) -> DataFrame:
