@@ -114,7 +114,8 @@ def line_cells(rows: DataFrame) -> DataFrame:
     """``rows(h0, w0, h1, w1, ...)`` once for each cell of the straight line between two cells, with ``h``, ``w`` and their number ``n``."""
     n = F.greatest(F.abs(F.col("h1") - F.col("h0")), F.abs(F.col("w1") - F.col("w0"))) + 1
     steps = rows.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = lambda a, b: F.col(a) + F.floor((2 * F.col("k") * (F.col(b) - F.col(a)) + F.col("n")) / (2 * F.col("n")))
+    m = F.greatest(F.lit(1).cast("long"), F.col("n") - 1)
+    at = lambda a, b: F.col(a) + F.floor((2 * F.col("k") * (F.col(b) - F.col(a)) + m) / (2 * m))
     return steps.withColumns({"h": at("h0", "h1"), "w": at("w0", "w1")}).drop("k")
 
 

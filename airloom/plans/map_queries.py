@@ -22,7 +22,7 @@ c, lit = F.col, F.lit
 r = lambda x, n=4: F.round(x, n)
 M = "6371000.0 * 2 * pi() / 360"
 #: The cells of a straight line from (h0, w0) to (h1, w1), by steps along its longer side.
-LINE = "steps AS (SELECT *, greatest(abs(h1 - h0), abs(w1 - w0)) + 1 AS n FROM l), each AS (SELECT *, unnest(range(0, n)) AS k FROM steps), line AS (SELECT * EXCLUDE (h0, h1, w0, w1), h0 + CAST(floor((2 * k * (h1 - h0) + n) / (2.0 * n)) AS BIGINT) AS h, w0 + CAST(floor((2 * k * (w1 - w0) + n) / (2.0 * n)) AS BIGINT) AS w FROM each)"
+LINE = "steps AS (SELECT *, greatest(abs(h1 - h0), abs(w1 - w0)) + 1 AS n FROM l), each AS (SELECT *, unnest(range(0, n)) AS k, greatest(1, n - 1) AS m FROM steps), line AS (SELECT * EXCLUDE (h0, h1, w0, w1), h0 + CAST(floor((2 * k * (h1 - h0) + m) / (2.0 * m)) AS BIGINT) AS h, w0 + CAST(floor((2 * k * (w1 - w0) + m) / (2.0 * m)) AS BIGINT) AS w FROM each)"
 #: A test polygon (lat, lon), closed.
 POLYGON = [(60.05, 24.05), (60.35, 24.1), (60.38, 24.55), (60.2, 24.7), (60.07, 24.4), (60.05, 24.05)]
 CROSSINGS = " + ".join(

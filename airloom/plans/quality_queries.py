@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airloom.operators import quality as q
 from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations, table
+from airloom.sources.store import written
 
 from .base import TIE, query
 
@@ -178,7 +179,7 @@ def a5(spark, sf):
 
 @query("A6_covariance_fallback", f"WITH {HOURLY}, {COVAR}, spread AS (SELECT var, source_id, var_pop(value) AS variance FROM hourly GROUP BY ALL) SELECT s.var, s.source_id, CAST(h.hour AS BIGINT) AS hour, round(coalesce(c.covar, o.overall, s.variance), 3) AS covar FROM spread s CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN covar c ON c.var = s.var AND c.source_id = s.source_id AND c.hour = h.hour LEFT JOIN overall o ON o.var = s.var AND o.source_id = s.source_id")
 def a6(spark, sf):
-    s = hourly(spark, sf)
+    s = written(hourly(spark, sf))
     base = s.groupBy(*q.SERIES).agg(F.var_pop("value").alias("variance")).withColumn("hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
     found = base.join(q.hour_covariance(s), [*q.SERIES, "hour"], "left").join(q.overall_covariance(s), q.SERIES, "left")
     return found.select(*q.SERIES, "hour", F.round(F.coalesce("covar", "overall", "variance"), 3).alias("covar"))

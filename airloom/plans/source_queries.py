@@ -8,7 +8,9 @@ from airloom.sources import files
 from airloom.sources.adapters import EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations
 from airloom.sources.store import scratch_folder
 
+from . import extensions
 from .base import query
+from .quality_queries import HOURLY, hourly
 
 c, lit = F.col, F.lit
 r = lambda x, n=4: F.round(x, n)
@@ -37,6 +39,33 @@ def s6(spark, sf):
     return rows.select("var", "source_id", r(c("lat")).alias("lat"), r(c("lon")).alias("lon"), sec.alias("sec"), r(c("value")).alias("value"))
 
 
+@query("S1_feed_registry", f"WITH {OBS} SELECT 'text' AS feed, var, count(*) AS n, round(sum(value), 2) AS total FROM obs WHERE event_id % 10 NOT IN (3, 5, 7) GROUP BY var UNION ALL SELECT 'doubled', var, count(*), round(sum(2 * value), 2) FROM obs WHERE event_id % 10 NOT IN (3, 5, 7) GROUP BY var")
+def s1(spark, sf):
+    """A built-in feed and one that a user adds, as one table of observations."""
+    path = observation_lines(spark, sf)
+    extensions.FEEDS["doubled"] = lambda spark, paths: files.long_observations(spark, paths, scale=2.0)
+    rows = extensions.ingested(spark, [("text", (path,)), ("doubled", (path,))])
+    return rows.groupBy("feed", "var").agg(F.count(lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+@query("Z3_emitters_by_tag", f"WITH {EMISSIONS}, e AS (SELECT cat, h, w, pollutant, sum(rate) AS rate FROM emissions WHERE cat <= 2 GROUP BY ALL), lines AS (SELECT cat, h + k AS h, w, pollutant, rate / 5 AS rate FROM e, (SELECT unnest(range(0, 5)) AS k) WHERE cat = 2) SELECT cat, h, w, round(sum(rate) + 1e-9, 4) AS rate FROM (SELECT * FROM e WHERE cat = 1 UNION ALL SELECT * FROM lines) GROUP BY cat, h, w")
+def z3(spark, sf):
+    """Inventories of two types, each made into cells by the emitter of its tag."""
+    cells = emissions(spark, sf).filter("cat <= 2").groupBy("cat", "h", "w", "pollutant").agg(F.sum("rate").alias("rate"))
+    path = folder(spark, "tagged")
+    for k, tag in ((1, "GRID"), (2, "LINE")):
+        cells.filter(c("cat") == k).select("h", "w", "pollutant", "rate").write.option("sep", ";").csv(f"{path}/{tag}_E{k}_{k}_10m_2024-01-01_2024-01-31_60.0_60.4_24.0_25.0.csv")
+    rows = files.emission_rows(spark, path, "2024-01-01", "2024-01-02", (60.0, 60.4, 24.0, 25.0))
+    return extensions.emitted(rows).groupBy("cat", "h", "w").agg(r(F.sum("rate") + 1e-9).alias("rate"))
+
+
+@query("Z5_background_strategies", f"WITH {HOURLY}, b AS (SELECT var, sys_hour, min(value) AS v FROM hourly GROUP BY ALL) SELECT 'least' AS strategy, var, round(avg(v), 4) AS background FROM b GROUP BY var UNION ALL SELECT 'half', var, round(avg(0.5 * v), 4) FROM b GROUP BY var")
+def z5(spark, sf):
+    s = hourly(spark, sf)
+    parts = [f(s).groupBy("var").agg(r(F.avg("background")).alias("background")).select(lit(name).alias("strategy"), "var", "background") for name, f in extensions.BACKGROUNDS.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("S26_rejected_rows", "SELECT CASE event_id % 10 WHEN 3 THEN 'value' WHEN 5 THEN 'time' ELSE 'columns' END AS reason, count(*) AS n FROM events WHERE event_id % 10 IN (3, 5, 7) GROUP BY ALL")
 def s26(spark, sf):
     checked = files.checked_observations(spark, observation_lines(spark, sf))
