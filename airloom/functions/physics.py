@@ -77,10 +77,17 @@ def us_concentration(pollutant: str, index: Column, threshold: float = 150.0, to
 
 
 def us_index(pollutant: str, value: Column, threshold: float = 150.0, top: float = 500.0, steps: int = 5000) -> Column:
-    """The index at which the cubic reaches a concentration: 24 bisections of an array-free column expression on a grid of ``steps``."""
-    grid = F.sequence(F.lit(0), F.lit(steps - 1))
-    at = F.filter(grid, lambda i: us_concentration(pollutant, i * (top / steps), threshold, top) <= value)
-    return F.coalesce(F.array_max(at) * (top / steps), F.lit(0.0))
+    """The index at which the rising cubic reaches a concentration, on a grid of ``steps``, by bisection."""
+    ends = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def half(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2)
+        below = us_concentration(pollutant, mid * (top / steps), threshold, top) <= value
+        return ends(F.when(below, mid).otherwise(s["lo"]), F.when(below, s["hi"]).otherwise(mid))
+
+    start = ends(F.lit(0).cast("long"), F.lit(steps).cast("long"))
+    rounds = F.sequence(F.lit(1), F.lit(steps.bit_length()))
+    return F.aggregate(rounds, start, half, lambda s: s["lo"] * (top / steps))
 
 
 def stability_from_length(inv_mo: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from airloom.functions import geo, physics, text
+from airloom.functions import color, geo, physics, text
 from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, seconds, stations, table
 
 from .base import query
@@ -311,9 +311,10 @@ def m27(spark, sf):
     return winds(spark, sf).select("event_id", r(physics.transport_wind(c("speed"), c("own"), c("heading") * 2), 5).alias("speed"))
 
 
-@query("M31_resolution_class", f"WITH {CELLS} SELECT p_partkey, CASE WHEN size > 12 THEN 2 WHEN size > 6 THEN 1 ELSE 0 END AS cls FROM cells")
-def m31(spark, sf):
-    return grid_cells(spark, sf).select("p_partkey", F.when(c("size") > 12, 2).when(c("size") > 6, 1).otherwise(0).alias("cls"))
+@query("G18_colours", "WITH k AS (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS rgb FROM part), c AS (SELECT p_partkey, rgb // 65536 % 256 AS r, rgb // 256 % 256 AS g, rgb % 256 AS b FROM k), m AS (SELECT *, greatest(r, g, b) AS t, greatest(r, g, b) - least(r, g, b) AS d FROM c) SELECT p_partkey, round(CASE WHEN d = 0 THEN 0 WHEN r = t THEN ((g - b) / d * 60 + 360) % 360 WHEN g = t THEN 120 + (b - r) / d * 60 ELSE 240 + (r - g) / d * 60 END, 4) AS hue, round(CASE WHEN t = 0 THEN 0 ELSE d / t END, 6) AS saturation, round(t / 255, 6) AS brightness FROM m")
+def g18(spark, sf):
+    h, s, b = color.hsb(*color.channels((c("p_partkey") * 7919) % 16777216))
+    return table(spark, sf, "part").select("p_partkey", r(h).alias("hue"), r(s, 6).alias("saturation"), r(b, 6).alias("brightness"))
 
 
 @query("S24_unit_conversion", f"WITH {OBS} SELECT event_id, round(value * CASE maturity WHEN 0 THEN 1.0 WHEN 1 THEN 1000.0 ELSE 46.0055 END, 3) AS ug FROM obs")

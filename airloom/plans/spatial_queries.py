@@ -189,9 +189,31 @@ def x8(spark, sf):
     return s.filled_cells(g.filter("size > 10").select("h", "w", "value"), g.select("h", "w"), 3).withColumn("value", r(c("value"), 3))
 
 
-@query("X9_square_cells", f"WITH {CELLS} SELECT h, w // 2 AS w, round(avg(value), 3) AS value FROM cells GROUP BY ALL")
+@query("X9_square_cells", f"WITH {CELLS}, n AS (SELECT unnest(range(0, 30)) AS sw) SELECT c.h, n.sw AS w, round(c.value, 3) AS value FROM n JOIN cells c ON c.w = CAST(floor((n.sw + 0.5) * 100 / 60) AS BIGINT)")
 def x9(spark, sf):
-    return grid_cells(spark, sf).groupBy("h", F.floor(c("w") / 2).alias("w")).agg(r(F.avg("value"), 3).alias("value"))
+    """A grid of cells 100 m high and 60 m wide as square ones of 100 m: each takes the cell at its centre, what is left at the edge is cropped."""
+    square = spark.range(30).select(c("id").alias("sw"), F.floor((c("id") + 0.5) * 100 / 60).alias("w"))
+    return grid_cells(spark, sf).join(F.broadcast(square), "w").select("h", c("sw").alias("w"), r(c("value"), 3).alias("value"))  # 30 rows
+
+
+@query("X16_station_shake", f"WITH {CELLS}, {STATIONS}, free AS (SELECT h, w FROM cells WHERE size <= 35), open AS (SELECT a.h, a.w FROM free a JOIN free b ON b.h BETWEEN a.h - 2 AND a.h + 2 AND b.w BETWEEN a.w - 2 AND a.w + 2 AND (a.h <> b.h OR a.w <> b.w) GROUP BY a.h, a.w HAVING count(*) >= 8), st AS (SELECT station, CAST(floor((lat - 60) * 10) AS BIGINT) AS h, CAST(floor((lon - 24) * 50) AS BIGINT) AS w FROM stations), k AS (SELECT st.station, o.h, o.w, row_number() OVER (PARTITION BY st.station ORDER BY power(o.h - st.h, 2) + power(o.w - st.w, 2), o.h, o.w) AS k FROM st JOIN open o ON o.h BETWEEN st.h - 3 AND st.h + 3 AND o.w BETWEEN st.w - 3 AND st.w + 3) SELECT station, h, w FROM k WHERE k = 1")
+def x16(spark, sf):
+    """Stations that stand in a building move to the nearest cell without one that has eight free cells around; those without such a cell within three are left out."""
+    free = grid_cells(spark, sf).filter("size <= 35").select("h", "w", lit(1.0).alias("value"))
+    around = s.neighbours(free, 2).filter("dh <> 0 or dw <> 0").groupBy("h", "w").agg(F.count(lit(1)).alias("n")).filter("n >= 8")
+    open_ = around.join(free.select("h", "w"), ["h", "w"], "left_semi").select("h", "w")
+    st = stations(spark, sf).select("station", F.floor((c("lat") - 60) * 10).alias("sh"), F.floor((c("lon") - 24) * 50).alias("sw"))
+    asked = st.select("*", F.explode(s.around(3)).alias("dh")).select("*", F.explode(s.around(3)).alias("dw")).withColumns({"h": c("sh") + c("dh"), "w": c("sw") + c("dw")})
+    best = asked.join(open_, ["h", "w"]).groupBy("station").agg(F.min(F.struct((c("dh") * c("dh") + c("dw") * c("dw")).alias("d2"), "h", "w")).alias("b"))
+    return best.select("station", "b.h", "b.w")
+
+
+@query("M31_resolution_class", f"WITH {CELLS}, {EMISSIONS}, e AS (SELECT DISTINCT h, w FROM emissions WHERE cat = 7 AND h < 8 AND w < 8), d AS (SELECT a.h, a.w, min(sqrt(power(a.h - e.h, 2) + power(a.w - e.w, 2))) AS dist FROM cells a LEFT JOIN e ON e.h BETWEEN a.h - 12 AND a.h + 12 AND e.w BETWEEN a.w - 12 AND a.w + 12 GROUP BY a.h, a.w) SELECT h, w, CASE WHEN dist <= 6 THEN 0 WHEN dist <= 12 THEN 1 ELSE 2 END AS cls FROM d")
+def m31(spark, sf):
+    """0 near emissions, 1 beyond 6 cells, 2 beyond 12."""
+    e = emissions(spark, sf).filter("cat = 7 and h < 8 and w < 8").select("h", "w").distinct().withColumn("value", lit(1.0))
+    near = s.neighbours(e, 12).groupBy("h", "w").agg(F.min(F.sqrt((c("dh") * c("dh") + c("dw") * c("dw")).cast("double"))).alias("dist"))
+    return grid_cells(spark, sf).select("h", "w").join(near, ["h", "w"], "left").select("h", "w", F.when(c("dist") <= 6, 0).when(c("dist") <= 12, 1).otherwise(2).alias("cls"))
 
 
 @query("X10_puff_layer_smooth", f"WITH {CELLS} " + SMOOTH.format(add="0.1", r=2))
@@ -204,10 +226,20 @@ def x14(spark, sf):
     return s.smoothed_cells(grid_cells(spark, sf).select("h", "w", "value"), 1, 1.0).withColumn("value", r(c("value"), 3))
 
 
-@query("X12_met_synthesis", f"WITH {OBS}, {STATIONS}, g AS (SELECT var, sys_hour, arg_min(value, maturity * 10000000000 + event_id) AS best, avg(value) AS mean FROM obs GROUP BY ALL) SELECT sys_hour, round(max(CASE WHEN var = 'view' THEN best END), 4) AS temp, round(max(CASE WHEN var = 'click' THEN mean END), 4) AS rain FROM g GROUP BY sys_hour")
+MET = f"""{OBS}, g AS (SELECT var, sys_hour, arg_min(value, maturity * 10000000000 + event_id) AS best, avg(value) AS mean FROM obs GROUP BY ALL),
+m AS (SELECT sys_hour, max(CASE WHEN var = 'view' THEN best END) AS temp, max(CASE WHEN var = 'click' THEN mean END) AS rain, max(CASE WHEN var = 'purchase' THEN mean END) + 100 AS ablh, max(CASE WHEN var = 'signup' THEN best END) / 50 - 2 AS n, max(CASE WHEN var = 'error' THEN best END) / 50 - 2 AS e FROM g GROUP BY sys_hour),
+w AS (SELECT *, greatest(0.1, sqrt(n * n + e * e)) AS speed, (degrees(atan2(-e, -n)) + 360) % 360 AS dir, greatest(0, 700 * sin((sys_hour % 24 - 6.1) * pi() / 12)) * least(1, 0.2 + 2 / (rain / 100 + 1)) AS sw FROM m)"""
+
+
+@query("X12_met_synthesis", f"WITH {MET} SELECT sys_hour, round(temp, 4) AS temp, round(rain, 4) AS rain, round(ablh, 4) AS ablh, round(speed, 4) AS speed, round(dir, 3) AS dir, round(sw, 4) AS shortwave, CASE WHEN sw <= 0 THEN 3 WHEN sw < 100 THEN CASE WHEN speed <= 3 THEN 2 ELSE 3 END WHEN sw < 250 THEN CASE WHEN speed <= 3 THEN 1 ELSE 2 END ELSE CASE WHEN speed <= 3 THEN 0 ELSE 1 END END AS stability FROM w")
 def x12(spark, sf):
+    """Weather of an hour: temperature and wind of the best source, rain and mixing height of all; then wind, radiation and stability from these."""
     g = observations(spark, sf).groupBy("var", "sys_hour").agg(F.min_by("value", c("maturity") * 10000000000 + c("event_id")).alias("best"), F.avg("value").alias("mean"))
-    return g.groupBy("sys_hour").agg(r(F.max(F.when(c("var") == "view", c("best")))).alias("temp"), r(F.max(F.when(c("var") == "click", c("mean")))).alias("rain"))
+    of = lambda var, what: F.max(F.when(c("var") == var, c(what)))
+    m = g.groupBy("sys_hour").agg(of("view", "best").alias("temp"), of("click", "mean").alias("rain"), (of("purchase", "mean") + 100).alias("ablh"), (of("signup", "best") / 50 - 2).alias("n"), (of("error", "best") / 50 - 2).alias("e"))
+    solar = 700 * F.sin((c("sys_hour") % 24 - 6.1) * lit(3.141592653589793) / 12)
+    w = m.withColumns({"speed": geo.wind_speed(c("n"), c("e")), "dir": geo.wind_direction(c("n"), c("e")), "sw": physics.shortwave(solar, c("rain") / 100)})
+    return w.select("sys_hour", r(c("temp")).alias("temp"), r(c("rain")).alias("rain"), r(c("ablh")).alias("ablh"), r(c("speed")).alias("speed"), r(c("dir"), 3).alias("dir"), r(c("sw")).alias("shortwave"), physics.stability_from_radiation(c("sw"), c("speed")).alias("stability"))
 
 
 @query("X13_met_grid_for_span", f"WITH {OBS} SELECT sec // 1200 * 1200 AS t_key, sid AS h, CAST(event_id % 4 AS BIGINT) AS w, round(avg(value), 4) AS value, count(*) AS n FROM obs GROUP BY ALL")
