@@ -114,13 +114,18 @@ def x22(spark, sf):
     return both.select("h", "w", r(1e6 * (c("v") + F.coalesce("f", lit(0.0))), 3).alias("total"))
 
 
-@query("X29_background_markers", f"WITH {OBS}, m AS (SELECT sid // 2 AS b, event_id, value, sec, row_number() OVER (PARTITION BY sid // 2 ORDER BY sec DESC, event_id DESC) AS k FROM obs), n AS (SELECT b, value, greatest(0, ((SELECT max(sec) FROM obs) - sec) / 3600.0 - 5) AS late FROM m WHERE k = 1) SELECT x, round(sum(value / power(greatest(abs(x - b) + late, 2), 2)) / sum(1 / power(greatest(abs(x - b) + late, 2), 2)), 4) AS background FROM n CROSS JOIN (SELECT unnest(range(6)) AS x) GROUP BY x")
+@query("X29_background_markers", f"WITH {OBS}, m AS (SELECT sid // 2 AS bh, (sys_hour % 7) // 2 AS bw, value, sec, row_number() OVER (PARTITION BY sid // 2, (sys_hour % 7) // 2 ORDER BY sec DESC, event_id DESC) AS k FROM obs), n AS (SELECT bh, bw, value, greatest(0, ((SELECT max(sec) FROM obs) - sec) / 3600.0 - 5) AS late FROM m WHERE k = 1), d AS (SELECT value, h, w, greatest(2, sqrt(power(h - 2 * bh - 0.5, 2) + power(w - 2 * bw - 0.5, 2)) + late) AS d FROM n, (SELECT unnest(range(0, 6)) AS h), (SELECT unnest(range(0, 7)) AS w)) SELECT h, w, round(sum(value / power(d, 2)) / sum(1 / power(d, 2)), 4) AS background FROM d GROUP BY h, w")
 def x29(spark, sf):
-    o = observations(spark, sf)
-    newest = o.groupBy(F.floor(c("sid") / 2).alias("b")).agg(F.max(F.struct("sec", "event_id", "value")).alias("m")).withColumn("one", lit(1))
-    end = o.agg(F.max("sec").alias("end")).withColumn("one", lit(1))
-    n = newest.join(end, "one").select("b", c("m.value").alias("value"), F.greatest(lit(0.0), (c("end") - c("m.sec")) / 3600.0 - 5).alias("late"), F.explode(F.sequence(lit(0).cast("long"), lit(5).cast("long"))).alias("x"))
-    return s.weighted(n, ["x"], 1 / F.pow(F.greatest(F.abs(c("x") - c("b")) + c("late"), lit(2.0)), lit(2))).select("x", r(c("value")).alias("background"))
+    """The newest marker of each block of 2 x 2 cells, spread over the grid by inverse squared distance, 2 cells at least; a marker older than five
+    hours counts as a cell farther for each hour."""
+    o = observations(spark, sf).withColumns({"bh": F.floor(c("sid") / 2), "bw": F.floor((c("sys_hour") % 7) / 2)})
+    newest = o.groupBy("bh", "bw").agg(F.max(F.struct("sec", "event_id", "value")).alias("m"))
+    end = o.agg(F.max("sec").alias("end"))  # one row
+    cells = spark.range(42).select(F.floor(c("id") / 7).alias("h"), (c("id") % 7).alias("w"))
+    late = F.greatest(lit(0.0), (c("end") - c("m.sec")) / 3600.0 - 5)
+    n = newest.crossJoin(F.broadcast(end)).crossJoin(F.broadcast(cells))  # 12 blocks by 42 cells
+    dist = F.greatest(lit(2.0), F.sqrt(F.pow(c("h") - 2 * c("bh") - 0.5, 2) + F.pow(c("w") - 2 * c("bw") - 0.5, 2)) + late)
+    return s.weighted(n.select("h", "w", c("m.value").alias("value"), dist.alias("d")), ["h", "w"], 1 / F.pow("d", lit(2))).select("h", "w", r(c("value")).alias("background"))
 
 
 STATION_PARTS = f"st AS (SELECT DISTINCT source_id, CAST(sid * 5 + 6 AS BIGINT) AS h, CAST(sid * 6 + 5 AS BIGINT) AS w FROM obs), near_em AS (SELECT * FROM emissions SEMI JOIN (SELECT DISTINCT st.h - dh AS h, st.w - dw AS w FROM st, foot) q USING (h, w)), dense AS (SELECT h, w, cat, pollutant, height_m, sum(rate) AS rate FROM near_em GROUP BY ALL), {plume_sql('dense', 'foot', '')}, parts AS (SELECT source_id, cat, sum(conc) AS v FROM st JOIN conc USING (h, w) GROUP BY ALL)"

@@ -242,16 +242,23 @@ def x12(spark, sf):
     return w.select("sys_hour", r(c("temp")).alias("temp"), r(c("rain")).alias("rain"), r(c("ablh")).alias("ablh"), r(c("speed")).alias("speed"), r(c("dir"), 3).alias("dir"), r(c("sw")).alias("shortwave"), physics.stability_from_radiation(c("sw"), c("speed")).alias("stability"))
 
 
-@query("X13_met_grid_for_span", f"WITH {OBS} SELECT sec // 1200 * 1200 AS t_key, sid AS h, CAST(event_id % 4 AS BIGINT) AS w, round(avg(value), 4) AS value, count(*) AS n FROM obs GROUP BY ALL")
+@query("X13_met_grid_for_span", f"WITH {OBS} SELECT sec // 1200 * 1200 AS t_key, CAST(floor((lat - 60.1) / 0.02 + 1e-9) AS BIGINT) AS h, CAST(floor((lon - 24.7) / 0.04 + 1e-9) AS BIGINT) AS w, round(avg(value), 4) AS value, count(*) AS n FROM obs WHERE sys_hour BETWEEN 473400 AND 474000 GROUP BY ALL")
 def x13(spark, sf):
-    return observations(spark, sf).groupBy(t.bucket(c("sec"), 20).alias("t_key"), c("sid").alias("h"), (c("event_id") % 4).alias("w")).agg(r(F.avg("value")).alias("value"), F.count(lit(1)).alias("n"))
+    """Means by cell and time bucket over a span of 600 hours; a bucket has a third of an hour, 15 minutes at least."""
+    o = observations(spark, sf).filter(c("sys_hour").between(473400, 474000))
+    cell = {"h": F.floor((c("lat") - 60.1) / 0.02 + 1e-9), "w": F.floor((c("lon") - 24.7) / 0.04 + 1e-9)}
+    return o.groupBy(t.bucket(c("sec"), max(15, 60 // 3)).alias("t_key"), cell["h"].alias("h"), cell["w"].alias("w")).agg(r(F.avg("value")).alias("value"), F.count(lit(1)).alias("n"))
 
 
-@query("X15_regional_background", f"WITH {CELLS} SELECT a.h, a.w, round(min(b.value), 4) AS background FROM cells a JOIN cells b ON b.h = a.h AND b.w BETWEEN a.w - 3 AND a.w + 3 GROUP BY a.h, a.w")
+@query("X15_regional_background", f"WITH {CELLS}, ray AS (SELECT h, w, value, (size * 37) % 360 + 90.01 AS dir, unnest(range(-2, 3)) AS k FROM cells), z AS (SELECT h, w, value, h - CAST(round(k * cos(radians(dir))) AS BIGINT) AS oh, w + CAST(round(k * sin(radians(dir))) AS BIGINT) AS ow FROM ray) SELECT z.h, z.w, round(max(z.value), 4) AS sample, round(min(o.value), 4) AS background FROM z LEFT JOIN cells o ON o.h = oh AND o.w = ow GROUP BY z.h, z.w")
 def x15(spark, sf):
-    g = grid_cells(spark, sf).select("h", "w", "value")
-    sent = g.select("h", F.explode(F.transform(s.around(3), lambda k: c("w") + k)).alias("w"), "value")
-    return sent.groupBy("h", "w").agg(r(F.min("value")).alias("background")).join(g, ["h", "w"], "left_semi")
+    """A cell's sample of the background, and the least of the five cells across its wind."""
+    g = grid_cells(spark, sf).select("h", "w", "value", ((c("size") * 37) % 360 + 90.01).alias("dir"))
+    ray = g.select("*", F.explode(s.around(2)).alias("k"))
+    step = lambda f: F.round(c("k") * f(F.radians("dir"))).cast("long")
+    asked = ray.select("h", "w", c("value").alias("own"), (c("h") - step(F.cos)).alias("oh"), (c("w") + step(F.sin)).alias("ow"))
+    hit = asked.join(g.select(c("h").alias("oh"), c("w").alias("ow"), "value"), ["oh", "ow"], "left")
+    return hit.groupBy("h", "w").agg(r(F.max("own")).alias("sample"), r(F.min("value")).alias("background"))
 
 
 @query("X18_nearest_emission", f"WITH {EMISSIONS}, {CELLS}, e AS (SELECT DISTINCT h, w FROM emissions WHERE cat = 7) SELECT a.h, a.w, round(min(sqrt(power(a.h - e.h, 2) + power(a.w - e.w, 2))), 4) AS dist FROM cells a JOIN e ON e.h BETWEEN a.h - 4 AND a.h + 4 AND e.w BETWEEN a.w - 4 AND a.w + 4 GROUP BY a.h, a.w")
