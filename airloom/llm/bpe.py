@@ -10,7 +10,9 @@ cut is joined and encoded again, over more chunks until both ends of the joined
 tokenizer always cuts; from there on both sides' tokens agree with the tokens of the whole text.
 
 Encoding and decoding are those of the tokenizers library for vocabularies that drop white space and have no decoder
-(tokens are joined by spaces). Null and empty texts have no tokens.
+(tokens are joined by spaces). Null and empty texts have no tokens; very long texts are encoded whole. Rows are encoded one by one, so
+repeated rows and null ids don't matter (documents without an id add nothing to the shared chunks); of chunks that save equally the one
+that comes first by document and place is shared. Other columns are not read.
 """
 
 import hashlib

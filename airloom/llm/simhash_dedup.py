@@ -9,6 +9,11 @@ is taken in the first choice in which it meets, if the lower bound and then the
 
 Exact copies are one vertex, so a group of copies costs one fingerprint. Null and empty texts have the zero
 fingerprint and are linked like any other. Null ids get their group's component and never are its smallest id, unless all are null.
+Very long texts are read whole, 65,536 shingles at a time. Repeated rows get equal fingerprints and components. A bit that just half of
+the shingles have is zero. Other columns are not read.
+
+Two-bit segments are the coarsest that serve: the counts of four blocks of them carry about 24 bits, so a cell holds few fingerprints
+by chance; wider segments lose most of that, and a cell's pairs grow with the square of its fingerprints.
 """
 
 from itertools import combinations

@@ -11,7 +11,10 @@ that a task holds in many documents is sent once, so a passage that a third of t
 The numbers of buckets and groups follow the corpus' size, which bounds the memory of each.
 
 Null and empty texts have no words. Null ids count as one document after all others. Rows of equal id are one document
-for the comparison; each row's own text is cut.
+for the comparison; each row's own text is cut, so repeated rows keep the same words. Of documents that share a window the one of
+smallest id keeps it. Very long texts are cut whole; a task holds the hashes of one text at least. Other columns are not read.
+
+Between levels 32 bits of a hash and its bucket's number tell windows apart, on the last level 64 bits; the words themselves are not compared.
 """
 
 import hashlib
