@@ -8,7 +8,7 @@ from airloom.operators import quality as q
 from airloom.sources.adapters import EMISSIONS, OBS, emissions, observations, table
 from airloom.sources.store import written
 
-from .base import query
+from .base import TIE, query
 
 c, lit = F.col, F.lit
 r = lambda x, n=4: F.round(x, n)
@@ -208,12 +208,12 @@ def x54(spark, sf):
     return emissions(spark, sf).filter("cat = 3 and pollutant = 'N'").groupBy("h", "w").agg(r(F.sum("rate") * 0.25).alias("density"))
 
 
-@query("X58_flow_edits", f"WITH {EMISSIONS}, p AS (SELECT emitter, h, w, cat, dayofweek(day) AS dow, sum(rate) AS flow FROM emissions GROUP BY ALL), e AS (SELECT h, w, dow, flow * CASE cat WHEN 1 THEN 1.5 WHEN 2 THEN 0.8 ELSE 1 END * CASE WHEN dow IN (0, 6) THEN 0.7 ELSE 1 END AS flow FROM p) SELECT h, w, CAST(dow + 1 AS BIGINT) AS dow, count(*) AS pieces, round(sum(flow), 3) AS flow FROM e GROUP BY h, w, dow")
+@query("X58_flow_edits", f"WITH {EMISSIONS}, p AS (SELECT emitter, h, w, cat, dayofweek(day) AS dow, sum(rate) AS flow FROM emissions GROUP BY ALL), e AS (SELECT h, w, dow, flow * CASE cat WHEN 1 THEN 1.5 WHEN 2 THEN 0.8 ELSE 1 END * CASE WHEN dow IN (0, 6) THEN 0.7 ELSE 1 END AS flow FROM p) SELECT h, w, CAST(dow + 1 AS BIGINT) AS dow, count(*) AS pieces, round(sum(flow) + {TIE}, 3) AS flow FROM e GROUP BY h, w, dow")
 def x58(spark, sf):
     """Flows edited by vehicle class and day of the week; parallel pieces of road in a cell are stacked."""
     p = emissions(spark, sf).groupBy("emitter", "h", "w", "cat", F.dayofweek("day").cast("long").alias("dow")).agg(F.sum("rate").alias("flow"))
     amplified = c("flow") * F.when(c("cat") == 1, 1.5).when(c("cat") == 2, 0.8).otherwise(1.0) * F.when(c("dow").isin(1, 7), 0.7).otherwise(1.0)
-    return p.withColumn("flow", amplified).groupBy("h", "w", "dow").agg(F.count(lit(1)).alias("pieces"), r(F.sum("flow"), 3).alias("flow"))
+    return p.withColumn("flow", amplified).groupBy("h", "w", "dow").agg(F.count(lit(1)).alias("pieces"), r(F.sum("flow") + TIE, 3).alias("flow"))
 
 
 @query("X64_temporal_audit", f"WITH {EMISSIONS}, e AS (SELECT cat, emitter, sum(rate) AS rate, avg(share) AS share FROM emissions GROUP BY ALL), k AS (SELECT unnest(range(0, 24)) AS hour) SELECT cat, emitter, hour, round(rate * (1 + share * cos((hour - 8) * pi() / 12)) / 24, 5) AS rate FROM e CROSS JOIN k")

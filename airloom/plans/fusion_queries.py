@@ -149,14 +149,14 @@ def x42(spark, sf):
     return g.select("h", "w", r(physics.combined_index(both, "max")).alias("aqi"))
 
 
-@query("X55_prediction_at_observation", f"WITH {COMPONENTS}, e AS (SELECT *, {EXPECTED} AS expected FROM comp) SELECT a.var, a.source_id, a.sys_hour, round(a.value, 4) AS value, round(a.expected, 4) AS expected, round(a.p0, 4) AS background, round(a.p1 + a.p2 + a.p3, 4) AS plumes, round(b.expected, 4) AS day_before, round(a.expected - b.expected, 3) + 0.0 AS change FROM e a LEFT JOIN e b ON a.var = b.var AND a.source_id = b.source_id AND b.sys_hour = a.sys_hour - 24")
+@query("X55_prediction_at_observation", f"WITH {COMPONENTS}, e AS (SELECT *, {EXPECTED} AS expected FROM comp) SELECT a.var, a.source_id, a.sys_hour, round(a.value, 4) AS value, round(a.expected, 4) AS expected, round(a.p0, 4) AS background, round(a.p1 + a.p2 + a.p3, 4) AS plumes, round(b.expected, 4) AS day_before, round(a.expected - b.expected + {TIE}, 3) + 0.0 AS change FROM e a LEFT JOIN e b ON a.var = b.var AND a.source_id = b.source_id AND b.sys_hour = a.sys_hour - 24")
 def x55(spark, sf):
     """At each measurement: the model's total and parts, and its total of the day before (the test of a forecast)."""
     p = c("parts")
     s = written(expected(spark, sf))
     before = s.select("var", "source_id", (c("sys_hour") + 24).alias("sys_hour"), c("expected").alias("b"))
     own = s.join(before, ["var", "source_id", "sys_hour"], "left")
-    return own.select("var", "source_id", "sys_hour", r(c("value")).alias("value"), r(c("expected")).alias("expected"), r(p[0]).alias("background"), r(p[1] + p[2] + p[3]).alias("plumes"), r(c("b")).alias("day_before"), (r(c("expected") - c("b"), 3) + 0.0).alias("change"))
+    return own.select("var", "source_id", "sys_hour", r(c("value")).alias("value"), r(c("expected")).alias("expected"), r(p[0]).alias("background"), r(p[1] + p[2] + p[3]).alias("plumes"), r(c("b")).alias("day_before"), (r(c("expected") - c("b") + TIE, 3) + 0.0).alias("change"))
 
 
 @query("K4_observation_statistics", f"WITH {COMPONENTS} SELECT var, source_id, count(*) AS n, round(avg(value - {EXPECTED}), 4) AS bias, round(sqrt(avg(power(value - {EXPECTED}, 2))), 4) AS rmse FROM comp GROUP BY ALL")
