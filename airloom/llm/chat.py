@@ -217,29 +217,30 @@ def planned(rows: DataFrame) -> DataFrame:
 OUT = T.StructType([*[T.StructField(c, T.StringType()) for c in ("conv_id", "turn", "role")], T.StructField("block", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("new_role", T.StringType()), T.StructField("action", T.StringType()), T.StructField("cost", T.DoubleType()), T.StructField("rendered", T.StringType())])
 
 
+FIELDS = [*TEXT, "block", "seq", "entry", "leave", "final"]
+
+
 def blocks_of(batches):
-    """The rows of each block; sorted batches may cut one."""
-    held = []
+    """The columns of each block, as lists; sorted batches may cut a block, of which what has come is held."""
+    held = None
     for batch in batches:
-        starts = [0, *[int(k) for k in np.flatnonzero(np.diff(batch["block"].to_numpy())) + 1], len(batch)]
-        for lo, hi in zip(starts, starts[1:]):
-            if hi > lo:
-                part = batch.iloc[lo:hi]
-                if held and held[0]["block"].iloc[0] != part["block"].iloc[0]:
-                    yield pd.concat(held, ignore_index=True)
-                    held = []
-                held.append(part)
-    if held:
-        yield pd.concat(held, ignore_index=True)
+        columns = [batch[c].tolist() for c in FIELDS]
+        columns = columns if held is None else [h + c for h, c in zip(held, columns)]
+        edges_ = [0, *(np.flatnonzero(np.diff(columns[4])) + 1).tolist()]
+        for lo, hi in zip(edges_, edges_[1:]):
+            yield [c[lo:hi] for c in columns]
+        held = [c[edges_[-1] :] for c in columns]
+    if held and held[0]:
+        yield held
 
 
 def repair(batches):
     pack = []
-    for part in blocks_of(batches):
-        inside = not pd.isna(part["entry"].iloc[0])
-        entry, leave = (int(part["entry"].iloc[0]), int(part["leave"].iloc[0])) if inside else (NONE, None)
-        done = rows_of(list(map(known, part["role"])), list(part["text"]), entry, leave, not inside or bool(part["final"].iloc[0]))
-        pack += [(*own, *x) for own, x in zip(part[["conv_id", "turn", "role", "block", "seq"]].itertuples(index=False), done)]
+    for conv, turns, roles, texts, block, seq, entry, leave, final in blocks_of(batches):
+        inside = not pd.isna(entry[0])
+        ends = (int(entry[0]), int(leave[0])) if inside else (NONE, None)
+        done = rows_of(list(map(known, roles)), texts, *ends, not inside or bool(final[0]))
+        pack += [(*own, *x) for own, x in zip(zip(conv, turns, roles, block, seq), done)]
         if len(pack) >= 2000:
             yield pd.DataFrame(pack, columns=OUT.names)
             pack = []
