@@ -146,7 +146,8 @@ def by_hour(inputs: DataFrame, solve, kind: T.StructType, pack: int = 500) -> Da
                 out = []
         yield pd.DataFrame(out, columns=kind.names)
 
-    return inputs.repartition("var", "sys_hour").sortWithinPartitions("var", "sys_hour", "source_id", "previous").mapInPandas(run, kind)
+    n = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the rows are few but each hour takes time: small partitions must not be put together
+    return inputs.repartition(n, "var", "sys_hour").sortWithinPartitions("var", "sys_hour", "source_id", "previous").mapInPandas(run, kind)
 
 
 def fitted(inputs: DataFrame, n_cat: int, strength: str = "medium") -> DataFrame:
