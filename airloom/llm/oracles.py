@@ -81,5 +81,18 @@ hit AS (SELECT page_id, count(*) AS n FROM t JOIN less ON list_has_all(tokens, r
 SELECT t.page_id, host, path, {case(1, 'NULL')} AS rule, {case(2, "CASE WHEN n > 0 THEN 'block' ELSE 'allow' END")} AS verdict, coalesce(n, 0) AS n_mined FROM t LEFT JOIN hit ON hit.page_id = t.page_id"""
 
 
+def search(k: int = 50) -> str:
+    """op13: every document's score for every item."""
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+    return f"""WITH d AS (SELECT doc_id, {terms} AS w FROM documents), i AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+t AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), t),
+x AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))) AS x FROM tf JOIN df USING (term), t),
+s AS (SELECT item_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM x JOIN i USING (term) GROUP BY ALL HAVING sum(x) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_association_rules": url_rules(), "op6_window_doubling": windows(13), "op7_quality_host_rules": quality(), "op10_spaced_seeds": seeds()}
+    return {"op2_association_rules": url_rules(), "op6_window_doubling": windows(13), "op7_quality_host_rules": quality(), "op10_spaced_seeds": seeds(), "op13_threshold_seeded_search": search()}

@@ -5,6 +5,7 @@ from .chat import op5_role_repair
 from .decontaminate import op10_spaced_seeds
 from .importance import op1_gumbel_resampling
 from .language_id import op9_output_codes
+from .lexical_search import op13_threshold_seeded_search
 from .oracles import oracle_sql  # noqa: F401
 from .pii import op3_semi_markov_crf
 from .quality_rules import op7_quality_host_rules
@@ -23,6 +24,7 @@ QUERIES = [
     op8_simhash_popcount,
     op9_output_codes,
     op10_spaced_seeds,
+    op13_threshold_seeded_search,
 ]
 
 
