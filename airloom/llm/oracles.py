@@ -81,6 +81,26 @@ hit AS (SELECT page_id, count(*) AS n FROM t JOIN less ON list_has_all(tokens, r
 SELECT t.page_id, host, path, {case(1, 'NULL')} AS rule, {case(2, "CASE WHEN n > 0 THEN 'block' ELSE 'allow' END")} AS verdict, coalesce(n, 0) AS n_mined FROM t LEFT JOIN hit ON hit.page_id = t.page_id"""
 
 
+def clusters(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """op12: every vector against every centroid, each round."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: CAST(floor({scale} * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda y: isfinite(y))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, x FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS MATERIALIZED (SELECT r, c.cluster, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i} c),
+a{i} AS MATERIALIZED (SELECT r, cluster, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT cluster, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS e, unnest(range(1, {dim + 1})) AS i FROM a{i} JOIN v USING (r)) GROUP BY ALL),
+m{i} AS (SELECT cluster, list({floor} ORDER BY i) AS x FROM s{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.cluster = c.cluster)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 def search(k: int = 50) -> str:
     """op13: every document's score for every item."""
     pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -95,4 +115,4 @@ SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PART
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_association_rules": url_rules(), "op6_window_doubling": windows(13), "op7_quality_host_rules": quality(), "op10_spaced_seeds": seeds(), "op13_threshold_seeded_search": search()}
+    return {"op2_association_rules": url_rules(), "op6_window_doubling": windows(13), "op7_quality_host_rules": quality(), "op10_spaced_seeds": seeds(), "op12_exponion_clusters": clusters(), "op13_threshold_seeded_search": search()}

@@ -1,6 +1,7 @@
 """The corpus operators' queries."""
 
 from .bpe import op4_bpe_chunk_reuse
+from .centroid_clustering import op12_exponion_clusters
 from .chat import op5_role_repair
 from .decontaminate import op10_spaced_seeds
 from .importance import op1_gumbel_resampling
@@ -24,6 +25,7 @@ QUERIES = [
     op8_simhash_popcount,
     op9_output_codes,
     op10_spaced_seeds,
+    op12_exponion_clusters,
     op13_threshold_seeded_search,
 ]
 
