@@ -81,6 +81,14 @@ hit AS (SELECT page_id, count(*) AS n FROM t JOIN less ON list_has_all(tokens, r
 SELECT t.page_id, host, path, {case(1, 'NULL')} AS rule, {case(2, "CASE WHEN n > 0 THEN 'block' ELSE 'allow' END")} AS verdict, coalesce(n, 0) AS n_mined FROM t LEFT JOIN hit ON hit.page_id = t.page_id"""
 
 
+def archives() -> str:
+    """op11: base32 takes four digits from each five of the hexadecimal digest."""
+    digit = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> {shift}) & 31) + 1, 1)"
+    base32 = f"array_to_string(list_transform(range(0, 8), lambda k: {' || '.join(map(digit, (15, 10, 5, 0)))}), '')"
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages), d AS (SELECT page_id, strlen(x) AS n, sha1(x) AS h, max(page_id) OVER (PARTITION BY x) AS top FROM p)
+SELECT page_id, n AS payload_bytes, {base32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM d"""
+
+
 def clusters(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2) -> str:
     """op12: every vector against every centroid, each round."""
     floor = "(s - ((s % n) + n) % n) // n"
@@ -115,4 +123,4 @@ SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PART
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_association_rules": url_rules(), "op6_window_doubling": windows(13), "op7_quality_host_rules": quality(), "op10_spaced_seeds": seeds(), "op12_exponion_clusters": clusters(), "op13_threshold_seeded_search": search()}
+    return {"op2_association_rules": url_rules(), "op6_window_doubling": windows(13), "op7_quality_host_rules": quality(), "op10_spaced_seeds": seeds(), "op11_warc_zstandard": archives(), "op12_exponion_clusters": clusters(), "op13_threshold_seeded_search": search()}

@@ -13,6 +13,7 @@ from .quality_rules import op7_quality_host_rules
 from .simhash_dedup import op8_simhash_popcount
 from .substring_dedup import op6_window_doubling
 from .url_filter import op2_association_rules
+from .warc import op11_warc_zstandard
 
 QUERIES = [
     op1_gumbel_resampling,
@@ -25,6 +26,7 @@ QUERIES = [
     op8_simhash_popcount,
     op9_output_codes,
     op10_spaced_seeds,
+    op11_warc_zstandard,
     op12_exponion_clusters,
     op13_threshold_seeded_search,
 ]
