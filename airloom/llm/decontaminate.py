@@ -108,8 +108,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, min_share:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no test item is found, with their own columns."""
-    bad = written(contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = written(contaminated(docs, items).select(F.col("doc_id").alias("bad")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    return rows.join(bad, F.col("d.doc_id").eqNullSafe(F.col("bad")), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op10_spaced_seeds(spark, sf_dir):

@@ -32,6 +32,13 @@ def test_substitutions_are_tolerated_and_clean_texts_left_alone(spark):
     assert d.contaminated(df.limit(0), items).count() == 0
 
 
+def test_clashing_column_names(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, item), (2, "clean text")], "doc_id long, text string").selectExpr("*", "doc_id as bad", "text as d", "1 as _bad", "2 as `a.b`")
+    kept = d.decontaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "clean text", 2, "clean text", 1, 2)]
+
+
 def test_finds_every_planted_item(spark):
     import re
 
