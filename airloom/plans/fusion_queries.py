@@ -159,10 +159,10 @@ def x55(spark, sf):
     return own.select("var", "source_id", "sys_hour", r(c("value")).alias("value"), r(c("expected")).alias("expected"), r(p[0]).alias("background"), r(p[1] + p[2] + p[3]).alias("plumes"), r(c("b")).alias("day_before"), (r(c("expected") - c("b") + TIE, 3) + 0.0).alias("change"))
 
 
-@query("K4_observation_statistics", f"WITH {COMPONENTS} SELECT var, source_id, count(*) AS n, round(avg(value - {EXPECTED}), 4) AS bias, round(sqrt(avg(power(value - {EXPECTED}, 2))), 4) AS rmse FROM comp GROUP BY ALL")
+@query("K4_observation_statistics", f"WITH {COMPONENTS} SELECT var, source_id, count(*) AS n, round(avg(value - {EXPECTED}) + {TIE}, 4) AS bias, round(sqrt(avg(power(value - {EXPECTED}, 2))) + {TIE}, 4) AS rmse FROM comp GROUP BY ALL")
 def k4(spark, sf):
     e = c("value") - c("expected")
-    return expected(spark, sf).groupBy("var", "source_id").agg(F.count(lit(1)).alias("n"), r(F.avg(e)).alias("bias"), r(F.sqrt(F.avg(e * e))).alias("rmse"))
+    return expected(spark, sf).groupBy("var", "source_id").agg(F.count(lit(1)).alias("n"), r(F.avg(e) + TIE).alias("bias"), r(F.sqrt(F.avg(e * e)) + TIE).alias("rmse"))
 
 
 @query("K6_override_series", f"WITH {HOURLY}, s AS (SELECT var, sys_hour, avg(value) AS v FROM hourly GROUP BY ALL) SELECT var, sys_hour, round(v / 10 + {TIE}, 4) AS c0, round(0.8 + v / 200 + {TIE}, 4) AS c1, round(0.8 + v / 400 + {TIE}, 4) AS c2, round(0.8 + v / 600 + {TIE}, 4) AS c3 FROM s")
