@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from airloom.functions.geo import DEGREE_M, distance_m, wind_direction
 
+from . import tiles
+
 
 def around(n: int):
     """Literal array of the offsets -n..n."""
@@ -45,12 +47,6 @@ def nearest(points: DataFrame, targets: DataFrame, radius_m: float, key: str, ti
     return best.select(key, "b.*")
 
 
-def neighbours(cells: DataFrame, radius: int, value: str = "value") -> DataFrame:
-    """``(h, w, dh, dw, value)``: each cell's value, sent to all cells within ``radius``."""
-    sent = cells.select("h", "w", F.col(value).alias("value"), F.explode(around(radius)).alias("dh")).select("*", F.explode(around(radius)).alias("dw"))
-    return sent.select((F.col("h") + F.col("dh")).alias("h"), (F.col("w") + F.col("dw")).alias("w"), "dh", "dw", "value")
-
-
 def weighted(rows: DataFrame, by, weight: Column, value: str = "value") -> DataFrame:
     """Weighted mean per key, combined on the map side."""
     g = rows.withColumn("_k", weight).groupBy(*by).agg(F.sum(F.col("_k") * F.col(value)).alias("a"), F.sum("_k").alias("b"))
@@ -59,27 +55,23 @@ def weighted(rows: DataFrame, by, weight: Column, value: str = "value") -> DataF
 
 def smoothed_cells(cells: DataFrame, radius: int, add: float) -> DataFrame:
     """Inverse-square-distance mean of the cells around; only existing cells are returned."""
-    near = neighbours(cells, radius)
-    d2 = F.col("dh") * F.col("dh") + F.col("dw") * F.col("dw")
-    return weighted(near, ["h", "w"], 1 / (d2 + add)).join(cells.select("h", "w"), ["h", "w"], "left_semi")
+    return tiles.windows(tiles.asked(cells), radius, tiles.mean(radius, lambda dh, dw: 1 / (dh * dh + dw * dw + add))).drop("layer")
 
 
 def filled_cells(cells: DataFrame, spine: DataFrame, radius: int) -> DataFrame:
     """Cells of the spine without a value, by inverse squared distance (1.5 cells at least) to those around."""
-    empty = spine.join(cells, ["h", "w"], "left_anti")
-    near = neighbours(cells, radius)
-    d2 = F.greatest(F.lit(2.25), (F.col("dh") * F.col("dh") + F.col("dw") * F.col("dw")).cast("double"))
-    return weighted(near, ["h", "w"], 1 / d2).join(empty, ["h", "w"], "left_semi")
+    gaps = tiles.empty(spine.join(cells, ["h", "w"], "left_anti"))
+    rows = gaps.union(cells.select("h", "w", F.col("value").cast("double"), F.lit(False)))
+    return tiles.windows(rows, radius, tiles.mean(radius, lambda dh, dw: 1 / max(2.25, dh * dh + dw * dw))).drop("layer")
 
 
 def refined(cells: DataFrame, factor: int) -> DataFrame:
     """``factor`` times finer cells by inverse distance (power 2, half a fine cell at least) to the coarse cells around."""
-    fine = cells.select("h", "w", F.explode(F.array(*[F.lit(k).cast("long") for k in range(factor)])).alias("i")).select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(factor)])).alias("j"))
-    near = neighbours(cells, 1)
-    centre = lambda k: (F.col(k) + 0.5) / factor - 0.5
-    d2 = F.greatest(F.lit(0.25 / factor / factor), F.pow(centre("i") + F.col("dh"), 2) + F.pow(centre("j") + F.col("dw"), 2))
-    rows = fine.join(near, ["h", "w"]).select((F.col("h") * factor + F.col("i")).alias("fh"), (F.col("w") * factor + F.col("j")).alias("fw"), "value", d2.alias("d2"))
-    return weighted(rows, ["fh", "fw"], 1 / F.col("d2"))
+    centre = lambda k: (k + 0.5) / factor - 0.5
+    near = lambda i, j: lambda dh, dw: 1 / max(0.25 / factor / factor, (centre(i) - dh) ** 2 + (centre(j) - dw) ** 2)
+    fine = [tiles.mean(1, near(i, j)) for i in range(factor) for j in range(factor)]
+    made = tiles.windows(tiles.asked(cells), 1, lambda a: [f(a) for f in fine])
+    return made.select((F.col("h") * factor + F.floor(F.col("layer") / factor)).alias("fh"), (F.col("w") * factor + F.col("layer") % factor).alias("fw"), "value")
 
 
 def combined(rows: DataFrame, by, variance: str = "variance", value: str = "value") -> DataFrame:

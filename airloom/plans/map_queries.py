@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from airloom.functions import geo, physics, sun
 from airloom.operators import dispersion as d
 from airloom.operators import spatial as s
+from airloom.operators import tiles
 from airloom.operators import temporal as t
 from airloom.sources import sinks
 from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations, table
@@ -88,8 +89,7 @@ def m23(spark, sf):
 @query("X6_soft_refinement", f"WITH {CELLS} SELECT a.h, a.w, round(sum(b.value / power(greatest(0.25, power(a.h - b.h, 2) + power(a.w - b.w, 2)), 0.4)) / sum(1 / power(greatest(0.25, power(a.h - b.h, 2) + power(a.w - b.w, 2)), 0.4)), 3) AS value FROM cells a JOIN cells b ON b.h BETWEEN a.h - 1 AND a.h + 1 AND b.w BETWEEN a.w - 1 AND a.w + 1 GROUP BY a.h, a.w")
 def x6(spark, sf):
     g = grid_cells(spark, sf).select("h", "w", "value")
-    d2 = F.greatest(lit(0.25), (c("dh") * c("dh") + c("dw") * c("dw")).cast("double"))
-    return s.weighted(s.neighbours(g, 1), ["h", "w"], 1 / F.pow(d2, lit(0.4))).join(g.select("h", "w"), ["h", "w"], "left_semi").withColumn("value", r(c("value"), 3))
+    return tiles.windows(tiles.asked(g), 1, tiles.mean(1, lambda dh, dw: max(0.25, dh * dh + dw * dw) ** -0.4)).select("h", "w", r(c("value"), 3).alias("value"))
 
 
 @query("X11_missing_puff_cells", f"WITH {CELLS}, have AS (SELECT * FROM cells WHERE size > 25), e AS (SELECT h, w FROM cells WHERE size <= 25) SELECT e.h, e.w, round(sum(b.value / greatest(2.25, power(e.h - b.h, 2) + power(e.w - b.w, 2))) / sum(1 / greatest(2.25, power(e.h - b.h, 2) + power(e.w - b.w, 2))), 3) AS value FROM e JOIN have b ON b.h BETWEEN e.h - 3 AND e.h + 3 AND b.w BETWEEN e.w - 3 AND e.w + 3 GROUP BY e.h, e.w")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airloom.functions import geo, physics
 from airloom.operators import quality as q
 from airloom.operators import spatial as s
+from airloom.operators import tiles
 from airloom.operators import temporal as t
 from airloom.sources.adapters import CELLS, EMISSIONS, OBS, STATIONS, emissions, grid_cells, observations, stations, table
 
@@ -68,8 +69,9 @@ SMOOTH = "SELECT a.h, a.w, round(sum(b.value / (power(a.h - b.h, 2) + power(a.w
 @query("J12_neighbourhood_mean", f"WITH {CELLS} SELECT a.h, a.w, round(avg(b.value), 3) AS mean, count(*) AS n FROM cells a JOIN cells b ON b.h BETWEEN a.h - 1 AND a.h + 1 AND b.w BETWEEN a.w - 1 AND a.w + 1 GROUP BY a.h, a.w")
 def j12(spark, sf):
     g = grid_cells(spark, sf)
-    near = s.neighbours(g, 1).join(g.select("h", "w"), ["h", "w"], "left_semi")
-    return near.groupBy("h", "w").agg(r(F.avg("value"), 3).alias("mean"), F.count(lit(1)).alias("n"))
+    around = tiles.windows(tiles.asked(g), 1, lambda a: [tiles.mean(1, lambda dh, dw: 1)(a), tiles.count(1)(a) + 1])
+    of = lambda k: F.max(F.when(c("layer") == k, c("value")))
+    return around.groupBy("h", "w").agg(r(of(0), 3).alias("mean"), of(1).cast("long").alias("n"))
 
 
 @query("J14_puff_cells", f"WITH {EMISSIONS}, p AS (SELECT DISTINCT h, w, 2 + CAST(floor(0.25 * height_m / 10) AS BIGINT) AS rad FROM emissions WHERE cat = 7) SELECT h + dh AS h, w + dw AS w, count(*) AS n FROM p, (SELECT unnest(range(-4, 5)) AS dh), (SELECT unnest(range(-4, 5)) AS dw) WHERE abs(dh) <= rad AND abs(dw) <= rad GROUP BY ALL")
@@ -200,8 +202,7 @@ def x9(spark, sf):
 def x16(spark, sf):
     """Stations that stand in a building move to the nearest cell without one that has eight free cells around; those without such a cell within three are left out."""
     free = grid_cells(spark, sf).filter("size <= 35").select("h", "w", lit(1.0).alias("value"))
-    around = s.neighbours(free, 2).filter("dh <> 0 or dw <> 0").groupBy("h", "w").agg(F.count(lit(1)).alias("n")).filter("n >= 8")
-    open_ = around.join(free.select("h", "w"), ["h", "w"], "left_semi").select("h", "w")
+    open_ = tiles.windows(tiles.asked(free), 2, tiles.count(2)).filter("value >= 8").select("h", "w")
     st = stations(spark, sf).select("station", F.floor((c("lat") - 60) * 10).alias("sh"), F.floor((c("lon") - 24) * 50).alias("sw"))
     asked = st.select("*", F.explode(s.around(3)).alias("dh")).select("*", F.explode(s.around(3)).alias("dw")).withColumns({"h": c("sh") + c("dh"), "w": c("sw") + c("dw")})
     best = asked.join(open_, ["h", "w"]).groupBy("station").agg(F.min(F.struct((c("dh") * c("dh") + c("dw") * c("dw")).alias("d2"), "h", "w")).alias("b"))
@@ -211,9 +212,10 @@ def x16(spark, sf):
 @query("M31_resolution_class", f"WITH {CELLS}, {EMISSIONS}, e AS (SELECT DISTINCT h, w FROM emissions WHERE cat = 7 AND h < 8 AND w < 8), d AS (SELECT a.h, a.w, min(sqrt(power(a.h - e.h, 2) + power(a.w - e.w, 2))) AS dist FROM cells a LEFT JOIN e ON e.h BETWEEN a.h - 12 AND a.h + 12 AND e.w BETWEEN a.w - 12 AND a.w + 12 GROUP BY a.h, a.w) SELECT h, w, CASE WHEN dist <= 6 THEN 0 WHEN dist <= 12 THEN 1 ELSE 2 END AS cls FROM d")
 def m31(spark, sf):
     """0 near emissions, 1 beyond 6 cells, 2 beyond 12."""
-    e = emissions(spark, sf).filter("cat = 7 and h < 8 and w < 8").select("h", "w").distinct().withColumn("value", lit(1.0))
-    near = s.neighbours(e, 12).groupBy("h", "w").agg(F.min(F.sqrt((c("dh") * c("dh") + c("dw") * c("dw")).cast("double"))).alias("dist"))
-    return grid_cells(spark, sf).select("h", "w").join(near, ["h", "w"], "left").select("h", "w", F.when(c("dist") <= 6, 0).when(c("dist") <= 12, 1).otherwise(2).alias("cls"))
+    e = emissions(spark, sf).filter("cat = 7 and h < 8 and w < 8").select("h", "w").distinct()
+    cells = grid_cells(spark, sf).select("h", "w")
+    near = tiles.windows(tiles.empty(cells).union(e.select("h", "w", lit(1.0), lit(False))), 12, tiles.distance(12))
+    return cells.join(near, ["h", "w"], "left").select("h", "w", F.when(c("value") <= 6, 0).when(c("value") <= 12, 1).otherwise(2).alias("cls"))
 
 
 @query("X10_puff_layer_smooth", f"WITH {CELLS} " + SMOOTH.format(add="0.1", r=2))
@@ -263,10 +265,9 @@ def x15(spark, sf):
 
 @query("X18_nearest_emission", f"WITH {EMISSIONS}, {CELLS}, e AS (SELECT DISTINCT h, w FROM emissions WHERE cat = 7) SELECT a.h, a.w, round(min(sqrt(power(a.h - e.h, 2) + power(a.w - e.w, 2))), 4) AS dist FROM cells a JOIN e ON e.h BETWEEN a.h - 4 AND a.h + 4 AND e.w BETWEEN a.w - 4 AND a.w + 4 GROUP BY a.h, a.w")
 def x18(spark, sf):
-    e = emissions(spark, sf).filter("cat = 7").select("h", "w", lit(1).alias("value")).distinct()
-    d = F.sqrt((c("dh") * c("dh") + c("dw") * c("dw")).cast("double"))
-    near = s.neighbours(e, 4).groupBy("h", "w").agg(r(F.min(d)).alias("dist"))
-    return near.join(grid_cells(spark, sf).select("h", "w"), ["h", "w"], "left_semi")
+    e = emissions(spark, sf).filter("cat = 7").select("h", "w").distinct()
+    rows = tiles.empty(grid_cells(spark, sf)).union(e.select("h", "w", lit(1.0), lit(False)))
+    return tiles.windows(rows, 4, tiles.distance(4)).select("h", "w", r(c("value")).alias("dist"))
 
 
 #: Two layers of a grid, an hour apart, and points in cell units with their share of the second layer.

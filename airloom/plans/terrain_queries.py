@@ -1,10 +1,12 @@
-"""Queries on map objects: rings of relations, areas and buildings."""
+"""Queries on map objects and terrain: rings of relations, areas and buildings, roughness and shade by direction."""
 
 from pyspark.sql import functions as F
 
 from airloom.functions import landuse
 from airloom.operators import geometry as g
+from airloom.operators import terrain
 from airloom.sources import map_tables as m
+from airloom.sources.adapters import CELLS, grid_cells
 from airloom.sources.map_tables import MAP_SQL, picked_sql
 
 from .base import TIE, query
@@ -91,3 +93,50 @@ def x50_ways(spark, sf):
         "way_id", landuse.surface(c("tags")).alias("surface"), F.size("nodes").alias("n_nodes"), F.round(c("area") + TIE).alias("area_m2"), F.round(c("around") + TIE, 2).alias("around_m"), c("kind").alias("building"),
         F.when(is_building, landuse.floors(c("kind"), c("area"))).alias("floors"), F.when(is_building, landuse.population(c("kind"), c("area"))).alias("population"), F.when(is_building, F.round(landuse.wood_burning(c("kind"), c("area"), people) + TIE, 5)).alias("wood"),
     )
+
+
+#: Land of the grid's cells: half of them built, the others water, road, crops and greens; houses by size, their ground by price.
+LAND = f"""{CELLS}, land AS (SELECT h, w, CASE p_partkey % 8 WHEN 0 THEN 'water' WHEN 1 THEN 'road' WHEN 2 THEN 'crops' WHEN 3 THEN 'green' ELSE 'building' END AS kind,
+ CAST(size AS DOUBLE) * 0.6 AS height_m, CAST(size * 37 % 1000 AS DOUBLE) AS area_m2, CASE p_partkey % 8 WHEN 3 THEN CAST(size AS DOUBLE) / 50 ELSE 0 END AS vegetation, CAST(floor(value) AS BIGINT) % 7 AS ground FROM cells)"""
+
+
+def land(spark, sf):
+    k = c("p_partkey") % 8
+    kind = F.when(k == 0, "water").when(k == 1, "road").when(k == 2, "crops").when(k == 3, "green").otherwise("building")
+    return grid_cells(spark, sf).select("h", "w", kind.alias("kind"), (c("size").cast("double") * 0.6).alias("height_m"), (c("size") * 37 % 1000).cast("double").alias("area_m2"), F.when(k == 3, c("size").cast("double") / 50).otherwise(0.0).alias("vegetation"), (F.floor("value") % 7).alias("ground"))
+
+
+def values(rows):
+    return ", ".join("(" + ", ".join(map(repr, row)) + ")" for row in rows)
+
+
+ROUGH = f"CASE kind WHEN 'building' THEN CASE {' '.join(f'WHEN height_m > {h} AND area_m2 > {a} THEN {x}' for h, a, x in terrain.BUILT)} ELSE 0.8 END WHEN 'road' THEN 0.01 ELSE CASE WHEN vegetation > 0.01 THEN greatest(0.06, vegetation * 0.4) WHEN kind = 'water' THEN 0.001 ELSE 0.06 END END"
+
+
+@query("M11_directed_roughness", f"""WITH {LAND}, rough AS (SELECT h, w, CAST({ROUGH} AS DOUBLE) AS v FROM land), star(dh, dw) AS (VALUES {values(terrain.star())}), rays(sector, dh, dw, k) AS (VALUES {values(terrain.rays())}),
+mean AS (SELECT a.h, a.w, least(2.0, avg(b.v)) AS v FROM rough a, star JOIN rough b ON b.h = a.h + dh AND b.w = a.w + dw GROUP BY a.h, a.w),
+ray AS (SELECT a.h, a.w, sector, any_value(a.v) AS overall, sum(k * b.v) / sum(k) AS v FROM mean a, rays JOIN mean b ON b.h = a.h + dh AND b.w = a.w + dw GROUP BY a.h, a.w, sector)
+SELECT a.h, a.w, a.sector, round(0.05 * a.overall + 0.35 * a.v + 0.3 * (b.v + c.v) + {TIE}, 5) AS roughness FROM ray a JOIN ray b ON b.h = a.h AND b.w = a.w AND b.sector = (a.sector + 35) % 36 JOIN ray c ON c.h = a.h AND c.w = a.w AND c.sector = (a.sector + 1) % 36""")
+def m11_directed(spark, sf):
+    rough = land(spark, sf).select("h", "w", terrain.surface_roughness(c("kind"), c("height_m"), c("area_m2"), c("vegetation")).alias("value"))
+    return terrain.directed_roughness(rough).select("h", "w", "sector", F.round(c("roughness") + TIE, 5).alias("roughness"))
+
+
+#: 21 June 2024, and the metres of a cell.
+DAY, CELL_M = 1718928000, 20.0
+
+
+@query("X61_shaded_sun", f"""WITH {LAND}, tops AS (SELECT h, w, CAST(ground AS DOUBLE) AS ground, CASE kind WHEN 'building' THEN height_m ELSE 0 END AS building FROM land), along(sector, dh, dw, k) AS (VALUES {values(terrain.sunward())}),
+horizon AS (SELECT a.h, a.w, sector, degrees(atan(greatest(0, max((CASE WHEN k * {CELL_M} < 25 THEN a.ground ELSE coalesce(b.ground, 0) END + coalesce(b.building, 0) - a.ground - a.building) / (k * CAST({CELL_M} AS DOUBLE)))))) AS horizon FROM (SELECT * FROM tops, along) a LEFT JOIN tops b ON b.h = a.h + dh AND b.w = a.w + dw GROUP BY a.h, a.w, sector),
+t AS (SELECT h, w, hour, radians(60 - h * CAST(0.0002 AS DOUBLE)) AS phi, 24 + w * CAST(0.0004 AS DOUBLE) AS lon, CAST({DAY} + 3600 * hour AS DOUBLE) / 86400 - 10957.5 AS d FROM tops, (SELECT unnest(range(0, 24)) AS hour)),
+b AS (SELECT *, 2.1429 - 0.0010394594 * d AS node, 6.24006 + 0.0172019699 * d AS m FROM t),
+e AS (SELECT *, 4.895063 + 0.017202791698 * d + 0.03341607 * sin(m) + 0.00034894 * sin(2 * m) - 0.0001134 - 0.0000203 * sin(node) AS ecl, 0.4090928 - 6.214e-9 * d + 0.0000396 * cos(node) AS tilt FROM b),
+f AS (SELECT *, asin(sin(tilt) * sin(ecl)) AS decl, radians((6.6974243242 + 0.0657098283 * d + hour) * 15 + lon) - atan2(cos(tilt) * sin(ecl), cos(ecl)) AS ha FROM e),
+z AS (SELECT *, acos(cos(phi) * cos(ha) * cos(decl) + sin(decl) * sin(phi)) AS zen, (degrees(atan2(-sin(ha), tan(decl) * cos(phi) - sin(phi) * cos(ha))) + 360) % 360 AS az FROM f),
+up AS (SELECT h, w, hour, 90 - degrees(zen + 6371.01 / 149597890.0 * sin(zen)) AS elevation, CAST(floor(az / 10) AS BIGINT) AS sector FROM z)
+SELECT up.h, up.w, up.hour, round(elevation, 3) AS elevation, round(CASE WHEN horizon > elevation THEN 0 ELSE 1000 * sin(radians(elevation)) END, 2) AS power FROM up JOIN horizon x ON x.h = up.h AND x.w = up.w AND x.sector = up.sector WHERE elevation > 0""")
+def x61(spark, sf):
+    cells = land(spark, sf).select("h", "w", "ground", F.when(c("kind") == "building", c("height_m")).otherwise(0.0).alias("building"))
+    hours = cells.select("h", "w", (60 - c("h") * 0.0002).alias("lat"), (24 + c("w") * 0.0004).alias("lon"), F.explode(F.sequence(lit(0).cast("long"), lit(23).cast("long"))).alias("hour"))
+    found = terrain.shaded_power(hours.withColumn("sec", DAY + 3600 * c("hour")), terrain.horizons(cells, CELL_M))
+    return found.select("h", "w", "hour", F.round("elevation", 3).alias("elevation"), F.round("power", 2).alias("power"))
