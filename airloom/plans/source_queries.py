@@ -111,7 +111,7 @@ def s18(spark, sf):
 @query("S19_variable_scan", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS row, n_name AS name, CAST(n_regionkey AS DOUBLE) AS level FROM nation")
 def s19(spark, sf):
     path = folder(spark, "variables")
-    spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", c("n_name").alias("name"), c("n_regionkey").alias("level")).coalesce(1).sortWithinPartitions("n_nationkey").drop("n_nationkey").write.option("sep", ";").option("header", True).csv(path)
+    spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", c("n_name").alias("name"), c("n_regionkey").alias("level")).repartitionByRange(10, "n_nationkey").sortWithinPartitions("n_nationkey").drop("n_nationkey").write.option("sep", ";").option("header", True).csv(path)
     return files.configuration(spark, path, ["level"])
 
 

@@ -1,10 +1,15 @@
 """File scans: pruning by file name, delimited observations, station and configuration tables, map ways."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airloom.functions import text
 
+from .store import small, written
+
+#: Places of file splits are broadcast up to this many (about 100 bytes each).
+MAX_SPLITS = 500_000
+
 #: Microgram factors of mass units; mole units also need the molar mass.
 MASS = {"kg": 1e9, "g": 1e6, "mg": 1e3, "ug": 1.0}
 #: Molar masses in g/mol.
@@ -98,10 +103,45 @@ def stations(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, paths) -> DataFrame:
+    """``(path, file, line, row, value)``: each line of text files with its number in the file and, files being in the order of their paths, in all of them.
+
+    Lines keep their order within a split of a file, so numbers within a split are shifted by the counts of the splits before it: a table with a row a split."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    lines = written(lines)
+    splits = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = lambda w: F.sum("n").over(w) - F.col("n")
+    files = written(splits.groupBy("path").agg(F.sum("n").alias("n")))
+    files = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("file"), before(Window.orderBy("path")).alias("above"))  # a row a file
+    places = splits.select("path", "start", "first", before(Window.partitionBy("path").orderBy("start")).alias("shift")).join(files, "path")
+    placed = lines.join(small(written(places), MAX_SPLITS), ["path", "start"])
+    line = F.col("id") - F.col("first") + F.col("shift")
+    return placed.select("path", "file", line.alias("line"), (F.col("above") + line).alias("row"), "value")
+
+
 def configuration(spark: SparkSession, path: str, numbers=()) -> DataFrame:
-    """A small table with a header, with ``row``, each row's number from 0 (that of a variable or category), and the ``numbers`` as doubles."""
-    rows = spark.read.option("sep", ";").option("header", "true").option("wholetext", "false").csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("row"), *[F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in rows.columns])
+    """A table with a header in each of its files, with ``row``, each row's number from 0 over all files in the order of their names (that of a variable or category), and
+    the ``numbers`` as doubles."""
+    columns = spark.read.option("sep", ";").option("header", "true").csv(path).columns
+    rows = numbered_lines(spark, path).filter("line > 0")
+    cells = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in columns)), {"sep": ";"})
+    rows = rows.select((F.col("row") - F.col("file") - 1).alias("row"), cells.alias("c"))
+    return rows.select("row", *[F.col(f"c.`{c}`").try_cast("double").alias(c) if c in numbers else F.col(f"c.`{c}`") for c in columns])
+
+
+def sparse_lines(lines: DataFrame, most: int = 10_000, step: int = 4) -> DataFrame:
+    """Numbered lines, of files with over ``most`` every ``step``-th only."""
+    long = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.col("path").alias("_path"))
+    found = lines.join(F.broadcast(long), F.col("path") == F.col("_path"), "left")  # a row a long file
+    return found.filter(F.col("_path").isNull() | ((F.col("line") + 1) % step == 0)).drop("_path")
+
+
+def road_weather(spark: SparkSession, paths, box, most: int = 10_000) -> DataFrame:
+    """``(file, line, source_id, ts, lat, lon, name, value)`` of road-station lines ``id;time;lat;lon;name=value,name=value`` inside a box; long files are thinned."""
+    lines = sparse_lines(numbered_lines(spark, paths), most).withColumn("cells", F.split("value", ";"))
+    part = lambda k: F.trim(F.get("cells", k))
+    rows = lines.select("file", "line", text.clean_id(part(0)).alias("source_id"), text.parsed_time(part(1)).cast("timestamp_ntz").alias("ts"), part(2).try_cast("double").alias("lat"), part(3).try_cast("double").alias("lon"), F.explode(text.pairs(part(4))).alias("name", "value"))
+    return rows.withColumn("value", F.col("value").try_cast("double")).dropna(subset=["ts", "lat", "lon", "value"]).filter(F.col("lat").between(box[0], box[1]) & F.col("lon").between(box[2], box[3]))
 
 
 def emission_rows(spark: SparkSession, folder: str, first: str, last: str, box) -> DataFrame:
