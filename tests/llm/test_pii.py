@@ -156,6 +156,47 @@ def test_held_out_recall_of_rewritten_spans_and_precision(spark):
     assert wrong <= 0.001 * len(held)
 
 
+def test_spellings_that_were_not_trained_on(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text]
+    own = [[x[t[0][0] : t[-1][1]] for t in pii.islands(x) if len(t) < 12] for x in docs]
+    train, held = ([y for ys in part for y in ys] for part in (own[::2], own[1::2]))
+    has, plain = ([y for y in sorted(set(train)) if bool(pii.base_spans(y)) == h][:300] for h in (True, False))
+    unseen = {(0, 1), (0, 4), (0, 7), (1, 1), (2, 1), (2, 4), (3, 1), (3, 4)}
+    field = pii.fit(has + plain, learnt=lambda kind, how: (kind, how) not in unseen)
+    found = {}
+    for y in held:
+        spans = pii.base_spans(y)
+        for kind, how in unseen if len(spans) == 1 else []:
+            if kind == spans[0][2]:
+                other, span = pii.rewritten(y, spans[0], how)
+                if other != y:
+                    n = found.setdefault((kind, how), [0, 0])
+                    n[0], n[1] = n[0] + (span in pii.all_spans(field, other)[1]), n[1] + 1
+    assert len(found) >= 7 and sum(a for a, _ in found.values()) >= 0.9 * sum(b for _, b in found.values()), found
+
+
+def test_numbers_of_other_things_are_left_alone():
+    field = pii.fit(sample())
+    for x in [
+        "paid 1,234,567.89 euro", "it cost 12,500.00 in all", "nr 555-123-4567-99 sent", "ticket 123-456-7890 open", "order 2291-4471-9938-02 shipped", "isbn 978-3-16-148410-0 in print", "on 2024-03-17 at 12:30:45.678",
+        "version 4.17.2 of it", "ratio 3 / 4 of 1,024", "from 1998 to 2003 and on", "at 60.1699 24.9384 north", "in 123 456 7890 people",
+    ]:
+        assert pii.all_spans(field, x) == ([], []), x
+    for x, kind in [("write anna at mail dot org now", "email"), ("to x {at} mail.org", "email"), ("anna(AT)mail(DOT)org", "email"), ("host 10[.]0[.]0[.]1 up", "ip"), ("ring (212) 555-1234 now", "phone")]:
+        assert [pii.KINDS[c] for _, _, c in pii.all_spans(field, x)[1]] == [kind], x
+
+
+def test_a_megabyte_of_numbers_takes_linear_time():
+    field = pii.fit(sample())
+    x = " ".join(str(i * 7919 % 99733) for i in range(200_000))
+    took = []
+    for n in (100_000, 400_000):
+        began = time.time()
+        field.added(x[:n], [])
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_long_texts_and_long_spans():
     field = pii.fit(sample())
     x = "call " + " ".join(str(i * 7919 % 9973) for i in range(5000)) + " please write to " + "q" * 300 + " [at] mail1.example.com today"
