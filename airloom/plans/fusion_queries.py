@@ -12,6 +12,7 @@ from airloom.sources.store import written
 from .base import TIE, query
 from .map_queries import FOOT, STATION_PARTS, station_parts
 from .quality_queries import COVAR, HOURLY, hourly
+from .time_queries import FILLED, FORECAST, SPINE
 
 c, lit = F.col, F.lit
 r = lambda x, n=4: F.round(x, n)
@@ -113,11 +114,20 @@ def x38(spark, sf):
     return f.learned(adjustments(spark, sf)).select("var", "cat", "last_hour", r(c("master"), 6).alias("master"), F.posexplode("cells").alias("slot", "cell")).withColumns({"slot": c("slot").cast("long"), "cell": r(c("cell"), 6)})
 
 
-@query("X39_adjustments_filled")
+SERIES_OF = "hourly AS (SELECT var, cat AS source_id, sys_hour, factor AS value FROM adj)"
+SMOOTHED = f"WITH {SERIES_OF}, {SPINE}, {FILLED}, g AS (SELECT *, lag(bv) OVER w AS p, lead(value) OVER w AS nx, lag(sys_hour) OVER w IS NULL OR lead(sys_hour) OVER w IS NULL AS edge FROM f WINDOW w AS (PARTITION BY var, source_id ORDER BY sys_hour)) SELECT var, source_id AS cat, sys_hour, CASE WHEN value IS NULL THEN bv WHEN edge THEN value WHEN nx IS NULL THEN 0.3 * p + 0.7 * value ELSE 0.25 * p + 0.5 * value + 0.25 * nx END AS value, false AS filled FROM g"
+
+
+def smoothed_and_filled(a):
+    """Factors smoothed over the hours that they have, and 24 hours more."""
+    a, by = a.withColumnRenamed("factor", "value"), ["var", "cat"]
+    rows = t.smoothed(a, by).withColumn("filled", lit(False)).unionByName(t.forecast_filled(a, 24, by).withColumn("filled", lit(True)))
+    return rows.withColumn("value", r(c("value") + TIE, 6))
+
+
+@query("X39_adjustments_filled", f"WITH {ADJUST} SELECT var, cat, sys_hour, round(value + {TIE}, 6) AS value, filled FROM (({SMOOTHED}) UNION ALL (WITH {SERIES_OF}, {FORECAST} SELECT var, source_id AS cat, sys_hour, value, true AS filled FROM forecast))")
 def x39(spark, sf):
-    a = adjustments(spark, sf).withColumnRenamed("factor", "value")
-    by = ["var", "cat"]
-    return t.smoothed(a, by).withColumn("filled", lit(False)).unionByName(t.forecast_filled(a, 24, by).withColumn("filled", lit(True)))
+    return smoothed_and_filled(adjustments(spark, sf))
 
 
 EXPECTED = "greatest(0, p0 + 1.5 + p1 * 1.1 + p2 * 0.9 + p3)"
