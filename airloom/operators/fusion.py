@@ -43,60 +43,76 @@ def prices(exponent):
     return price, price[TO] - price[:, None, None]
 
 
-def penalties(e2, w, exponent):
-    """(cost, class of each station): class changes of one or two steps, the best first, while the cost falls.
+def penalties(e2, w, exponent, live=None):
+    """(cost, class of each station) of each problem, a row of errors and weights over its ``live`` stations: class changes of one or two steps, the best first, while the cost falls.
 
     The cost is a weighted error sum times a mean price, so each change's cost follows from both and one station's terms;
-    ties go to the smaller step, then to the station, then to the class below."""
+    ties go to the smaller step, then to the station, then to the class below. One problem may come without the first axis."""
+    if e2.ndim == 1:
+        cost, state = penalties(e2[None], w[None], exponent)
+        return cost[0], state[0]
+    live = np.ones(e2.shape, bool) if live is None else live
     price, dear = prices(exponent)
-    n, load, state = len(e2), w * e2, np.zeros(len(e2), int)
-    total, paid = load.sum(), n * price[0]
-    best = total * paid / n
-    while True:
-        costs = (total + load[:, None, None] * GAIN[state]) * (paid + dear[state]) / n + NONE[state]
-        at = int(costs.transpose(1, 0, 2).argmin())
+    n, count, wide = e2.shape[1], live.sum(axis=1), (slice(None), None, None, None)
+    load, state, barred = np.where(live, w * e2, 0.0), np.zeros(e2.shape, int), np.where(live, 0.0, np.inf)[:, :, None, None]
+    total, paid = load.sum(axis=1), count * price[0]
+    best, left = total * paid / count, np.arange(len(e2))
+    while len(left):
+        own = state[left]
+        costs = (total[left][wide] + load[left][:, :, None, None] * GAIN[own]) * (paid[left][wide] + dear[own]) / count[left][wide] + NONE[own] + barred[left]
+        costs = costs.transpose(0, 2, 1, 3).reshape(len(left), -1)
+        at = costs.argmin(axis=1)
+        better = costs[np.arange(len(left)), at] < best[left] - 1e-12
+        left, at = left[better], at[better]
         size, k, way = at // (2 * n), at // 2 % n, at % 2
-        if costs[k, size, way] >= best - 1e-12:
-            return best, state
-        state[k] = TO[state[k], size, way]
-        total, paid = (load * PENALTY[state]).sum(), price[state].sum()
-        best = total * paid / n
+        state[left, k] = TO[state[left, k], size, way]
+        total[left], paid[left] = (load[left] * PENALTY[state[left]]).sum(axis=1), (price[state[left]] * live[left]).sum(axis=1)
+        best[left] = total[left] * paid[left] / count[left]
+    return best, state
 
 
 def search_space(low, high, step):
     return np.round(np.arange(low, high + step / 2, step), 9) if step > 0 else np.array([1.0])
 
 
-def descent(observed, parts, w, spaces, additive, exponent):
-    """(factors, cost, classes): from the middle of each category's space, single moves of growing size while any lowers the
-    cost. ``parts`` is stations by categories; the additive category's factor is added, the others multiply. All moves
-    are costed at once under the stations' present classes, and the classes follow each accepted move."""
-    size_of = np.array([len(s) for s in spaces])
-    table = np.zeros((len(spaces), size_of.max()))
-    for c, s in enumerate(spaces):
-        table[c, : len(s)] = s
+def descent(problems, additive, exponent):
+    """``[(factors, cost, classes)]`` of problems ``(observed, parts, w, spaces)``: from the middle of each category's space, single moves of growing size while any lowers the
+    cost. ``parts`` is stations by categories; an additive category's factor is added, the others multiply. All moves
+    are costed at once under the stations' present classes, and the classes follow each accepted move. The problems share the arrays, padded to the longest."""
+    m, n, n_cat = len(problems), max(len(p[0]) for p in problems), len(additive)
+    observed, parts, w, live = np.zeros((m, n)), np.zeros((m, n, n_cat)), np.zeros((m, n)), np.zeros((m, n), bool)
+    size_of = np.array([[len(s) for s in p[3]] for p in problems])
+    table = np.zeros((m, n_cat, size_of.max()))
+    for k, (o, x, own, spaces) in enumerate(problems):
+        observed[k, : len(o)], parts[k, : len(o)], w[k, : len(o)], live[k, : len(o)] = o, x, own, True
+        for c, s in enumerate(spaces):
+            table[k, c, : len(s)] = s
     slope = np.where(additive, 1.0, parts)
-    at, cats = size_of // 2, np.flatnonzero(size_of > 1)
-    steps = np.array([-1, 1, -2, 2])
-    price, _ = prices(exponent)
-    model = np.where(additive, parts, 0.0).sum(axis=1) + slope @ table[np.arange(len(spaces)), at]
-    best, state = penalties((observed - np.maximum(model, 0)) ** 2, w, exponent)
-    size = 1
-    while size <= 4 and len(cats):
-        to = at[cats, None] + size * steps
-        legal = (to >= 0) & (to < size_of[cats, None])
-        change = table[cats[:, None], np.where(legal, to, 0)] - table[cats, at[cats]][:, None]
-        trial = model[:, None, None] + slope[:, cats, None] * change
-        e2 = (observed[:, None, None] - np.maximum(trial, 0)) ** 2
-        costs = np.where(legal, np.tensordot(w * PENALTY[state], e2, axes=1), np.inf) * price[state].mean()
-        k = np.unravel_index(int(costs.argmin()), costs.shape)
-        cost, classes = penalties(e2[:, *k], w, exponent) if np.isfinite(costs[k]) else (np.inf, None)
-        if cost < best - 1e-12:
-            at = at.copy()
-            at[cats[k[0]]], model, best, state, size = to[k], trial[:, *k], cost, classes, 1
-        else:
-            size += 1
-    return table[np.arange(len(spaces)), at], best, state
+    at, steps, (price, _) = size_of // 2, np.array([-1, 1, -2, 2]), prices(exponent)
+    value = np.take_along_axis(table, at[:, :, None], axis=2)[:, :, 0]
+    model = np.where(additive, parts, 0.0).sum(axis=2) + np.einsum("pnc,pc->pn", slope, value)
+    best, state = penalties((observed - np.maximum(model, 0)) ** 2, w, exponent, live)
+    size, count = np.ones(m, int), live.sum(axis=1)
+    left = np.flatnonzero((size_of > 1).any(axis=1))
+    while len(left):
+        to = at[left][:, :, None] + size[left][:, None, None] * steps
+        legal = (to >= 0) & (to < size_of[left][:, :, None]) & (size_of[left] > 1)[:, :, None]
+        change = np.take_along_axis(table[left], np.where(legal, to, 0), axis=2) - value[left][:, :, None]
+        trial = model[left][:, :, None, None] + slope[left][:, :, :, None] * change[:, None]
+        e2 = (observed[left][:, :, None, None] - np.maximum(trial, 0)) ** 2
+        mean = (price[state[left]] * live[left]).sum(axis=1) / count[left]
+        costs = np.where(legal, np.einsum("pn,pnck->pck", w[left] * PENALTY[state[left]], e2) * mean[:, None, None], np.inf).reshape(len(left), -1)
+        k, rows = costs.argmin(axis=1), np.arange(len(left))
+        c, s = k // len(steps), k % len(steps)
+        cost, classes = penalties(e2[rows, :, c, s], w[left], exponent, live[left])
+        better = np.isfinite(costs[rows, k]) & (cost < best[left] - 1e-12)
+        go, r, cb, sb = left[better], rows[better], c[better], s[better]
+        at[go, cb] = to[r, cb, sb]
+        value[go, cb] = table[go, cb, at[go, cb]]
+        model[go], best[go], state[go], size[go] = trial[r, :, cb, sb], cost[better], classes[better], 1
+        size[left[~better]] += 1
+        left = left[size[left] <= 4]
+    return [(value[k], float(best[k]), state[k, : len(p[0])]) for k, p in enumerate(problems)]
 
 
 FITTED = T.StructType([T.StructField("var", T.StringType()), T.StructField("sys_hour", T.LongType()), T.StructField("factors", T.ArrayType(T.DoubleType())), T.StructField("cost", T.DoubleType()), T.StructField("stations", T.ArrayType(T.StringType())), T.StructField("classes", T.ArrayType(T.IntegerType())), T.StructField("permille", T.ArrayType(T.DoubleType()))])
@@ -110,18 +126,18 @@ def spaces_for(observed, parts):
     return [first] + [search_space(0.4, 2.0, 0.1) if total > 0 and parts[:, k].sum() / total >= 0.02 else np.array([1.0]) for k in range(1, parts.shape[1])]
 
 
-def fit_group(pdf, n_cat, exponent):
-    parts = np.array(pdf["parts"].tolist(), float).reshape(len(pdf), n_cat)
-    w = weights(pdf["imprecision"].to_numpy(), pdf["covar"].to_numpy(), pdf["previous"].to_numpy())
-    observed = pdf["value"].to_numpy(float)
-    additive = np.arange(n_cat) == 0
-    factors, cost, state = descent(observed, parts, w, spaces_for(observed, parts), additive, exponent)
-    return factors, cost, state, w
+def problem(observed, parts, imprecision, covar, previous):
+    """An hour's fit, for ``descent``."""
+    return observed, parts, weights(imprecision, covar, previous), spaces_for(observed, parts)
 
 
-def by_hour(inputs: DataFrame, solve, kind: T.StructType, pack: int = 500) -> DataFrame:
-    """``solve(var, sys_hour, rows)`` -> tuples of ``kind`` for each variable and hour. Hours stream through the tasks in order, many to a
-    batch, so Spark exchanges no batch for each; only one hour's stations are held at a time."""
+def columns(pdf, n_cat):
+    return pdf["value"].to_numpy(float), np.array(pdf["parts"].tolist(), float).reshape(len(pdf), n_cat), pdf["imprecision"].to_numpy(float), pdf["covar"].to_numpy(float), pdf["previous"].to_numpy(bool)
+
+
+def by_hour(inputs: DataFrame, solve, kind: T.StructType, pack: int = 64) -> DataFrame:
+    """``solve([(var, sys_hour, rows)])`` -> tuples of ``kind`` for each variable and hour. Hours stream through the tasks in order; ``pack`` hours' stations are
+    held at a time and solved together."""
 
     def hours(batches):
         held = []
@@ -138,13 +154,14 @@ def by_hour(inputs: DataFrame, solve, kind: T.StructType, pack: int = 500) -> Da
             yield pd.concat(held, ignore_index=True)
 
     def run(batches):
-        out = []
+        held = []
         for pdf in hours(b for b in batches if len(b)):
-            out += solve(pdf["var"].iloc[0], int(pdf["sys_hour"].iloc[0]), pdf)
-            if len(out) >= pack:
-                yield pd.DataFrame(out, columns=kind.names)
-                out = []
-        yield pd.DataFrame(out, columns=kind.names)
+            held.append((pdf["var"].iloc[0], int(pdf["sys_hour"].iloc[0]), pdf))
+            if len(held) == pack:
+                yield pd.DataFrame(solve(held), columns=kind.names)
+                held = []
+        if held:
+            yield pd.DataFrame(solve(held), columns=kind.names)
 
     n = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the rows are few but each hour takes time: small partitions must not be put together
     return inputs.repartition(n, "var", "sys_hour").sortWithinPartitions("var", "sys_hour", "source_id", "previous").mapInPandas(run, kind)
@@ -152,12 +169,14 @@ def by_hour(inputs: DataFrame, solve, kind: T.StructType, pack: int = 500) -> Da
 
 def fitted(inputs: DataFrame, n_cat: int, strength: str = "medium") -> DataFrame:
     """``inputs(var, sys_hour, source_id, value, parts, imprecision, covar, previous)`` -> one row of factors an hour."""
-    exponent = STRENGTH[strength]
+    exponent, additive = STRENGTH[strength], np.arange(n_cat) == 0
 
-    def solve(var, hour, pdf):
-        factors, cost, state, w = fit_group(pdf, n_cat, exponent)
-        applied = w * PENALTY[state]
-        return [(var, hour, factors.tolist(), float(cost), pdf["source_id"].tolist(), state.tolist(), (1000 * applied / applied.sum()).tolist())]
+    def solve(held):
+        problems, rows = [problem(*columns(pdf, n_cat)) for _, _, pdf in held], []
+        for (var, hour, pdf), (_, _, w, _), (factors, cost, state) in zip(held, problems, descent(problems, additive, exponent)):
+            applied = w * PENALTY[state]
+            rows.append((var, hour, factors.tolist(), cost, pdf["source_id"].tolist(), state.tolist(), (1000 * applied / applied.sum()).tolist()))
+        return rows
 
     return by_hour(inputs, solve, FITTED)
 
@@ -166,18 +185,22 @@ LEFT_OUT = T.StructType([T.StructField("var", T.StringType()), T.StructField("sy
 
 
 def left_out(inputs: DataFrame, n_cat: int, strength: str = "medium") -> DataFrame:
-    """Prediction at each station from a fit without it."""
-    exponent = STRENGTH[strength]
-
-    def solve(var, hour, pdf):
-        rows, source, now = [], pdf["source_id"].to_numpy(), ~pdf["previous"].to_numpy()
-        for station in sorted(set(source[now])):
-            rest, out = pdf[source != station], pdf[(source == station) & now]
-            if len(rest):
-                f, _, _, _ = fit_group(rest, n_cat, exponent)
-                p = np.array(out["parts"].iloc[0], float)
-                rows.append((var, hour, station, float(out["value"].iloc[0]), float(max(0.0, (p[1:] * f[1:]).sum() + p[0] + f[0]))))
-        return rows
+    """Prediction at each station from a fit without it; the fits of many hours are made at once."""
+    exponent, additive = STRENGTH[strength], np.arange(n_cat) == 0
+
+    def solve(held):
+        problems, asked = [], []
+        for var, hour, pdf in held:
+            data, source = columns(pdf, n_cat), pdf["source_id"].to_numpy()
+            now = ~data[-1]
+            for station in sorted(set(source[now])):
+                rest = source != station
+                if rest.any():
+                    i = int(np.flatnonzero(~rest & now)[0])
+                    problems.append(problem(*[x[rest] for x in data]))
+                    asked.append((var, hour, station, float(data[0][i]), data[1][i]))
+        found = descent(problems, additive, exponent) if problems else []
+        return [(*a[:4], float(max(0.0, (a[4][1:] * f[1:]).sum() + a[4][0] + f[0]))) for a, (f, _, _) in zip(asked, found)]
 
     return by_hour(inputs, solve, LEFT_OUT)
 

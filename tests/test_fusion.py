@@ -35,7 +35,7 @@ def test_penalties_and_descent_match_plain_versions():
         assert got[0] == pytest.approx(want[0]) and got[1].tolist() == want[1]
         parts, additive = rng.random((n, 3)) * 20, np.array([True, False, False])
         observed, spaces = parts.sum(axis=1) * 1.3 + 2, [f.search_space(0, 4, 1), f.search_space(0.4, 2, 0.1), np.array([1.0])]
-        factors, cost, _ = f.descent(observed, parts, w / w.sum(), spaces, additive, -1.2)
+        factors, cost, _ = f.descent([(observed, parts, w / w.sum(), spaces)], additive, -1.2)[0]
         model = parts[:, 0] + factors[0] + parts[:, 1:] @ factors[1:]
         assert cost == pytest.approx(plain_penalties((observed - model) ** 2, w / w.sum(), -1.2)[0])
         assert factors[2] == 1.0
@@ -46,7 +46,7 @@ def test_descent_finds_the_factors():
     parts = rng.random((8, 3)) * 20 + 1
     observed = parts @ np.array([1, 1.3, 0.8]) + 2
     spaces = [f.search_space(0, 6, 1), f.search_space(0.4, 2, 0.1), f.search_space(0.4, 2, 0.1)]
-    factors, cost, _ = f.descent(observed, parts, np.full(8, 1 / 8), spaces, np.array([True, False, False]), -1.0)
+    factors, cost, _ = f.descent([(observed, parts, np.full(8, 1 / 8), spaces)], np.array([True, False, False]), -1.0)[0]
     assert cost < 1.5 and abs(factors[1] - 1.3) < 0.35
 
 
@@ -68,3 +68,17 @@ def test_left_out_predictions(spark):
     assert len(got) == 5 and all(abs(r["value"] - r.predicted) < 6 for r in got)
     fit = f.fitted(df, 4).first()
     assert sum(fit.permille) == pytest.approx(1000) and len(fit.factors) == 4
+
+
+def test_fits_made_at_once_match_single_ones():
+    rng, problems = np.random.default_rng(6), []
+    for n in (1, 2, 3, 7, 12, 12, 5):
+        parts = rng.random((n, 4)) * np.array([20, 9, 6, 0.01])
+        observed = np.abs(parts.sum(axis=1) * rng.uniform(0.5, 2, n) + rng.normal(0, 3, n))
+        problems.append(f.problem(observed, parts, rng.random(n) * 3, rng.random(n), rng.random(n) < 0.4))
+    additive = np.arange(4) == 0
+    for p, (factors, cost, state) in zip(problems, f.descent(problems, additive, -1.2)):
+        (single,) = f.descent([p], additive, -1.2)
+        assert factors == pytest.approx(single[0]) and cost == pytest.approx(single[1]) and state.tolist() == single[2].tolist()
+        model = p[1][:, 0] + factors[0] + p[1][:, 1:] @ factors[1:]
+        assert cost == pytest.approx(plain_penalties((p[0] - np.maximum(model, 0)) ** 2, p[2], -1.2)[0])
