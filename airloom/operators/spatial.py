@@ -65,13 +65,13 @@ def filled_cells(cells: DataFrame, spine: DataFrame, radius: int) -> DataFrame:
     return tiles.windows(rows, radius, tiles.mean(radius, lambda dh, dw: 1 / max(2.25, dh * dh + dw * dw))).drop("layer")
 
 
-def refined(cells: DataFrame, factor: int) -> DataFrame:
-    """``factor`` times finer cells by inverse distance (power 2, half a fine cell at least) to the coarse cells around."""
+def refined(cells: DataFrame, factor: int, by=(), size: int = tiles.TILE) -> DataFrame:
+    """``factor`` times finer cells of each grid by inverse distance (power 2, half a fine cell at least) to the coarse cells around."""
     centre = lambda k: (k + 0.5) / factor - 0.5
     near = lambda i, j: lambda dh, dw: 1 / max(0.25 / factor / factor, (centre(i) - dh) ** 2 + (centre(j) - dw) ** 2)
     fine = [tiles.mean(1, near(i, j)) for i in range(factor) for j in range(factor)]
-    made = tiles.windows(tiles.asked(cells), 1, lambda a: [f(a) for f in fine])
-    return made.select((F.col("h") * factor + F.floor(F.col("layer") / factor)).alias("fh"), (F.col("w") * factor + F.col("layer") % factor).alias("fw"), "value")
+    made = tiles.windows(tiles.asked(cells, by), 1, lambda a: [f(a) for f in fine], size, by=by)
+    return made.select(*by, (F.col("h") * factor + F.floor(F.col("layer") / factor)).alias("fh"), (F.col("w") * factor + F.col("layer") % factor).alias("fw"), "value")
 
 
 def combined(rows: DataFrame, by, variance: str = "variance", value: str = "value") -> DataFrame:

@@ -14,14 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Cells on a tile's side.
 TILE = 64
 
 
-def asked(cells: DataFrame, value: str = "value") -> DataFrame:
-    """All cells of ``(h, w, value)``, each with a value and asked for."""
-    return cells.select("h", "w", F.col(value).cast("double").alias("value"), F.lit(True).alias("asked"))
+def asked(cells: DataFrame, by=()) -> DataFrame:
+    """All cells of ``(*by, h, w, value)``, each with a value and asked for."""
+    return cells.select(*by, "h", "w", F.col("value").cast("double").alias("value"), F.lit(True).alias("asked"))
 
 
 def empty(cells: DataFrame) -> DataFrame:
@@ -35,28 +36,33 @@ def with_halo(rows: DataFrame, radius: int, size: int) -> DataFrame:
     return rows.select("*", reach("h").alias("th")).select("*", reach("w").alias("tw"))
 
 
-def windows(rows: DataFrame, radius: int, kernel, size: int = TILE, values=("value",)) -> DataFrame:
-    """``(h, w, layer, value)`` of ``rows(h, w, *values, asked)``: what ``kernel(*arrays)`` makes of a tile's arrays with a halo of ``radius`` cells.
+def windows(rows: DataFrame, radius: int, kernel, size: int = TILE, values=("value",), by=()) -> DataFrame:
+    """``(*by, h, w, layer, value)`` of ``rows(*by, h, w, *values, asked)``: what ``kernel(*arrays)`` makes of a tile's arrays with a halo of ``radius`` cells, for each
+    grid that the columns ``by`` tell apart.
 
     The kernel gives one array of the tile without its halo, or a stack of them (layers); NaN is left out.
     """
 
     def tile(key, pdf):
-        top, left, side = int(key[0]) * size - radius, int(key[1]) * size - radius, size + 2 * radius
+        top, left, side = int(key[-2]) * size - radius, int(key[-1]) * size - radius, size + 2 * radius
         h, w = pdf["h"].to_numpy() - top, pdf["w"].to_numpy() - left
-        arrays = []
+        arrays, mine = [], pdf["asked"].to_numpy(bool) & (h >= radius) & (h < radius + size) & (w >= radius) & (w < radius + size)
+        if not mine.any():  # all that came is halo
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in kind.names})
         for v in values:
             a = np.full((side, side), -np.inf)
             has = pdf[v].notna().to_numpy()
             np.maximum.at(a, (h[has], w[has]), pdf[v].to_numpy(np.float64)[has])
             arrays.append(np.where(np.isneginf(a), np.nan, a))
         wanted = np.zeros((side, side), bool)
-        wanted[h[pdf["asked"].to_numpy(bool)], w[pdf["asked"].to_numpy(bool)]] = True
+        wanted[h[mine], w[mine]] = True
         made = np.atleast_3d(np.moveaxis(np.asarray(kernel(*arrays)).reshape(-1, size, size), 0, -1))
         at = np.argwhere(wanted[radius : radius + size, radius : radius + size][:, :, None] & ~np.isnan(made))
-        return pd.DataFrame({"h": at[:, 0] + top + radius, "w": at[:, 1] + left + radius, "layer": at[:, 2].astype(np.int32), "value": made[tuple(at.T)]})
+        own = {c: pd.Series([k] * len(at), dtype=object) for c, k in zip(by, key)}
+        return pd.DataFrame(own | {"h": at[:, 0] + top + radius, "w": at[:, 1] + left + radius, "layer": at[:, 2].astype(np.int32), "value": made[tuple(at.T)]})
 
-    return with_halo(rows, radius, size).groupBy("th", "tw").applyInPandas(tile, "h long, w long, layer int, value double")
+    kind = T.StructType([*[rows.schema[c] for c in by], *[T.StructField(c, t) for c, t in zip(("h", "w", "layer", "value"), (T.LongType(), T.LongType(), T.IntegerType(), T.DoubleType()))]])
+    return with_halo(rows, radius, size).groupBy(*by, "th", "tw").applyInPandas(tile, kind)
 
 
 def shifted(a, radius, dh, dw):

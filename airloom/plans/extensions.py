@@ -53,11 +53,11 @@ def fusion_order(variables):
     return sorted(variables, key=lambda v: v != "O3")
 
 
-def ingested(spark, sources) -> DataFrame:
-    """Observations of ``sources`` [(feed, arguments)] by the registered feeds, as one table with the feed's name."""
+def ingested(spark, sources, feeds=None) -> DataFrame:
+    """Observations of ``sources`` [(feed, arguments)] by the registered feeds (or ``feeds``), as one table with the feed's name."""
     out = None
     for name, arguments in sources:
-        rows = FEEDS[name](spark, *arguments).select("var", "source_id", "ts", "value", F.lit(name).alias("feed"))
+        rows = (feeds or FEEDS)[name](spark, *arguments).select("var", "source_id", "ts", "value", F.lit(name).alias("feed"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

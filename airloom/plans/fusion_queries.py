@@ -6,6 +6,7 @@ from airloom.functions import geo, physics, text
 from airloom.operators import fusion as f
 from airloom.operators import quality as q
 from airloom.operators import temporal as t
+from airloom.sources import sinks
 from airloom.sources.adapters import EMISSIONS, OBS, emissions, observations
 from airloom.sources.store import written
 
@@ -197,7 +198,7 @@ def k8(spark, sf):
 def k9(spark, sf):
     from airloom.sources.adapters import stations
 
-    return observations(spark, sf).select("source_id").distinct().join(stations(spark, sf).select(c("alias1").alias("source_id")), "source_id", "left_anti")
+    return sinks.new_rows(observations(spark, sf).select("source_id").distinct(), stations(spark, sf).select(c("alias1").alias("source_id")), ["source_id"])
 
 
 @query("K13_weekly_master", f"WITH {HOURLY}, s AS (SELECT var, sys_hour, avg(value) AS v FROM hourly GROUP BY ALL) SELECT var, sys_hour // 168 AS week, round(avg(0.8 + v / 200), 4) AS master FROM s GROUP BY ALL")

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from airloom.sources import files, layers
+from airloom.operators import spatial
+from airloom.sources import files, layers, sinks
 from airloom.sources.adapters import OBS, observations, table
 
 from .base import TIE, query
@@ -46,15 +47,37 @@ def s8_layers(spark, sf):
     return rows.select("var", "valid_hour", "grid_id", "h", "w", r(c("lat") + TIE, 5).alias("lat"), r(c("lon") + TIE, 5).alias("lon"), r(c("value")).alias("value"), "maturity")
 
 
-@query("S11_hourly_layers", f"""WITH {LAYERS}, pairs AS (SELECT var, valid_hour AS a, grid_id AS before, lead(valid_hour) OVER w AS b, lead(grid_id) OVER w AS after FROM chosen WINDOW w AS (PARTITION BY var ORDER BY valid_hour)),
+HOURS = """pairs AS (SELECT var, valid_hour AS a, grid_id AS before, lead(valid_hour) OVER w AS b, lead(grid_id) OVER w AS after FROM chosen WINDOW w AS (PARTITION BY var ORDER BY valid_hour)),
 gaps AS (SELECT *, unnest(range(a + 1, b)) AS valid_hour FROM pairs WHERE b > a + 1),
-made AS (SELECT g.var, g.valid_hour, x.h, x.w, x.value * (1 - (g.valid_hour - a) / (b - a)) + y.value * ((g.valid_hour - a) / (b - a)) AS value, true AS filled FROM gaps g JOIN kept x ON x.grid_id = before JOIN kept y ON y.grid_id = after AND y.h = x.h AND y.w = x.w)
-SELECT var, valid_hour, h, w, round(value + {TIE}, 4) AS value, filled FROM (SELECT var, valid_hour, h, w, value, false AS filled FROM kept UNION ALL SELECT * FROM made)""")
+made AS (SELECT g.var, g.valid_hour, x.h, x.w, x.value * (1 - (g.valid_hour - a) / (b - a)) + y.value * ((g.valid_hour - a) / (b - a)) AS value, true AS filled FROM gaps g JOIN kept x ON x.grid_id = before JOIN kept y ON y.grid_id = after AND y.h = x.h AND y.w = x.w),
+hours AS (SELECT var, valid_hour, h, w, value, false AS filled FROM kept UNION ALL SELECT * FROM made)"""
+
+
+@query("S11_hourly_layers", f"WITH {LAYERS}, {HOURS} SELECT var, valid_hour, h, w, round(value + {TIE}, 4) AS value, filled FROM hours")
 def s11(spark, sf):
     heads, cells = tables(spark, sf)
     return layers.hourly_cells(layers.layers(heads, cells, BOX), cells, BOX).withColumn("value", r(c("value") + TIE))
 
 
+@query("X56_regional_fields", f"""WITH {LAYERS}, {HOURS}, k AS (SELECT unnest([0, 1]) AS i), f AS (SELECT var, valid_hour, h, w, k.i, l.i AS j FROM hours, k, k l),
+p AS (SELECT f.var, f.valid_hour, f.h * 2 + i AS fh, f.w * 2 + j AS fw, b.value, greatest(0.0625, power(f.h + (i + 0.5) / 2 - 0.5 - b.h, 2) + power(f.w + (j + 0.5) / 2 - 0.5 - b.w, 2)) AS d2 FROM f JOIN hours b ON b.var = f.var AND b.valid_hour = f.valid_hour AND b.h BETWEEN f.h - 1 AND f.h + 1 AND b.w BETWEEN f.w - 1 AND f.w + 1)
+SELECT var, valid_hour, fh, fw, round(sum(value / d2) / sum(1 / d2) + {TIE}, 3) AS background FROM p GROUP BY var, valid_hour, fh, fw""")
+def x56_fields(spark, sf):
+    """The regional model's field of each variable and hour, layers and what lies between them, on cells of half the size, for the archive."""
+    heads, cells = tables(spark, sf)
+    by = ("var", "valid_hour")
+    fields = layers.hourly_cells(layers.layers(heads, cells, BOX), cells, BOX)
+    return spatial.refined(fields.select(*by, "h", "w", "value"), 2, by, 8).select(*by, "fh", "fw", r(c("value") + TIE, 3).alias("background"))
+
+
+@query("K3_grid_series", f"WITH {LAYERS}, {HOURS}, g AS (SELECT var, valid_hour, h, min(w) AS w0, max(w) AS w1, map_from_entries(list((w, value))) AS m FROM hours GROUP BY ALL) SELECT var, valid_hour, h, w0, list_transform(range(w0, w1 + 1), lambda x: round(m[x] + {TIE}, 3)) AS values FROM g")
+def k3_series(spark, sf):
+    """Each variable's fields as rows of arrays by time, as exchange formats hold them."""
+    heads, cells = tables(spark, sf)
+    rows = sinks.grid_series(layers.hourly_cells(layers.layers(heads, cells, BOX), cells, BOX), ("var", "valid_hour"))
+    return rows.withColumn("values", F.transform("values", lambda x: r(x + TIE, 3)))
+
+
 #: Orders as files of three sources: 60 days, four runs a day, eight chunks of six hours.
 RUNS = "files AS (SELECT 'H' || CAST(o_custkey % 3 AS VARCHAR) AS source, o_orderkey // 32 % 60 * 24 + o_orderkey % 4 * 6 AS run_hour, o_orderkey // 4 % 8 AS chunk FROM orders GROUP BY ALL)"
 FIRST, LAST = 120, 1000

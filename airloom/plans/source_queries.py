@@ -43,8 +43,8 @@ def s6(spark, sf):
 def s1(spark, sf):
     """A built-in feed and one that a user adds, as one table of observations."""
     path = observation_lines(spark, sf)
-    extensions.FEEDS["doubled"] = lambda spark, paths: files.long_observations(spark, paths, scale=2.0)
-    rows = extensions.ingested(spark, [("text", (path,)), ("doubled", (path,))])
+    feeds = extensions.FEEDS | {"doubled": lambda spark, paths: files.long_observations(spark, paths, scale=2.0)}
+    rows = extensions.ingested(spark, [("text", (path,)), ("doubled", (path,))], feeds)
     return rows.groupBy("feed", "var").agg(F.count(lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
 
 

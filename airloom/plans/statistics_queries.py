@@ -4,12 +4,16 @@ from pyspark.sql import functions as F
 
 from airloom.functions import physics
 from airloom.operators import fusion as f
+from airloom.operators import temporal as t
+from airloom.sources import sinks
 from airloom.sources.adapters import EMISSIONS, OBS, emissions, observations
 from airloom.sources.store import written
 
 from .base import TIE, query
-from .fusion_queries import ADJUST, COMPONENTS, EXPECTED, N_CAT, adjustments, expected, fold_sql, inputs, smoothed_and_filled
+from .fusion_queries import ADJUST, COMPONENTS, EXPECTED, N_CAT, SERIES_OF, adjustments, expected, fold_sql, inputs, smoothed_and_filled
 from .quality_queries import HOURLY
+from .source_queries import folder
+from .time_queries import FORECAST
 
 c, lit = F.col, F.lit
 r = lambda x, n=4: F.round(x + TIE, n)
@@ -69,6 +73,27 @@ def k4_lines(spark, sf):
     )
 
 
+AHEAD = f"WITH {SERIES_OF}, {FORECAST} SELECT var, source_id AS cat, sys_hour, value FROM forecast"
+
+
+@query("K5_forecast_lines", f"""WITH {COMPONENTS}{ADJUST.removeprefix(HOURLY)}, ahead AS ({AHEAD}), factors AS (SELECT var, sys_hour, {FACTORS.replace('factor', 'value')} FROM ahead GROUP BY ALL), last AS (SELECT var, max(sys_hour) AS last FROM adj GROUP BY var),
+own AS (SELECT * FROM comp QUALIFY row_number() OVER (PARTITION BY var, source_id ORDER BY sys_hour DESC) = 1)
+SELECT var, source_id, f.sys_hour, f.sys_hour - last AS lead, round(c0 + {TIE}, 4) AS c0, round(c1 + {TIE}, 4) AS c1, round(c2 + {TIE}, 4) AS c2, round(c3 + {TIE}, 4) AS c3, round(greatest(0, p0 + c0 + p1 * c1 + p2 * c2 + p3 * c3) + {TIE}, 3) AS prediction FROM own JOIN factors f USING (var) JOIN last USING (var)""")
+def k5_lines(spark, sf):
+    """A line for each station and filled hour to come: the factors of that hour, and the prediction with the parts of the station's last hour; written and read back as delimited text."""
+    a = adjustments(spark, sf).withColumnRenamed("factor", "value")
+    ahead = written(t.forecast_filled(a, 24, ["var", "cat"]))
+    factors = ahead.groupBy("var", "sys_hour").pivot("cat", list(range(N_CAT))).agg(F.first("value"))
+    start = ahead.groupBy("var").agg((F.min("sys_hour") - 1).alias("last"))
+    own = expected(spark, sf).groupBy("var", "source_id").agg(F.max_by("parts", "sys_hour").alias("p"))
+    rows = own.join(factors, "var").join(F.broadcast(start), "var")  # a row a variable
+    total = c("p")[0] + c("0") + sum(c("p")[k] * c(str(k)) for k in range(1, N_CAT))
+    lines = rows.select("var", "source_id", "sys_hour", (c("sys_hour") - c("last")).alias("lead"), *[r(c(str(k))).alias(f"c{k}") for k in range(N_CAT)], r(F.greatest(lit(0.0), total), 3).alias("prediction"))
+    path = folder(spark, "forecast")
+    sinks.statistics(lines, path)
+    return spark.read.schema(lines.schema).option("sep", ";").option("header", "true").csv(path)
+
+
 WEAR = " ".join(f"WHEN {k} THEN {v}" for k, v in physics.WEAR.items())
 SWING = "(1 + 0.6 * cos((({h}) - 8) * pi() / 12)) / 24"
 

@@ -15,9 +15,10 @@ def statistics(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
 
 
-def grid_series(cells: DataFrame) -> DataFrame:
-    """Rows of a grid as arrays, for exchange formats; one row for each time and grid row, so no array spans a whole grid."""
-    return cells.groupBy("sys_hour", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "value"))), lambda x: x["value"]).alias("values"))
+def grid_series(cells: DataFrame, keys=("sys_hour",)) -> DataFrame:
+    """``(*keys, h, w0, values)``: rows of grids as arrays from column ``w0`` on, for exchange formats; gaps are null. A row for each time and grid row, so no array spans a whole grid."""
+    rows = cells.groupBy(*keys, "h").agg(F.min("w").alias("w0"), F.max("w").alias("w1"), F.map_from_entries(F.collect_list(F.struct("w", "value"))).alias("m"))
+    return rows.select(*keys, "h", "w0", F.transform(F.sequence("w0", "w1"), lambda w: F.try_element_at("m", w)).alias("values"))
 
 
 def saved_state(state: DataFrame, path: str, last_hour: int, keep_days: int = 93) -> None:
