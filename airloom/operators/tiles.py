@@ -40,29 +40,59 @@ def windows(rows: DataFrame, radius: int, kernel, size: int = TILE, values=("val
     """``(*by, h, w, layer, value)`` of ``rows(*by, h, w, *values, asked)``: what ``kernel(*arrays)`` makes of a tile's arrays with a halo of ``radius`` cells, for each
     grid that the columns ``by`` tell apart.
 
-    The kernel gives one array of the tile without its halo, or a stack of them (layers); NaN is left out.
+    The kernel gives one array of the tile without its halo, or a stack of them (layers); NaN is left out. Tiles stream through the tasks in order, and a task holds one.
     """
 
-    def tile(key, pdf):
+    keys = [*by, "th", "tw"]
+
+    def tile(key, h, w, wanted, data):
         top, left, side = int(key[-2]) * size - radius, int(key[-1]) * size - radius, size + 2 * radius
-        h, w = pdf["h"].to_numpy() - top, pdf["w"].to_numpy() - left
-        arrays, mine = [], pdf["asked"].to_numpy(bool) & (h >= radius) & (h < radius + size) & (w >= radius) & (w < radius + size)
+        h, w = h - top, w - left
+        mine = wanted & (h >= radius) & (h < radius + size) & (w >= radius) & (w < radius + size)
         if not mine.any():  # all that came is halo
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in kind.names})
-        for v in values:
-            a = np.full((side, side), -np.inf)
-            has = pdf[v].notna().to_numpy()
-            np.maximum.at(a, (h[has], w[has]), pdf[v].to_numpy(np.float64)[has])
+            return None
+        arrays = []
+        for v in data:
+            a, has = np.full((side, side), -np.inf), ~np.isnan(v)
+            np.maximum.at(a, (h[has], w[has]), v[has])
             arrays.append(np.where(np.isneginf(a), np.nan, a))
-        wanted = np.zeros((side, side), bool)
-        wanted[h[mine], w[mine]] = True
-        made = np.atleast_3d(np.moveaxis(np.asarray(kernel(*arrays)).reshape(-1, size, size), 0, -1))
-        at = np.argwhere(wanted[radius : radius + size, radius : radius + size][:, :, None] & ~np.isnan(made))
-        own = {c: pd.Series([k] * len(at), dtype=object) for c, k in zip(by, key)}
-        return pd.DataFrame(own | {"h": at[:, 0] + top + radius, "w": at[:, 1] + left + radius, "layer": at[:, 2].astype(np.int32), "value": made[tuple(at.T)]})
+        own = np.zeros((size, size), bool)
+        own[h[mine] - radius, w[mine] - radius] = True
+        made = np.moveaxis(np.asarray(kernel(*arrays)).reshape(-1, size, size), 0, -1)
+        at = np.argwhere(own[:, :, None] & ~np.isnan(made))
+        return at[:, 0] + top + radius, at[:, 1] + left + radius, at[:, 2].astype(np.int32), made[tuple(at.T)]
+
+    def frame(made):
+        parts = [np.concatenate(x) for x in zip(*[m for _, m in made])]
+        own = {c: pd.Series([k[i] for k, m in made for _ in range(len(m[0]))], dtype=object) for i, c in enumerate(by)}
+        return pd.DataFrame(own | dict(zip(("h", "w", "layer", "value"), parts)))
+
+    def run(batches):
+        made, n, key, held = [], 0, None, []
+
+        def closed():
+            found = tile(key, *[np.concatenate(x) for x in list(zip(*held))[:3]], [np.concatenate(x) for x in list(zip(*held))[3:]]) if held else None
+            return [(key, found)] if found is not None else []
+
+        for pdf in batches:
+            columns = [pdf[c].to_numpy() for c in keys]
+            starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()] if len(pdf) else []
+            arrays = [pdf["h"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64), pdf["asked"].to_numpy(bool), *[pdf[v].to_numpy(np.float64) for v in values]]
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                k = tuple(c[lo] for c in columns)
+                if k != key:
+                    made += closed()
+                    key, held, n = k, [], sum(len(m[0]) for _, m in made)
+                    if n >= 50_000:
+                        yield frame(made)
+                        made = []
+                held.append([a[lo:hi] for a in arrays])
+        made += closed()
+        if made:
+            yield frame(made)
 
     kind = T.StructType([*[rows.schema[c] for c in by], *[T.StructField(c, t) for c, t in zip(("h", "w", "layer", "value"), (T.LongType(), T.LongType(), T.IntegerType(), T.DoubleType()))]])
-    return with_halo(rows, radius, size).groupBy(*by, "th", "tw").applyInPandas(tile, kind)
+    return with_halo(rows, radius, size).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, kind)
 
 
 def shifted(a, radius, dh, dw):
