@@ -16,6 +16,7 @@ that comes first by document and place is shared. Other columns are not read.
 """
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,20 +34,25 @@ from .common import session, table, written
 CUT_BITS = 9
 MAX_CHUNK = 2048
 MAX_SHARED = 8192
-#: Words and chunks that a worker keeps encoded (about 25 and 5 MB). Words are kept in two halves: when one is full, the older goes.
-MAX_WORDS = 160_000
+#: Words and chunks that a worker keeps encoded (about 40 and 5 MB). Words are kept in two halves: when one is full, the older goes.
+MAX_WORDS = 240_000
 MAX_CHUNKS = 4_000
-#: Words encoded by one call, which needs some hundred bytes for each of their bytes.
-CALL_WORDS = 2_000
+#: New words encoded by one call: short calls pay for the call, long ones for the offsets that the library keeps.
+CALL_WORDS = 100
+#: Chunks whose new words are gathered before they are encoded.
+GROUP = 64
 #: A special token of the vocabulary; no token of a text without "<|" is one.
 PART = "<|endoftext|>"
 BLANK = re.compile(rb"[\x20\x09\x0a\x0d]")
+#: Letters, and ASCII signs after them: at least one word of the tokenizer, at least two with signs.
+PLAIN = re.compile(r"([^\W\d_]+)[!-/:-@\[-`{-~]*")
 HASH_BLOCK = 1 << 22
 
 
 def tokenizer(vocabulary):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     found = Tokenizer.from_file(vocabulary)
     found.no_truncation()
     found.no_padding()
@@ -85,83 +91,128 @@ def chunks(raw):
 
 @lru_cache(maxsize=2)
 def loaded(vocabulary):
-    """(tokenizer, ids as bytes, token of each id, encoded words), kept by a Python worker from task to task."""
+    """(tokenizer, ids as bytes, token of each id, whether each id ends a word, encoded words), kept by a Python worker from task to task."""
     found = tokenizer(vocabulary)
     ids = [str(i).encode() for i in range(found.get_vocab_size())]
-    return found, ids, {x: (found.id_to_token(i) or "").encode() for i, x in enumerate(ids)}, [{}, {}]
+    tokens = [found.id_to_token(i) or "" for i in range(len(ids))]
+    suffix = found.model.end_of_word_suffix
+    ends = [bool(suffix) and x.endswith(suffix) for x in tokens]
+    return found, ids, {x: t.encode() for x, t in zip(ids, tokens)}, ends, [{}, {}]
 
 
 class Coder:
     """Encodes texts chunk by chunk; an encoded part is its ids joined by spaces, as bytes."""
 
     def __init__(self, vocabulary, shared=None):
-        self.tokenizer, self.ids, self.pieces, self.words = loaded(vocabulary)
+        self.tokenizer, self.ids, self.pieces, self.ends, self.words = loaded(vocabulary)
         self.known, self.shared = {}, shared or {}
 
+    def ids_of(self, x):
+        """The ids of a string; the fast call keeps no offsets."""
+        return self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids
+
     def keep(self, word, ids):
         self.words[0][word] = b" ".join([self.ids[i] for i in ids])
 
     def learn(self, words):
-        """Encodes words that aren't kept yet, many at once: each ends at a blank, so each stands alone, and a special token parts them."""
-        plain = [w for w in words if b"<|" not in w]
-        for w in words if len(plain) < len(words) else ():
+        """Encodes words that aren't kept yet, many at once: each ends at a blank, so each stands alone."""
+        plain, other = [], []
+        for w in words:
+            x = w.decode("utf-8", "replace")
             if b"<|" in w:
-                self.keep(w, self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        end = self.tokenizer.token_to_id(PART)
+                self.keep(w, self.ids_of(x))
+            else:
+                m = PLAIN.fullmatch(x)
+                (plain if m else other).append((w, x, 1 + (m.end(1) < len(x)) if m else 0))
         for lo in range(0, len(plain), CALL_WORDS):
-            some, at = plain[lo : lo + CALL_WORDS], 0
-            ids = self.tokenizer.encode(PART.join([w.decode("utf-8", "replace") for w in some]), add_special_tokens=False).ids
-            for w in some[:-1]:
-                to = ids.index(end, at)
-                self.keep(w, ids[at:to])
-                at = to + 1
-            self.keep(some[-1], ids[at:])
-
-    def encode_words(self, words):
-        """The ids of blank-separated words."""
+            self.learn_by_ends(plain[lo : lo + CALL_WORDS])
+        for lo in range(0, len(other), CALL_WORDS):
+            self.learn_parted(other[lo : lo + CALL_WORDS])
+
+    def learn_by_ends(self, words):
+        """Cuts the ids of words of known least numbers of ends; if there are more ends in all, some word has more of them."""
+        ids = self.ids_of(" ".join([x for _, x, _ in words]))
+        ends = [k for k, i in enumerate(ids, 1) if self.ends[i]]
+        if len(ends) != sum(n for _, _, n in words):
+            return self.learn_parted(words)
+        known, ids, at, c = self.words[0], [self.ids[i] for i in ids], 0, -1
+        for w, _, n in words:
+            c += n
+            known[w] = b" ".join(ids[at : ends[c]])
+            at = ends[c]
+
+    def learn_parted(self, words):
+        """A special token parts any words."""
+        end, at = self.tokenizer.token_to_id(PART), 0
+        ids = self.ids_of(PART.join([x for _, x, _ in words])) + [end]
+        for w, _, _ in words:
+            to = ids.index(end, at)
+            self.keep(w, ids[at:to])
+            at = to + 1
+
+    def prepare(self, words):
+        """Keeps a set of words that the newer half has not."""
         known, old = self.words
-        missing = set(words).difference(known)
-        if len(known) + len(missing) > MAX_WORDS // 2:
+        if len(known) + len(words) > MAX_WORDS // 2:
             self.words[:] = {}, known
             known, old = self.words
-            missing = set(words)
-        if missing:
-            again = missing & old.keys()
-            known.update((w, old[w]) for w in again)
-            self.learn(list(missing - again))
-        return b" ".join(filter(None, map(known.__getitem__, words)))
+        again = words & old.keys()
+        known.update((w, old[w]) for w in again)
+        self.learn(words - again)
+
+    def encode_words(self, lists):
+        """The ids of each list of words, joined; new words of all lists are encoded together."""
+        get = self.words[0].get
+        found = [list(map(get, words)) for words in lists]
+        gaps = [[k for k, x in enumerate(own) if x is None] for own in found]
+        self.prepare({words[k] for words, own in zip(lists, gaps) for k in own})
+        known = self.words[0]
+        for words, own, at in zip(lists, found, gaps):
+            for k in at:
+                own[k] = known[words[k]]
+        return [b" ".join(filter(None, own)) for own in found]
 
     def split(self, chunk):
-        """(head, encoded middle, tail): the middle lies between the chunk's first and last blank; without blanks all is head."""
+        """(head, words, tail): the words lie between the chunk's first and last blank; without blanks all is head and words are None."""
         first = BLANK.search(chunk)
         if not first:
             return chunk, None, b""
         last = max(map(chunk.rfind, (b" ", b"\t", b"\n", b"\r")))
-        return chunk[: first.start()], self.encode_words(re.split(BLANK, chunk[first.end() : last])) if last > first.start() else b"", chunk[last + 1 :]
+        return chunk[: first.start()], re.split(BLANK, chunk[first.end() : last]) if last > first.start() else [], chunk[last + 1 :]
 
     def chunk(self, chunk):
-        found = self.shared.get(chunk) or self.known.get(chunk)
-        if not found:
-            found = self.split(chunk)
-            if len(self.known) >= MAX_CHUNKS:
-                self.known.clear()
-            self.known[chunk] = found
-        return found
+        """(head, encoded middle, tail)."""
+        head, words, tail = self.split(chunk)
+        if words is None:
+            return head, None, tail
+        return head, *self.encode_words([words]), tail
 
     def encode(self, text):
         """(ids joined by spaces, tokens joined by spaces, count) of a whole text, as bytes."""
-        parts, join = [], b""
-        for piece in chunks((text or "").encode("utf-8", "replace")):
-            head, middle, tail = self.chunk(piece)
-            join += head
-            if middle is None:
-                continue
-            if join:
-                parts.append(self.encode_words([join]))
-            parts.append(middle)
-            join = tail
+        parts, join, pieces = [], b"", chunks((text or "").encode("utf-8", "replace"))
+        for lo in range(0, len(pieces), GROUP):
+            todo = []
+            for piece in pieces[lo : lo + GROUP]:
+                head, middle, tail = found = self.shared.get(piece) or self.known.get(piece) or self.split(piece)
+                join += head
+                if middle is None:
+                    continue
+                if join:
+                    todo.append((len(parts), None, found, [join]))
+                    parts.append(b"")
+                if isinstance(middle, list):
+                    todo.append((len(parts), piece, found, middle))
+                    middle = b""
+                parts.append(middle)
+                join = tail
+            for (at, piece, (head, _, tail), _), ids in zip(todo, self.encode_words([words for *_, words in todo])):
+                parts[at] = ids
+                if piece is not None:
+                    if len(self.known) >= MAX_CHUNKS:
+                        self.known.clear()
+                    self.known[piece] = head, ids, tail
         if join:
-            parts.append(self.encode_words([join]))
+            parts += self.encode_words([[join]])
         ids = b" ".join(filter(None, parts))
         each = ids.split()
         return ids, b" ".join(map(self.pieces.__getitem__, each)), len(each)
@@ -201,7 +252,7 @@ def dictionary(docs: DataFrame, vocabulary: str, max_shared: int = MAX_SHARED) -
     def encoded(batches):
         coder = Coder(vocabulary)
         for batch in batches:
-            yield pd.DataFrame([(c, *coder.split(bytes(c))) for c in batch["chunk"]], columns=kind.names)
+            yield pd.DataFrame([(c, *coder.chunk(bytes(c))) for c in batch["chunk"]], columns=kind.names)
 
     rows = shared_chunks(docs, max_shared).limit(max_shared).mapInPandas(encoded, kind).collect()
     return {bytes(r.chunk): (bytes(r.head), None if r.ids is None else bytes(r.ids), bytes(r.tail)) for r in rows}
