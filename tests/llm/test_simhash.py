@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from airloom.llm import simhash_dedup as s
@@ -36,7 +37,15 @@ def test_fingerprints():
         assert simhash(t) == brute(t)
 
 
-def test_links_and_components_match_brute_force(spark):
+def test_blocks_follow_the_count():
+    for n in s.BLOCKS:
+        own = s.blocks(n)
+        assert sum(own) == (1 << 64) - 1 and all(m.bit_count() % 2 == 0 for m in own)
+    assert [s.blocks_for(10**k) for k in (0, 6, 8, 9, 10, 11)] == [8, 8, 8, 10, 12, 12]
+
+
+@pytest.mark.parametrize("n", [None, *s.BLOCKS])
+def test_links_and_components_match_brute_force(spark, n):
     rng = random.Random(5)
     fps = {0}
     for _ in range(40):
@@ -47,7 +56,7 @@ def test_links_and_components_match_brute_force(spark):
                 x ^= 1 << rng.randrange(64)
     fps = [s.signed(x) for x in fps]
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    pairs = {(r.a, r.b) for r in s.links(df).collect()}
+    pairs = {(r.a, r.b) for r in s.links(df, n).collect()}
     a = np.array(sorted(fps), np.int64)
     want = {(int(x), int(y)) for i, x in enumerate(a) for y in a[i + 1 :] if bin(int(np.uint64(x) ^ np.uint64(y))).count("1") <= 4}
     assert pairs == want
