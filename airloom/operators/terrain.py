@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions import sun
+from airloom.sources.store import small, written
 
 from . import tiles
 
@@ -21,6 +22,8 @@ OVERALL, OWN, BESIDE, TURN = 0.05, 0.35, 0.3, 3
 NEAR, FAR = 9, 10
 #: Cells of a ray towards the sun; nearer than this the ground counts as level.
 REACH, LEVEL_M = 25, 25.0
+#: Times of the sun are broadcast up to this many (about 30 MB); beyond it the join shuffles.
+MAX_TIMES = 500_000
 
 
 def surface_roughness(kind: Column, height_m: Column, area_m2: Column, vegetation: Column) -> Column:
@@ -91,8 +94,12 @@ def horizons(cells: DataFrame, cell_m: float, size: int = tiles.TILE) -> DataFra
 
 
 def shaded_power(places: DataFrame, horizon: DataFrame) -> DataFrame:
-    """``places(h, w, lat, lon, sec)`` while the sun is up, with ``elevation`` and ``power``, which is 0 where the horizon in the sun's sector is higher."""
-    elevation, azimuth = sun.position(F.col("sec"), F.col("lat"), F.col("lon"))
-    up = places.withColumns({"elevation": elevation, "sector": F.floor(azimuth / STEP).cast("int")}).filter("elevation > 0")
-    seen = up.join(horizon, ["h", "w", "sector"])
+    """``places(h, w, lat, lon, sec)`` while the sun is up, with ``elevation`` and ``power``, which is 0 where the horizon in the sun's sector is higher.
+
+    The sun's place in the sky is worked out once for each time: written out in every row's filter, it makes code that the JVM doesn't compile."""
+    star, ascension, declination = sun.sky(F.col("sec"))
+    times = small(written(places.select("sec").distinct().withColumns({"_star": star, "_ascension": ascension, "_declination": declination})), MAX_TIMES)
+    elevation, azimuth = sun.seen(F.col("_star"), F.col("_ascension"), F.col("_declination"), F.col("lat"), F.col("lon"))
+    up = places.join(times, "sec").withColumns({"elevation": elevation, "sector": F.floor(azimuth / STEP).cast("int")}).filter("elevation > 0").drop("_star", "_ascension", "_declination")
+    seen = up.join(horizon.hint("merge"), ["h", "w", "sector"])  # a grid's file is far smaller than its sectors' rows, so Spark would broadcast them
     return seen.withColumn("power", F.when(F.col("horizon") > F.col("elevation"), 0.0).otherwise(sun.power(F.col("elevation"))))
