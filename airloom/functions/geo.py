@@ -58,7 +58,9 @@ def wind_components(direction: Column, speed: Column):
 
 
 def wind_direction(north: Column, east: Column) -> Column:
-    return F.pmod(F.degrees(F.atan2(-east, -north)) + 360.0, F.lit(360.0))
+    """A calm keeps the side that the sign of its northern zero tells, as by IEEE arithmetic; Spark's atan2 drops that sign."""
+    southerly = (north == 0) & (east == 0) & (F.pow(north, F.lit(-1.0)) > 0)
+    return F.when(southerly, 180.0).otherwise(F.pmod(F.degrees(F.atan2(-east, -north)) + 360.0, F.lit(360.0)))
 
 
 def wind_speed(north: Column, east: Column) -> Column:

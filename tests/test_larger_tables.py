@@ -9,6 +9,6 @@ from .oracle import connection, difference
 SF = "/root/testdata/sf0.1"
 
 
-@pytest.mark.parametrize("name", ["J15_station_of_road", "J2_nearest_in_radius"])
+@pytest.mark.parametrize("name", ["J15_station_of_road", "J2_nearest_in_radius", "G11_wind_direction"])
 def test_matches_sql_at_a_tenth(spark, name):
     assert difference(registry.queries()[name](spark, SF), registry.oracle_sql()[name], connection(SF)) == ""
