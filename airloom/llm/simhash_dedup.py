@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 from .common import session, table, written
 from .components import components
-from .near_dedup import near_unique  # noqa: F401
 from .textops import simhash
 
 BITS = 4
