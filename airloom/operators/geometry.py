@@ -4,11 +4,19 @@ A way is an array of node ids; its coordinates become an array of points in the
 Areas are in the plane of a point's own latitude, relative to that point, so nothing is lost to large coordinates.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airloom.functions.geo import DEGREE_M, distance_m
-from airloom.sources.store import written
+from airloom.sources.store import small, spread, written
+
+#: Most ways of a group that a task joins at once; larger groups are joined by all tasks together.
+GROUP = 20_000
+PLACES = T.StructType([T.StructField("chain", T.LongType()), T.StructField("at", T.LongType()), T.StructField("back", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("closed", T.BooleanType())])
 
 
 def located(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,13 +79,107 @@ def contracted(parts: DataFrame, by: list, turn: int) -> DataFrame:
     return met.filter("first and x.part <> y.part").select(*by, "x", "y")
 
 
-def chains(ends: DataFrame, by: list) -> DataFrame:
-    """``(*by, way_id, chain, at, back, n, closed)``: ways ``(*by, way_id, a, b)`` joined end to end at nodes ``a`` and ``b``.
+def group_numbers(rows: pa.Table, by: list) -> np.ndarray:
+    """Numbers of the groups of rows that stand together."""
+    new = np.zeros(len(rows), bool)
+    for k in by:
+        codes = pc.fill_null(rows[k].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(new)
+
 
-    ``chain`` is the smallest way of a chain of ``n`` ways, ``at`` a way's place in it and ``back`` whether it is passed from b to a; a closed chain starts with
-    its smallest way, which no chain passes backwards. Each turn merges pairs of neighbours, so the number of turns grows with the
-    logarithm of the longest chain, and no chain is ever held by a task.
+def followed(step: np.ndarray, low: np.ndarray):
+    """``(last, count, least)`` of each walk along ``step`` (-1 ends it): its last place, the steps to it and the smallest ``low`` on the way, in doubling strides.
+
+    A walk that never ends has passed all its places, and its last one still has a step."""
+    jump, count = np.where(step < 0, np.arange(len(step)), step), (step >= 0).astype(np.int64)
+    seen = 1
+    while True:
+        low = np.minimum(low, low[jump])
+        count, jump, seen = count + count[jump], jump[jump], 2 * seen
+        going = step[jump] >= 0
+        if not going.any() or seen > len(step):
+            return jump, count, low
+
+
+def joined_ways(group: np.ndarray, way: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """``(chain, at, back, n, closed)`` of ``chains`` for whole groups. A way passed from side s on has the place ``2 * way + s``."""
+    m = len(way)
+    node, owner, side = np.column_stack([a, b]).ravel(), np.repeat(np.arange(m), 2), np.tile([0, 1], m)
+    order = np.lexsort((side, way[owner], node, group[owner]))
+    order = order[(a != b)[owner[order]]]
+    same = (node[order][1:] == node[order][:-1]) & (group[owner[order]][1:] == group[owner[order]][:-1])
+    first = np.r_[True, ~same][: len(order)]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    second = np.flatnonzero(place % 2 == 1)
+    partner = np.full(2 * m, -1)
+    partner[order[second]], partner[order[second - 1]] = order[second - 1], order[second]
+    step = partner[np.arange(2 * m) ^ 1]
+    by_id = np.argsort(way, kind="stable")
+    rank = np.empty(m, np.int64)
+    rank[by_id] = np.arange(m)
+    last, _, least = followed(step, np.repeat(rank, 2))
+    start = by_id[np.minimum(least[::2], least[1::2])]
+    closed = (step[last] >= 0)[::2]
+    cut = (step >= 0) & closed[owner] & (step // 2 == start[owner])
+    last, count, _ = followed(np.where(cut, -1, step), np.repeat(rank, 2))
+    back = last[::2] != last[2 * start]
+    n = count[2 * start] + np.where(closed, 0, count[2 * start + 1]) + 1
+    at = n - 1 - count[2 * np.arange(m) + back]
+    return way[start], at, back, n, closed | (a == b)
+
+
+def grouped_chains(ends: DataFrame, by: list, rows: int) -> DataFrame:
+    """``chains`` of groups of at most ``GROUP`` ways, each joined in one task as it streams by."""
+    rest = [k for k in ends.columns if k not in ("a", "b")]
+
+    def joined(held: pa.Table, group: np.ndarray):
+        found = joined_ways(group, *(held[k].to_numpy() for k in ("way_id", "a", "b")))
+        table = held.select(rest)
+        for name, column in zip(PLACES.names, found):
+            table = table.append_column(name, pa.array(column))
+        return table.combine_chunks().to_batches()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            group = group_numbers(held, by)
+            whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if whole:
+                yield from joined(held.slice(0, whole), group[:whole])
+                held = held.slice(whole)
+        if held is not None:
+            yield from joined(held, group_numbers(held, by))
+
+    kind = T.StructType([ends.schema[k] for k in rest] + PLACES.fields)
+    return spread(ends, rows, *by).sortWithinPartitions(*by).mapInArrow(run, kind)
+
+
+def chains(ends: DataFrame, by: list, most: int = GROUP) -> DataFrame:
+    """``(*by, way_id, chain, at, back, n, closed)``: ways ``(*by, way_id, a, b)``, all long, joined end to end at nodes ``a`` and ``b``; further columns of ``ends`` come along.
+
+    ``chain`` is the smallest way of a chain of ``n`` ways, ``at`` a way's place in it and ``back`` whether it is passed from b to a; a chain's
+    smallest way is never passed backwards, and a closed chain starts with it. Groups (of equal ``by``) of more than ``most`` ways are contracted.
     """
+    sizes = written(ends.groupBy(*by).agg(F.count(F.lit(1)).alias("ways")))
+    total, largest = sizes.agg(F.sum("ways"), F.max("ways")).first()
+    if largest is None or largest <= most:
+        return grouped_chains(ends, by, total or 0)
+    large = small(sizes.filter(F.col("ways") > most).select(*by), 100_000)
+    match = lambda one, other: [one[k].eqNullSafe(other[k]) for k in by]
+    huge = written(ends.join(large, match(ends, large), "left_semi").withColumn("group", F.struct(*by)))  # a struct is equal to itself with nulls, too
+    found = contracted_chains(huge.select("group", "way_id", "a", "b"), ["group"]).join(huge, ["group", "way_id"])
+    found = found.select(*[k for k in ends.columns if k not in ("a", "b")], *PLACES.names)
+    return grouped_chains(ends.join(large, match(ends, large), "left_anti"), by, total).unionByName(found)
+
+
+def contracted_chains(ends: DataFrame, by: list) -> DataFrame:
+    """``chains`` of groups of any size: each turn merges pairs of neighbours, so the number of turns grows with the
+    logarithm of the longest chain, and no chain is ever held by a task."""
     whole = ends.filter("a <> b")
     parts = written(joints(whole, by).select(*by, F.col("way_id").alias("part"), "a", "b", F.lit(1).cast("long").alias("n")))
     ways = written(whole.select(*by, "way_id", F.col("way_id").alias("part"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("back")))
@@ -115,9 +217,8 @@ def relation_rings(relations: DataFrame, ways: DataFrame) -> DataFrame:
     p = F.col("points")
     measured = ways.filter(F.size("nodes") > 1).select("way_id", F.get("nodes", 0).alias("a"), F.element_at("nodes", -1).alias("b"), strip(p, False).alias("strip"), (F.element_at(p, -1)["lon"] - F.get(p, 0)["lon"]).alias("dx"), F.get(p, 0)["lat"].alias("low"), length_m(p).alias("length_m"), "n_missing")
     own = written(relations.join(measured, "way_id", "left"))
-    found = chains(own.filter("a is not null").select(*by, "way_id", "a", "b"), by)
+    each = chains(own.filter("a is not null and b is not null").drop("n_missing"), by).withColumn("sign", F.when(F.col("back"), -1).otherwise(1))
     lost = own.groupBy(*by).agg(F.count_if(F.col("a").isNull() | (F.col("n_missing") > 0)).alias("n_lost"))
-    each = found.join(own, [*by, "way_id"]).withColumn("sign", F.when(F.col("back"), -1).otherwise(1))
     sums = each.groupBy(*by, F.col("chain").alias("ring"), "closed").agg(
         F.count(F.lit(1)).alias("n_ways"), F.sum(F.col("sign") * (F.col("strip") + F.col("dx") * F.col("low"))).alias("strips"), F.min("low").alias("low"), F.sum("length_m").alias("length_m")
     )

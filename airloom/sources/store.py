@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PART_ROWS = 1_000_000
+
 
 def scratch_folder(spark) -> str:
     """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and Spark runs in this process."""
@@ -28,3 +30,9 @@ def written(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """A written table with a broadcast hint if a count shows at most ``max_rows`` rows; else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """``df`` by keys over partitions of about ``PART_ROWS`` of its ``rows``, so a task's rows don't grow with the table; small tables over as many as Spark would take."""
+    n = -(-rows // PART_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)

@@ -62,3 +62,22 @@ def test_measures(spark):
 
 def test_no_ways(spark):
     assert g.chains(spark.createDataFrame([], "rel long, way_id long, a long, b long"), ["rel"]).count() == 0
+
+
+def test_chains_of_groups_and_of_all_tasks_agree(spark):
+    """Joined in one task or contracted, with nodes where many ways end; further columns and groups of null come along."""
+    rng, rows = random.Random(5), []
+    for rel in [None, *range(40)]:
+        for way in rng.sample(range(1000), rng.choice([1, 2, 7, 30, 90])):
+            rows.append((rel, "outer" if way % 3 else None, way, rng.randrange(40), rng.randrange(40), None if way % 5 else way / 7))
+    df = spark.createDataFrame(rows, "rel long, role string, way_id long, a long, b long, more double")
+    found = {most: sorted(map(repr, g.chains(df, ["rel", "role"], most).collect())) for most in (10_000, 20, 0)}
+    assert len(found[0]) == len(rows) and found[0] == found[20] == found[10_000]
+
+
+def test_chains_of_small_groups_need_no_turns(spark, monkeypatch):
+    """One table of sizes is written, however long the chains are."""
+    df = spark.createDataFrame([(rel, 100 * rel + i, i, (i + 1) % 64) for rel in range(4) for i in range(64)], "rel long, way_id long, a long, b long")
+    tables = []
+    monkeypatch.setattr(g, "written", lambda x, keep=g.written: tables.append(x) or keep(x))
+    assert {(r.n, r.closed, r.at == r.way_id % 100) for r in g.chains(df, ["rel"]).collect()} == {(64, True, True)} and len(tables) == 1
