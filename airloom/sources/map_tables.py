@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .adapters import table
+from .store import spread
 
 #: Values of the tags by the way's number modulo 5.
 KINDS = {
@@ -29,22 +30,31 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(relation_id, role, way_id, q, k, m, next_way, priority)``: member ``k`` of the ``m`` of ring ``q``."""
     role = F.when(F.col("o_orderkey") % 4 == 0, "inner").otherwise("outer")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("relation_id"), role.alias("role"), F.col("o_orderkey").alias("way_id"), F.col("o_orderpriority").alias("priority"))
-    number = F.row_number().over(Window.partitionBy("relation_id", "role").orderBy("way_id")) - 1
-    o = o.withColumn("i", number).withColumns({"q": F.floor(F.col("i") / 6), "k": F.col("i") % 6})
-    ring = Window.partitionBy("relation_id", "role", "q")
-    after = F.coalesce(F.lead("way_id").over(ring.orderBy("k")), F.min("way_id").over(ring))
-    return o.withColumns({"m": F.count(F.lit(1)).over(ring), "next_way": after}).drop("i")
+    along = Window.partitionBy("relation_id", "role").orderBy("way_id")  # one order for all: a ring is six neighbours in it
+    o = o.withColumns({"i": F.row_number().over(along) - 1, "after": F.lead("way_id").over(along), "before": F.array(*[F.lag("way_id", j).over(along) for j in range(1, 6)])})
+    o = o.withColumns({"count": F.count(F.lit(1)).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "q": F.floor(F.col("i") / 6), "k": F.col("i") % 6})
+    o = o.withColumns({"m": F.least(F.lit(6), F.col("count") - 6 * F.col("q")), "first": F.when(F.col("k") == 0, F.col("way_id")).otherwise(F.get("before", F.col("k") - 1))})
+    return o.withColumn("next_way", F.when(F.col("k") == F.col("m") - 1, F.col("first")).otherwise(F.col("after"))).drop("i", "after", "before", "count", "first")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").cast("long").alias("line")).agg((F.min("l_partkey") % 4).alias("jitter"))
+def stops(spark: SparkSession, sf_dir: str) -> int:
+    """About the number of nodes of all ways, from the row counts in the files' footers."""
+    return table(spark, sf_dir, "orders").count() + table(spark, sf_dir, "lineitem").count()
+
+
+def lines(spark: SparkSession, sf_dir: str, junctions: bool = False) -> DataFrame:
+    """``(way_id, line, jitter)``, by way: what is grouped or joined by way moves no more. With ``junctions`` each way's own one is a line 0."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").cast("long").alias("line"), "l_partkey", F.lit(False).alias("junction"))
+    if junctions:
+        zero = F.lit(0).cast("long")
+        rows = rows.unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("way_id"), zero.alias("line"), zero.alias("l_partkey"), F.lit(True).alias("junction")))
+    return spread(rows, stops(spark, sf_dir), "way_id").groupBy("way_id", "line", "junction").agg((F.min("l_partkey") % 4).alias("jitter")).drop("junction")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(node_id, lat, lon)``."""
     m = members(spark, sf_dir)
-    first = m.select("*", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("jitter"))
-    each = first.unionByName(m.join(lines(spark, sf_dir), "way_id"))
+    each = m.join(lines(spark, sf_dir, junctions=True).hint("merge"), "way_id")
     angle = 2 * math.pi * (F.col("k") + F.col("line") / 8) / F.col("m")
     radius = F.when(F.col("role") == "inner", 0.002).otherwise(0.006) * (1 + 0.05 * F.col("jitter"))
     lat = 60 + F.col("relation_id") % 50 * 0.05 + F.col("q") * 0.015 + radius * F.sin(angle)
@@ -55,7 +65,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(way_id, nodes, tags, zone)``; ``zone`` is the functional land use around the way, if any."""
     inner = lines(spark, sf_dir).groupBy("way_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    m = members(spark, sf_dir).filter("way_id % 13 <> 0").join(inner, "way_id", "left")
+    m = members(spark, sf_dir).filter("way_id % 13 <> 0").join(inner.hint("merge"), "way_id", "left")
     own = F.transform(F.coalesce("lines", F.array().cast("array<long>")), lambda x: F.col("way_id") * 10 + x)
     along = F.concat(F.array(F.col("way_id") * 10), own, F.array(F.col("next_way") * 10))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("way_id") % 5 + 1).cast("int"))

@@ -33,6 +33,6 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
-    """``df`` by keys over partitions of about ``PART_ROWS`` of its ``rows``, so a task's rows don't grow with the table; small tables over as many as Spark would take."""
+    """``df`` by keys over partitions of at most about ``PART_ROWS`` of its ``rows``, which are not put together again, so a task's rows don't grow with the table."""
     n = -(-rows // PART_ROWS)
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys) if n > 1 else df.repartition(*keys)

@@ -2,6 +2,7 @@ import math
 import random
 
 from airloom.operators import geometry as g
+from airloom.sources import map_tables
 
 
 def passed(r, ends):
@@ -81,3 +82,14 @@ def test_chains_of_small_groups_need_no_turns(spark, monkeypatch):
     tables = []
     monkeypatch.setattr(g, "written", lambda x, keep=g.written: tables.append(x) or keep(x))
     assert {(r.n, r.closed, r.at == r.way_id % 100) for r in g.chains(df, ["rel"]).collect()} == {(64, True, True)} and len(tables) == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_map_tables_move_lines_once(spark):
+    """Orders by relation and by way, lines by way: three shuffles a table."""
+    for table in (map_tables.nodes, map_tables.ways):
+        text = plan(table(spark, "/root/testdata/sf0.01"))
+        assert text.count("Exchange hashpartitioning") == 3 and "Broadcast" not in text, text
