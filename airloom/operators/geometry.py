@@ -28,6 +28,32 @@ def located(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.join(found, "way_id", "left").withColumns({"points": F.coalesce("points", F.array().cast("array<struct<lat: double, lon: double>>")), "n_missing": F.coalesce("n_missing", F.lit(0).cast("long"))})
 
 
+def measured(ways: DataFrame, nodes: DataFrame, rows: int = 0) -> DataFrame:
+    """``ways`` (with about ``rows`` nodes in all) with ``low`` (latitude of the first point), ``dx`` (longitude from the first to the last), ``strip`` and ``length_m`` of the open line,
+    ``area_m2`` and ``around_m`` of the closed one, and ``n_missing``, the nodes that ``nodes(node_id, lat, lon)`` lacks.
+
+    Points are rows all along: no array of them is made, and a task sorts about ``PART_ROWS`` of them. Files are far smaller than their rows, so nothing is broadcast.
+    """
+    refs = spread(ways.select("way_id", F.posexplode("nodes").alias("pos", "node_id")), rows, "node_id")
+    known = spread(nodes.filter("lat is not null and lon is not null"), rows, "node_id")
+    points = spread(refs.join(known.hint("merge"), "node_id").drop("node_id"), rows, "way_id")
+    line = Window.partitionBy("way_id").orderBy("pos")
+    after = lambda k: F.lead(k).over(line)
+    steps = points.select("way_id", "pos", "lat", "lon", after("pos").alias("pos2"), after("lat").alias("next_lat"), after("lon").alias("next_lon"), F.first("lat").over(line).alias("low"), F.first("lon").over(line).alias("lon0"))
+    steps = steps.withColumns({"on": F.col("pos2").isNotNull(), "lat2": F.coalesce("next_lat", "low"), "lon2": F.coalesce("next_lon", "lon0")})
+    dx, amount = F.col("lon2") - F.col("lon"), distance_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    steps = steps.select("way_id", "low", "on", dx.alias("dx"), (dx * ((F.col("lat") + F.col("lat2")) / 2 - F.col("low"))).alias("strip"), amount.alias("m"), F.col("pos2").eqNullSafe(F.col("pos")).alias("twice"))
+    open_sum = lambda k: F.sum(F.when(F.col("on"), F.col(k)).otherwise(0.0))
+    sums = steps.groupBy("way_id").agg(
+        F.first("low").alias("low"), open_sum("dx").alias("dx"), open_sum("strip").alias("strip"), open_sum("m").alias("length_m"), F.sum("strip").alias("shut"), F.sum("m").alias("around_m"),
+        F.count(F.lit(1)).alias("n_points"), F.count_if(~F.col("twice")).alias("n_found"),
+    )
+    area = F.when(F.col("n_points") > 2, F.abs("shut") * DEGREE_M * DEGREE_M * F.cos(F.radians("low"))).otherwise(0.0)
+    zero = {k: F.coalesce(k, F.lit(0.0)) for k in ("strip", "length_m", "around_m")}
+    missing = F.greatest(F.coalesce(F.size("nodes"), F.lit(0)), F.lit(0)) - F.coalesce("n_found", F.lit(0))
+    return ways.join(sums.hint("merge"), "way_id", "left").withColumns(zero | {"area_m2": area, "n_missing": missing}).drop("shut", "n_points", "n_found")
+
+
 def edges(points: Column, closed: bool) -> Column:
     """Pairs (a, b) of neighbouring points; with the last and the first, if closed."""
     after = F.slice(points, 2, F.greatest(F.size(points), F.lit(1)))
@@ -208,15 +234,15 @@ def contracted_chains(ends: DataFrame, by: list) -> DataFrame:
 
 
 def relation_rings(relations: DataFrame, ways: DataFrame) -> DataFrame:
-    """``(relation_id, role, ring, n_ways, n_lost, closed, area_m2, length_m)`` of ``relations(relation_id, role, way_id)`` over located ``ways``.
+    """``(relation_id, role, ring, n_ways, n_lost, closed, area_m2, length_m)`` of ``relations(relation_id, role, way_id)`` over measured ``ways``.
 
     Outer and inner ways make rings of their own. An open ring has no area; ``n_lost`` counts the relation's ways of that role that are missing from the extract.
     A ring's area is the sum of its ways' strips, each in the direction in which the ring passes it.
     """
     by = ["relation_id", "role"]
-    p = F.col("points")
-    measured = ways.filter(F.size("nodes") > 1).select("way_id", F.get("nodes", 0).alias("a"), F.element_at("nodes", -1).alias("b"), strip(p, False).alias("strip"), (F.element_at(p, -1)["lon"] - F.get(p, 0)["lon"]).alias("dx"), F.get(p, 0)["lat"].alias("low"), length_m(p).alias("length_m"), "n_missing")
-    own = written(relations.join(measured, "way_id", "left"))
+    ends = [F.get("nodes", 0).alias("a"), F.element_at("nodes", -1).alias("b")]
+    ways = ways.filter(F.size("nodes") > 1).select("way_id", *ends, "strip", "dx", "low", "length_m", "n_missing")
+    own = written(relations.join(ways, "way_id", "left"))
     each = chains(own.filter("a is not null and b is not null").drop("n_missing"), by).withColumn("sign", F.when(F.col("back"), -1).otherwise(1))
     lost = own.groupBy(*by).agg(F.count_if(F.col("a").isNull() | (F.col("n_missing") > 0)).alias("n_lost"))
     sums = each.groupBy(*by, F.col("chain").alias("ring"), "closed").agg(

@@ -35,7 +35,7 @@ rings AS (SELECT relation_id, role, ring, closed, count(*) AS n_ways, any_value(
 
 
 def rings(spark, sf):
-    return g.relation_rings(m.relations(spark, sf), g.located(m.ways(spark, sf), m.nodes(spark, sf)))
+    return g.relation_rings(m.relations(spark, sf), g.measured(m.ways(spark, sf), m.nodes(spark, sf), m.stops(spark, sf)))
 
 
 @query("X50_relation_rings", f"{RINGS} SELECT relation_id, role, ring, n_ways, n_lost, closed, round(area_m2 + {TIE}) AS area_m2, round(length_m + {TIE}, 2) AS length_m FROM rings")
@@ -84,7 +84,7 @@ SELECT way_id, key || ':' || value AS surface, CAST(len(nodes) AS INTEGER) AS n_
  CASE WHEN kind = 'house' THEN 2.2 WHEN kind IS NOT NULL THEN CAST(floor(floors * least(area, most) / 100) AS DOUBLE) END AS population,
  CASE WHEN kind IN ('house', 'farm', 'apartments') AND area BETWEEN 51 AND 350 AND floors * 3.5 <= 12 THEN round(2.17 * CASE WHEN area < 210 AND area > 112 THEN 1.2 ELSE 1 END * CASE way_id % 7 WHEN 0 THEN 1.3 WHEN 1 THEN 1.3 WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 0.8 WHEN 5 THEN 0.8 ELSE 0.7 END / area + {TIE}, 5) WHEN kind IS NOT NULL THEN 0.0 END AS wood FROM floors""")
 def x50_ways(spark, sf):
-    w = g.located(m.ways(spark, sf), m.nodes(spark, sf)).withColumns({"area": g.area_m2(c("points")), "around": g.length_m(c("points"), True)})
+    w = g.measured(m.ways(spark, sf), m.nodes(spark, sf), m.stops(spark, sf)).withColumnsRenamed({"area_m2": "area", "around_m": "around"})
     said = landuse.tagged_building(c("tags"))
     w = w.withColumn("kind", F.when(said == "undefined", landuse.estimated_building(c("zone"), c("area"), c("around"))).otherwise(said))
     is_building, people = c("kind").isNotNull(), (c("way_id") % 7) * 1000.0 + 500

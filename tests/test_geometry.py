@@ -1,8 +1,9 @@
 import math
 import random
+import re
 
 from airloom.operators import geometry as g
-from airloom.sources import map_tables
+from airloom.sources import map_tables, store
 
 
 def passed(r, ends):
@@ -88,6 +89,27 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_measured_by_rows(spark, monkeypatch):
+    """The same measures as by arrays; partitions follow the number of nodes, and no array of points is made."""
+    monkeypatch.setattr(store, "PART_ROWS", 10)
+    rng = random.Random(7)
+    nodes = spark.createDataFrame([(i, 60 + rng.random() / 50, 25 + rng.random() / 50) for i in range(40)] + [(40, None, 25.0)], "node_id long, lat double, lon double")
+    lines = [[rng.randrange(44) for _ in range(rng.choice([1, 2, 3, 8]))] for _ in range(60)] + [[], [42, 43], [5, 5], None]
+    ways = spark.createDataFrame(list(enumerate(lines)), "way_id long, nodes array<long>")
+    found = g.measured(ways, nodes, 300)
+    p = g.F.col("points")
+    low, last = g.F.get(p, 0), g.F.get(p, g.F.size(p) - 1)
+    want = {r.way_id: r for r in g.located(ways, nodes).select("way_id", low["lat"].alias("low"), (last["lon"] - low["lon"]).alias("dx"), g.strip(p, False).alias("strip"), g.length_m(p).alias("length_m"), g.area_m2(p).alias("area_m2"), g.length_m(p, True).alias("around_m"), "n_missing").collect()}
+    rows = found.collect()
+    assert sorted(r.way_id for r in rows) == sorted(want)
+    for r in rows:
+        for k in ("low", "dx", "strip", "length_m", "area_m2", "around_m", "n_missing"):
+            x, y = r[k], want[r.way_id][k]
+            assert x == y or (x is not None and y is not None and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9 if k != "area_m2" else 1e-3)), (k, r, want[r.way_id])
+    text = plan(found)
+    assert "collect_list" not in text and re.search(r"hashpartitioning\(way_id#\d+L, 30\)", text)
+
+
 def test_map_tables_move_lines_once(spark):
     """Orders by relation and by way, lines by way: three shuffles a table."""
     for table in (map_tables.nodes, map_tables.ways):
