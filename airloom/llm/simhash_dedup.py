@@ -88,7 +88,9 @@ def first_cell(x: Column, n: int) -> Column:
 
 
 def links(fps: DataFrame, n: int | None = None) -> DataFrame:
-    """``(a, b)`` for each pair of distinct fingerprints at ``BITS`` or fewer differing bits; ``fps`` has one row each. ``n`` blocks, by default as their count asks."""
+    """``(a, b)`` for each pair of distinct fingerprints at ``BITS`` or fewer differing bits; ``fps`` has one row each. ``n`` blocks, by default as their count asks.
+
+    Cells are merged, never broadcast: Spark takes the exploded table to be as small as the fingerprints' file."""
     n = n or blocks_for(fps.count())
     cells = fps.select("fp", embedding(F.col("fp")).alias("e"), F.explode(F.array(*[F.lit(signed(m)) for m in choices(n)])).alias("mask"))
     cells = cells.select("fp", "mask", F.col("e").bitwiseAND(F.col("mask")).alias("cell"))
@@ -102,7 +104,7 @@ def links(fps: DataFrame, n: int | None = None) -> DataFrame:
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= BITS)
         & (first_cell(x, n) == F.col("a.mask"))
     )
-    return a.join(b, meet).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(b.hint("merge"), meet).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:

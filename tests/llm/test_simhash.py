@@ -66,6 +66,12 @@ def test_links_and_components_match_brute_force(spark, n):
     assert same(got) == {g for g in same(groups) if len(g) > 1}
 
 
+def test_cells_are_not_broadcast(spark):
+    """Cells are many times the fingerprints that Spark sizes them by."""
+    text = s.links(spark.range(200).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text, text
+
+
 def test_long_path_and_empty_graph(spark):
     df = spark.range(300).selectExpr("id as a", "id + 1 as b")
     assert {r.root for r in components(df).select("root").collect()} == {0}
