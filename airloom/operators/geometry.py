@@ -125,7 +125,7 @@ def followed(step: np.ndarray, low: np.ndarray):
         count, jump, seen = count + count[jump], jump[jump], 2 * seen
         going = step[jump] >= 0
         if not going.any() or seen > len(step):
-            return jump, count, low
+            return jump, count, np.minimum(low, low[jump])  # a walk may end just where its last stride does
 
 
 def joined_ways(group: np.ndarray, way: np.ndarray, a: np.ndarray, b: np.ndarray):

@@ -115,3 +115,10 @@ def test_map_tables_move_lines_once(spark):
     for table in (map_tables.nodes, map_tables.ways):
         text = plan(table(spark, "/root/testdata/sf0.01"))
         assert text.count("Exchange hashpartitioning") == 3 and "Broadcast" not in text, text
+
+
+def test_walks_that_end_where_a_stride_does():
+    """The least of an open walk counts its last place, however long the walk is."""
+    for n in range(1, 40):
+        last, count, least = g.followed(g.np.array([*range(1, n), -1]), g.np.arange(n)[::-1])
+        assert last.tolist() == [n - 1] * n and count.tolist() == list(range(n))[::-1] and least.tolist() == [0] * n

@@ -23,3 +23,17 @@ def test_grid_scan_has_no_southern_edge(spark, tmp_path):
     name = "S8_grid_scan"
     assert registry.queries()[name](spark, str(tmp_path)).count() > 0
     assert difference(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], connection(str(tmp_path))) == ""
+
+
+def copied_relation(path, relation, times):
+    """A relation of the sf0.1 tables, as copies with shifted keys have it."""
+    con = connection(SF)
+    con.execute(f"COPY (SELECT * REPLACE (o_orderkey + {150_000 * times} AS o_orderkey, o_custkey + {15_000 * times} AS o_custkey) FROM orders WHERE o_custkey = {relation}) TO '{path}/orders.parquet'")
+    con.execute(f"COPY (SELECT * REPLACE (l_orderkey + {150_000 * times} AS l_orderkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = {relation})) TO '{path}/lineitem.parquet'")
+    return connection(str(path))
+
+
+def test_an_open_chain_that_is_a_task_s_longest(spark, tmp_path):
+    """Three ways of relation 89998 hang together, with gaps on either side."""
+    con, name = copied_relation(tmp_path, 14_998, 5), "X50_relation_rings"
+    assert difference(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], con) == ""
