@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 DEGREE_M = 6371000.0 * 2 * math.pi / 360
 
 
+def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Equirectangular distance in degrees of latitude; the second point's latitude scales longitudes."""
+    return F.sqrt(F.pow(lat1 - lat2, 2) + F.pow(F.cos(F.radians(lat2)) * (lon1 - lon2), 2))
+
+
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Equirectangular distance; the second point's latitude scales longitudes."""
-    return F.sqrt(F.pow(lat1 - lat2, 2) + F.pow(F.cos(F.radians(lat2)) * (lon1 - lon2), 2)) * DEGREE_M
+    """``distance`` in metres."""
+    return distance(lat1, lon1, lat2, lon2) * DEGREE_M
 
 
 def cell_of(lat: Column, lon: Column, latmax, lonmin, dlat, dlon):

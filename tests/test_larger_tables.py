@@ -37,3 +37,9 @@ def test_an_open_chain_that_is_a_task_s_longest(spark, tmp_path):
     """Three ways of relation 89998 hang together, with gaps on either side."""
     con, name = copied_relation(tmp_path, 14_998, 5), "X50_relation_rings"
     assert difference(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], con) == ""
+
+
+def test_an_area_next_to_a_half(spark, tmp_path):
+    """Two rings of 2987796.499999 square metres by the SQL, of 2987796.5 if they are summed in another order."""
+    con, name = copied_relation(tmp_path, 158, 3), "X50_multipolygons"
+    assert difference(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], con) == ""
